@@ -169,3 +169,76 @@ B19 = sql(f"""SELECT edh.DepartmentID, d.Name AS DepartmentName, COUNT(e.Busines
 {int_avg('e.VacationHours')} AS AvgVacationHours, {int_avg('e.SickLeaveHours')} AS AvgSickLeaveHours
 FROM edh JOIN emp e ON edh.BusinessEntityID = e.BusinessEntityID JOIN dept d ON edh.DepartmentID = d.DepartmentID
 GROUP BY edh.DepartmentID, d.Name""", "edh", "emp", "dept")
+
+
+# -- chart data (C) --------------------------------------------------------
+
+from salesengine.operators.bootstrap import bootstrap_ci_sql  # noqa: E402
+from salesengine.operators.histogram import histogram_sql  # noqa: E402
+
+_SEG = """SELECT c.CustomerID, a.City, a.StateProvinceID, COUNT(soh.SalesOrderID) AS OrderCount,
+SUM(soh.TotalDue) AS TotalSpent
+FROM cust c JOIN soh ON c.CustomerID = soh.CustomerID JOIN addr a ON soh.BillToAddressID = a.AddressID
+GROUP BY c.CustomerID, a.City, a.StateProvinceID"""
+_RET = """SELECT c.CustomerID, COUNT(DISTINCT soh.SalesOrderID) AS RepeatPurchaseCount,
+SUM(soh.TotalDue) AS TotalSpent, MAX(soh.OrderDate) AS LatestPurchaseDate
+FROM cust c JOIN soh ON c.CustomerID = soh.CustomerID GROUP BY c.CustomerID"""
+_MONTHLY_UNITS = """SELECT CAST(year(OrderDate) AS BIGINT) AS "Year", CAST(month(OrderDate) AS BIGINT) AS "Month",
+CAST(SUM(TotalDue) * 10000 AS DECIMAL(38,0)) AS x FROM soh GROUP BY 1, 2"""
+
+
+def _nest(q: str) -> str:
+    """A statement with its own WITH clause, as the body of an outer one."""
+    return f"SELECT * FROM ({q}) nested"
+
+
+C01 = B01
+C02 = sql(f"""SELECT mean."Year", MeanMonthlySales, Months, CiLow, CiHigh FROM mean JOIN ci ON ci."Year" = mean."Year" """,
+          "soh", extra={
+              "m": _MONTHLY_UNITS,
+              "mean": """SELECT "Year", CAST(sum(x) AS DOUBLE) / CAST(count(x) AS DOUBLE) / 10000.0 AS MeanMonthlySales,
+                         count(x) AS Months FROM m GROUP BY 1""",
+              "ci": bootstrap_ci_sql('SELECT "Year" AS g, "Month" AS r, CAST(x AS BIGINT) AS x FROM m', "Year",
+                                     scale=10000.0),
+          })
+C03 = sql("""SELECT make_date(CAST(year(OrderDate) AS BIGINT), CAST(month(OrderDate) AS BIGINT), 1) AS "Date",
+CAST(SUM(TotalDue) AS DOUBLE) AS TotalSales FROM soh GROUP BY 1 ORDER BY 1""", "soh")
+C04 = B04.replace("ORDER BY TotalSales DESC, p.ProductID", "ORDER BY TotalSales DESC, p.ProductID LIMIT 10")
+C05 = sql("""SELECT * FROM (SELECT p.ProductID, p.Name AS ProductName, CAST(SUM(sod.LineTotal) AS DOUBLE) AS TotalSales
+FROM sod JOIN prod p ON sod.ProductID = p.ProductID GROUP BY p.ProductID, p.Name
+ORDER BY TotalSales ASC, p.ProductID DESC LIMIT 10) b""", "sod", "prod")
+C06 = sql("""SELECT CustomerID, OrderCount, CAST(TotalSpent AS DOUBLE) AS TotalSpent, StateProvinceID FROM seg""",
+          "cust", "soh", "addr", extra={"seg": _SEG})
+C07 = sql("""SELECT StateProvinceID, CAST(SUM(TotalSpent) AS DOUBLE) / CAST(COUNT(TotalSpent) AS DOUBLE) AS AvgTotalSpent
+FROM seg GROUP BY StateProvinceID""", "cust", "soh", "addr", extra={"seg": _SEG})
+C08 = sql("""SELECT StateProvinceID, CAST(SUM(OrderCount) AS DOUBLE) / CAST(COUNT(OrderCount) AS DOUBLE) AS AvgOrderCount
+FROM seg GROUP BY StateProvinceID""", "cust", "soh", "addr", extra={"seg": _SEG})
+C09 = sql("""SELECT StateProvinceID, COUNT(*) AS SegmentRows, COUNT(DISTINCT CustomerID) AS DistinctCustomers
+FROM seg GROUP BY StateProvinceID""", "cust", "soh", "addr", extra={"seg": _SEG})
+_TOP20 = "SELECT City, COUNT(*) AS CustomerRows FROM seg GROUP BY City ORDER BY CustomerRows DESC, City LIMIT 20"
+C10 = sql(_TOP20, "cust", "soh", "addr", extra={"seg": _SEG})
+C11 = sql("""SELECT City, COUNT(*) AS CustomerRows FROM seg WHERE City IN (SELECT City FROM top20) GROUP BY City""",
+          "cust", "soh", "addr", extra={"seg": _SEG, "top20": _TOP20})
+C12 = sql(_nest(histogram_sql("SELECT CAST(RepeatPurchaseCount AS DOUBLE) AS x FROM ret")), "cust", "soh",
+          extra={"ret": _RET})
+C13 = sql(_nest(histogram_sql("SELECT CAST(TotalSpent AS DOUBLE) AS x FROM ret")), "cust", "soh", extra={"ret": _RET})
+C14 = sql(_nest(histogram_sql("SELECT CAST(LatestPurchaseDate - DATE '1970-01-01' AS DOUBLE) AS x FROM ret")), "cust", "soh",
+          extra={"ret": _RET})
+C15 = B12 + " ORDER BY Profit DESC, p.ProductID LIMIT 10"
+_B14_ROWS = f"""SELECT st.Name AS TerritoryName, p.Name AS BestSellingProduct,
+CAST(round({money_avg('soh.TotalDue')} * 10000) AS BIGINT) AS x
+{_TERR_JOIN} GROUP BY st.Name, p.Name"""
+_B15_ROWS = f"""SELECT TerritoryName, BestSellingProduct FROM (
+  SELECT st.Name AS TerritoryName, p.Name AS BestSellingProduct,
+         row_number() OVER (PARTITION BY st.Name ORDER BY SUM(sod.LineTotal) DESC, p.Name) AS rn
+  {_TERR_JOIN} GROUP BY st.Name, p.Name) r WHERE rn = 1"""
+C16 = sql("""SELECT mean.TerritoryName, MeanAvgSales, CiLow, CiHigh, lab.BestSellingProduct AS Label
+FROM mean JOIN ci ON ci.TerritoryName = mean.TerritoryName LEFT JOIN lab ON lab.TerritoryName = mean.TerritoryName""",
+          "soht", "terr", "sod", "prod", extra={
+              "rows_": _B14_ROWS,
+              "mean": """SELECT TerritoryName, CAST(sum(x) AS DOUBLE) / CAST(count(x) AS DOUBLE) / 10000.0 AS MeanAvgSales
+                         FROM rows_ GROUP BY TerritoryName""",
+              "ci": bootstrap_ci_sql("SELECT TerritoryName AS g, BestSellingProduct AS r, x FROM rows_",
+                                     "TerritoryName", scale=10000.0),
+              "lab": _B15_ROWS,
+          })

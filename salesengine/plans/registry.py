@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesengine.plans import customers, oracle, people, sales, supply
+from salesengine.plans import charts, customers, oracle, people, sales, supply
 from salesengine.sources import adapters as A
 from salesengine.sources.warehouse import load_tables
 
@@ -61,6 +61,22 @@ QUERIES: dict[str, Query] = {
     "low_inventory_sellers": _t(supply.low_inventory_sellers),
     "salesperson_performance": _t(people.salesperson_performance),
     "department_productivity": _t(people.department_productivity),
+    "chart_product_sales": _windowed(charts.chart_product_sales),
+    "chart_year_mean_ci": _t(charts.chart_year_mean_ci),
+    "chart_monthly_line": _t(charts.chart_monthly_line),
+    "top10_products": _t(charts.top10_products),
+    "bottom10_products": _t(charts.bottom10_products),
+    "chart_segment_points": _t(charts.chart_segment_points),
+    "state_avg_spent": _t(charts.state_avg_spent),
+    "state_avg_orders": _t(charts.state_avg_orders),
+    "state_row_count": _t(charts.state_row_count),
+    "top20_cities": _t(charts.top20_cities),
+    "top20_city_counts": _t(charts.top20_city_counts),
+    "hist_repeat_purchases": _t(charts.hist_repeat_purchases),
+    "hist_total_spent": _t(charts.hist_total_spent),
+    "hist_latest_purchase": _t(charts.hist_latest_purchase),
+    "top10_profit": _t(charts.top10_profit),
+    "territory_mean_ci": _t(charts.territory_mean_ci),
 }
 
 ORACLE: dict[str, str] = {
@@ -83,4 +99,20 @@ ORACLE: dict[str, str] = {
     "low_inventory_sellers": oracle.B16,
     "salesperson_performance": oracle.B18,
     "department_productivity": oracle.B19,
+    "chart_product_sales": oracle.C01,
+    "chart_year_mean_ci": oracle.C02,
+    "chart_monthly_line": oracle.C03,
+    "top10_products": oracle.C04,
+    "bottom10_products": oracle.C05,
+    "chart_segment_points": oracle.C06,
+    "state_avg_spent": oracle.C07,
+    "state_avg_orders": oracle.C08,
+    "state_row_count": oracle.C09,
+    "top20_cities": oracle.C10,
+    "top20_city_counts": oracle.C11,
+    "hist_repeat_purchases": oracle.C12,
+    "hist_total_spent": oracle.C13,
+    "hist_latest_purchase": oracle.C14,
+    "top10_profit": oracle.C15,
+    "territory_mean_ci": oracle.C16,
 }
