@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesengine.plans import charts, customers, oracle, people, sales, supply
+from salesengine.plans import charts, customers, forecast, oracle, people, sales, supply
 from salesengine.sources import adapters as A
 from salesengine.sources.warehouse import load_tables
 
@@ -77,6 +77,8 @@ QUERIES: dict[str, Query] = {
     "hist_latest_purchase": _t(charts.hist_latest_purchase),
     "top10_profit": _t(charts.top10_profit),
     "territory_mean_ci": _t(charts.territory_mean_ci),
+    "sales_forecast": _t(forecast.sales_forecast),
+    "actual_and_forecast": _t(forecast.actual_and_forecast),
 }
 
 ORACLE: dict[str, str] = {
@@ -115,4 +117,6 @@ ORACLE: dict[str, str] = {
     "hist_latest_purchase": oracle.C14,
     "top10_profit": oracle.C15,
     "territory_mean_ci": oracle.C16,
+    "sales_forecast": oracle.B17,
+    "actual_and_forecast": oracle.C17,
 }
