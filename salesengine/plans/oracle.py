@@ -259,3 +259,42 @@ _TOTAL = f"""SELECT 'ALL' AS k, CAST(date_trunc('month', OrderDate) AS DATE) AS
 C17 = sql("""SELECT period AS "Date", v AS Sales, 'actual' AS Kind FROM tot
 UNION ALL SELECT ForecastDate AS "Date", Forecast AS Sales, 'forecast' AS Kind FROM fc""", "soh",
           extra={"tot": _TOTAL, "fc": arima_111_forecast_sql(_TOTAL)})
+
+
+# -- table jobs (A) --------------------------------------------------------
+
+def _values(rows, start_expr: str) -> str:
+    vals = ", ".join(f"({i}, {c}, '{d}', '{m}')" for i, (c, d, m) in enumerate(rows))
+    return (f"SELECT {start_expr} + i AS FeedbackID, CAST(c AS BIGINT) AS CustomerID, CAST(d AS DATE) AS FeedbackDate, "
+            f"CAST(m AS VARCHAR) AS Comments FROM (VALUES {vals}) v(i, c, d, m)")
+
+
+_V1 = [(101, "2024-06-08", "Great product!"), (102, "2024-06-09", "Nice product!"),
+       (103, "2024-06-10", "Product is okay!"), (104, "2024-06-11", "Nice"), (105, "2024-06-12", "It is okay")]
+_V2 = [(1001, "2022-09-01", "Great service!"), (1002, "2022-09-05", "Product quality is excellent"),
+       (1003, "2022-09-10", "Could improve packaging"), (1001, "2022-09-12", "Fast delivery")]
+_FB = """SELECT row_number() OVER (ORDER BY ts, event_id) AS FeedbackID, user_id AS CustomerID,
+CAST(ts AS DATE) AS FeedbackDate, props AS Comments FROM events"""
+_N = "(SELECT count(*) FROM events)"
+_UPD = """SELECT FeedbackID, CustomerID,
+CASE WHEN CustomerID = 101 THEN DATE '2024-06-09' ELSE FeedbackDate END AS FeedbackDate,
+CASE WHEN FeedbackID = 3 THEN 'Great customer support' ELSE Comments END AS Comments FROM {src}"""
+_DEL = "SELECT * FROM {src} WHERE NOT coalesce(CustomerID = 105, false) AND NOT coalesce(FeedbackID = 2, false)"
+
+A04 = "SELECT doc_id, text, lang, source, n_chars FROM documents"
+A08 = _FB
+A09 = f"{_FB} UNION ALL {_values(_V1, _N + ' + 1')}"
+A10 = _FB
+A11 = f"{_FB} UNION ALL {_values(_V2, _N + ' + 1')}"
+A12 = sql(_UPD.format(src="fb"), extra={"fb": _FB})
+A13 = sql(_DEL.format(src="fb"), extra={"fb": _FB})
+A15 = sql(_DEL.format(src="upd"), extra={
+    "fb": f"{_FB} UNION ALL {_values(_V1, _N + ' + 1')} UNION ALL {_values(_V2, _N + ' + 6')}",
+    "upd": _UPD.format(src="fb")})
+A14 = """SELECT row_number() OVER (ORDER BY CAST(d.doc_id AS VARCHAR)) AS ID, CAST(d.doc_id AS VARCHAR) AS product_id,
+CAST(NULL AS VARCHAR) AS product_parent, CAST(NULL AS VARCHAR) AS product_title, CAST(l.quality AS INTEGER) AS star_rating,
+CAST(NULL AS INTEGER) AS helpful_votes, CAST(NULL AS INTEGER) AS total_votes, CAST(NULL AS VARCHAR) AS vine,
+CAST(NULL AS VARCHAR) AS verified_purchase, CAST(NULL AS VARCHAR) AS review_headline, d.text AS review_body,
+CAST(NULL AS DATE) AS review_date
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
+A16 = B01 + " LIMIT 5"

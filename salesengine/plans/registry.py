@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesengine.plans import charts, customers, forecast, oracle, people, sales, supply
+from salesengine.plans import charts, customers, forecast, oracle, people, sales, supply, tablejobs
 from salesengine.sources import adapters as A
 from salesengine.sources.warehouse import load_tables
 
@@ -37,6 +37,14 @@ def _windowed(fn):
     return run
 
 
+def _job(fn):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(spark, load_tables(spark, sf_dir))
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def _inventory_recent(t):
     return supply.inventory_anomalies(t, sales_since=A.years_before(A.data_as_of(t), WINDOW_YEARS))
 
@@ -79,6 +87,18 @@ QUERIES: dict[str, Query] = {
     "territory_mean_ci": _t(charts.territory_mean_ci),
     "sales_forecast": _t(forecast.sales_forecast),
     "actual_and_forecast": _t(forecast.actual_and_forecast),
+    "src_table_query": _job(tablejobs.src_table_query),
+    "csv_read": _job(tablejobs.csv_read),
+    "csv_export": _job(tablejobs.csv_export),
+    "identity_assign": _job(tablejobs.identity_assign),
+    "table_append": _job(tablejobs.table_append),
+    "table_replace": _job(tablejobs.table_replace),
+    "table_insert_values": _job(tablejobs.table_insert_values),
+    "table_update": _job(tablejobs.table_update),
+    "table_delete": _job(tablejobs.table_delete),
+    "reviews_load": _job(tablejobs.reviews_load),
+    "feedback_lifecycle": _job(tablejobs.feedback_lifecycle),
+    "preview": _job(tablejobs.preview),
 }
 
 ORACLE: dict[str, str] = {
@@ -119,4 +139,16 @@ ORACLE: dict[str, str] = {
     "territory_mean_ci": oracle.C16,
     "sales_forecast": oracle.B17,
     "actual_and_forecast": oracle.C17,
+    "src_table_query": oracle.B03,
+    "csv_read": oracle.A04,
+    "csv_export": oracle.B01,
+    "identity_assign": oracle.A08,
+    "table_append": oracle.A09,
+    "table_replace": oracle.A10,
+    "table_insert_values": oracle.A11,
+    "table_update": oracle.A12,
+    "table_delete": oracle.A13,
+    "reviews_load": oracle.A14,
+    "feedback_lifecycle": oracle.A15,
+    "preview": oracle.A16,
 }

@@ -1,0 +1,226 @@
+"""Mutable tables on plain parquet: A06, A07, A09-A13.
+
+A table is a folder holding immutable parquet data files plus a commit log
+(``_log``, itself parquet).  Each commit writes its new data files first and
+then one log row (version, files, operation); readers use the files of the
+highest version, so a failed job never becomes visible.  Update and delete
+are copy-on-write at file granularity: only files holding a matching row are
+rewritten (found with the ``_metadata.file_path`` column).  One writer per
+table at a time.
+
+Constraints of the DDL are checked inside the write job itself: NOT NULL and
+VARCHAR(n) violations raise through ``raise_error``, so no extra pass is made.
+The identity column is never taken from the input; it continues from the
+table's current maximum (A08).
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import uuid
+from collections.abc import Iterable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from salesengine.operators.identity import assign_identity
+from salesengine.session import storage_root
+
+# rows per data file, the counterpart of the reference's 10,000-row write chunks
+ROWS_PER_FILE = 10000
+
+_LOG_SCHEMA = "version long, files array<string>, op string, committed_at timestamp"
+
+
+class SnapshotTable:
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, identity: str | None = None,
+                 varchar: dict[str, int] | None = None):
+        self.spark = spark
+        self.path = path.rstrip("/")
+        self.schema = schema
+        self.identity = identity
+        self.varchar = dict(varchar or {})
+
+    @classmethod
+    def at(cls, spark: SparkSession, name: str, schema: T.StructType, **kw) -> SnapshotTable:
+        """A table named ``name`` under the session's shared storage root."""
+        return cls(spark, f"{storage_root(spark)}/tables/{name}", schema, **kw)
+
+    # -- log ---------------------------------------------------------------
+    def _log(self) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(_LOG_SCHEMA).parquet(f"{self.path}/_log")
+        except Exception:  # noqa: BLE001 - no log yet
+            return None
+
+    def _head(self):
+        log = self._log()
+        if log is None:
+            return None
+        return log.orderBy(F.desc("version")).limit(1).first()
+
+    def version(self) -> int | None:
+        h = self._head()
+        return None if h is None else h["version"]
+
+    def files(self) -> list[str]:
+        h = self._head()
+        if h is None:
+            raise FileNotFoundError(f"table {self.path} does not exist")
+        return list(h["files"])
+
+    def _commit(self, files: Sequence[str], op: str) -> int:
+        v = (self.version() or 0) + 1
+        row = [(v, list(files), op, dt.datetime.now())]
+        self.spark.createDataFrame(row, _LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.path}/_log")
+        return v
+
+    # -- reading -----------------------------------------------------------
+    def read(self) -> DataFrame:
+        files = self.files()
+        if not files:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in files])
+
+    # -- writing -----------------------------------------------------------
+    def _checked(self, df: DataFrame) -> DataFrame:
+        cols = []
+        for f in self.schema.fields:
+            c = F.col(f.name).cast(f.dataType)
+            if not f.nullable:
+                c = F.when(c.isNull(), F.raise_error(F.lit(f"NULL into NOT NULL column {f.name}"))).otherwise(c)
+            if f.name in self.varchar:
+                n = self.varchar[f.name]
+                c = F.when(F.length(c) > n, F.raise_error(F.lit(f"value longer than {n} in {f.name}"))).otherwise(c)
+            cols.append(c.alias(f.name))
+        return df.select(*cols)
+
+    def _write(self, df: DataFrame) -> list[str]:
+        seg = f"data/{uuid.uuid4().hex}"
+        out = f"{self.path}/{seg}"
+        self._checked(df).write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(out)
+        written = self.spark.read.schema(self.schema).parquet(out).inputFiles()
+        return [f"{seg}/{p.rsplit('/', 1)[-1]}" for p in written]
+
+    def create(self) -> int:
+        """DROP-if-exists + CREATE: a new empty version (earlier versions stay readable in the log)."""
+        return self._commit([], "create")
+
+    def replace(self, df: DataFrame, order_by: Sequence[str | Column] | None = None) -> int:
+        """A10: the table becomes ``df`` (identity renumbered from 1)."""
+        df = self._with_identity(df, order_by, start=1)
+        return self._commit(self._write(df), "replace")
+
+    def append(self, df: DataFrame, order_by: Sequence[str | Column] | None = None) -> int:
+        """Add rows; an identity column in ``df`` is dropped and re-assigned after the current maximum."""
+        start = 1
+        if self.identity:
+            cur = self.read().agg(F.max(self.identity)).first()[0]
+            start = (cur or 0) + 1
+        df = self._with_identity(df, order_by, start=start)
+        return self._commit(self.files() + self._write(df), "append")
+
+    def insert_values(self, rows: Iterable[tuple], columns: Sequence[str]) -> int:
+        """INSERT ... VALUES; identities follow the order of ``rows``."""
+        rows = [tuple(r) + (i,) for i, r in enumerate(rows)]
+        fields = {f.name: f for f in self.schema.fields}
+        schema = T.StructType([T.StructField(c, T.StringType() if fields[c].dataType == T.DateType()
+                                             else fields[c].dataType) for c in columns]
+                              + [T.StructField("_ord", T.LongType())])
+        df = self.spark.createDataFrame(rows, schema)
+        return self.append(df, order_by=["_ord"])
+
+    def _with_identity(self, df: DataFrame, order_by, start: int) -> DataFrame:
+        if not self.identity:
+            return df
+        if self.identity in df.columns:
+            df = df.drop(self.identity)
+        keys = list(order_by) if order_by else [c for c in df.columns]
+        return assign_identity(df, keys, self.identity, start=start)
+
+    def _touched(self, predicate: Column) -> list[str]:
+        """Files (relative) holding at least one row where ``predicate`` is true."""
+        files = self.files()
+        if not files:
+            return []
+        by_name = {f.rsplit("/", 1)[-1]: f for f in files}
+        hit = self.read().filter(predicate).select(F.col("_metadata.file_name").alias("f")).distinct().collect()
+        return [by_name[r["f"]] for r in hit]
+
+    def update(self, predicate: Column, assignments: dict[str, Column]) -> int:
+        """SET col = value WHERE predicate; only files with a matching row are rewritten."""
+        touched = self._touched(predicate)
+        if not touched:
+            return self._commit(self.files(), "update")
+        part = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in touched])
+        hit = F.coalesce(predicate, F.lit(False))
+        new = part.select(*[
+            (F.when(hit, assignments[f.name].cast(f.dataType)).otherwise(F.col(f.name)) if f.name in assignments
+             else F.col(f.name)).alias(f.name) for f in self.schema.fields])
+        keep = [f for f in self.files() if f not in set(touched)]
+        return self._commit(keep + self._write(new), "update")
+
+    def delete(self, predicate: Column) -> int:
+        """DELETE WHERE predicate (a NULL predicate keeps the row); only touched files are rewritten."""
+        touched = self._touched(predicate)
+        if not touched:
+            return self._commit(self.files(), "delete")
+        part = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in touched])
+        new = part.filter(~F.coalesce(predicate, F.lit(False)))
+        keep = [f for f in self.files() if f not in set(touched)]
+        return self._commit(keep + self._write(new), "delete")
+
+
+# -- the reference's table definitions (A06, A07) -----------------------------
+
+FEEDBACK_SCHEMA = T.StructType([
+    T.StructField("FeedbackID", T.LongType(), False),
+    T.StructField("CustomerID", T.LongType(), False),
+    T.StructField("FeedbackDate", T.DateType(), False),
+    T.StructField("Comments", T.StringType(), True),
+])
+FEEDBACK_VARCHAR = {"Comments": 300}
+
+# ProductReviews as loaded by the later script (ID + 11 columns)
+REVIEWS_SCHEMA = T.StructType([
+    T.StructField("ID", T.LongType(), False),
+    T.StructField("product_id", T.StringType()),
+    T.StructField("product_parent", T.StringType()),
+    T.StructField("product_title", T.StringType()),
+    T.StructField("star_rating", T.IntegerType()),
+    T.StructField("helpful_votes", T.IntegerType()),
+    T.StructField("total_votes", T.IntegerType()),
+    T.StructField("vine", T.StringType()),
+    T.StructField("verified_purchase", T.StringType()),
+    T.StructField("review_headline", T.StringType()),
+    T.StructField("review_body", T.StringType()),
+    T.StructField("review_date", T.DateType()),
+])
+REVIEWS_VARCHAR = {"product_id": 255, "product_parent": 255, "product_title": 255, "vine": 10,
+                   "verified_purchase": 10, "review_headline": 255}
+
+# ProductReviews of the earlier script (ID + 26 columns)
+_S, _TS, _D = T.StringType(), T.TimestampNTZType(), T.DoubleType()
+REVIEWS_WIDE_SCHEMA = T.StructType([T.StructField("ID", T.LongType(), False)] + [
+    T.StructField(n, t) for n, t in [
+        ("asins", _S), ("brand", _S), ("categories", _S), ("colors", _S), ("dateAdded", _TS), ("dateUpdated", _TS),
+        ("dimension", _S), ("ean", _S), ("keys", _S), ("manufacturer", _S), ("manufacturerNumber", _S),
+        ("name", _S), ("prices", _D), ("reviews_date", _TS), ("reviews_doRecommend", T.BooleanType()),
+        ("reviews_numHelpful", T.IntegerType()), ("reviews_rating", _D), ("reviews_sourceURLs", _S),
+        ("reviews_text", _S), ("reviews_title", _S), ("reviews_userCity", _S), ("reviews_userProvince", _S),
+        ("reviews_username", _S), ("sizes", _S), ("upc", _S), ("weight", _D),
+    ]])
+REVIEWS_WIDE_VARCHAR = {n: 255 for n in (
+    "asins", "brand", "colors", "dimension", "ean", "manufacturer", "manufacturerNumber", "name", "reviews_title",
+    "reviews_userCity", "reviews_userProvince", "reviews_username", "sizes", "upc")}
+
+
+def feedback_table(spark: SparkSession, name: str = "CustomerFeedback") -> SnapshotTable:
+    return SnapshotTable.at(spark, name, FEEDBACK_SCHEMA, identity="FeedbackID", varchar=FEEDBACK_VARCHAR)
+
+
+def reviews_table(spark: SparkSession, name: str = "ProductReviews", wide: bool = False) -> SnapshotTable:
+    if wide:
+        return SnapshotTable.at(spark, name, REVIEWS_WIDE_SCHEMA, identity="ID", varchar=REVIEWS_WIDE_VARCHAR)
+    return SnapshotTable.at(spark, name, REVIEWS_SCHEMA, identity="ID", varchar=REVIEWS_VARCHAR)
