@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
+# the writer trims leading/trailing blanks by default; texts must come back whole
+WRITE_OPTIONS = {"quoteAll": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -30,5 +32,5 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> bool:
     if df.isEmpty():
         return False
     out = df.coalesce(1) if single_file else df
-    out.write.options(**CSV_OPTIONS).option("quoteAll", "true").mode("overwrite").csv(path)
+    out.write.options(**CSV_OPTIONS).options(**WRITE_OPTIONS).mode("overwrite").csv(path)
     return True
