@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesengine.functions.money import int_avg, int_avg_from, money_avg
+from salesengine.functions.money import int_avg_from, money_avg_from
 from salesengine.sources import adapters as A
 
 
@@ -36,7 +36,7 @@ def inventory_anomalies(t, sales_since: dt.date | None = None) -> DataFrame:
         .filter((F.col("Quantity") == 0) | (F.col("Quantity") > 100))  # implied by the HAVING clause
         .groupBy("ProductID", "Quantity").agg(F.count(F.lit(1)).alias("n"))
     )
-    j = A.prod(t).join(stock, "ProductID").join(_sales_counts(t, sales_since), "ProductID", "left")
+    j = stock.join(A.prod(t), "ProductID").join(_sales_counts(t, sales_since), "ProductID", "left")
     g = j.groupBy("ProductID", F.col("Name").alias("ProductName"), F.col("Quantity").alias("InventoryQty")).agg(
         F.sum(F.col("n") * F.coalesce(F.col("c"), F.lit(0))).alias("SalesCount"))
     return g.filter(
@@ -48,7 +48,7 @@ def low_inventory_sellers(t) -> DataFrame:
     """Products with a stock row below 10 and their sales-row count; SalesCount desc."""
     stock = A.inv(t).filter(F.col("Quantity") < 10).groupBy("ProductID", "Quantity").agg(
         F.count(F.lit(1)).alias("n"))
-    j = A.prod(t).join(stock, "ProductID").join(_sales_counts(t), "ProductID")
+    j = stock.join(A.prod(t), "ProductID").join(_sales_counts(t), "ProductID")
     g = j.groupBy("ProductID", F.col("Name").alias("ProductName"), F.col("Quantity").alias("InventoryQty")).agg(
         F.sum(F.col("n") * F.col("c")).alias("SalesCount"))
     return g.orderBy(F.desc("SalesCount"), "ProductID", "InventoryQty")
@@ -58,32 +58,41 @@ def vendor_lead_time(t) -> DataFrame:
     """Integer average of the vendor's per-product lead times; ascending."""
     per_vendor = A.pv(t).groupBy("BusinessEntityID").agg(
         F.sum("AverageLeadTime").alias("s"), F.count("AverageLeadTime").alias("n"))
-    g = A.vend(t).join(per_vendor, "BusinessEntityID").groupBy(
+    g = per_vendor.join(A.vend(t), "BusinessEntityID").groupBy(
         F.col("BusinessEntityID").alias("VendorID"), F.col("Name").alias("VendorName"),
     ).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     return g.select("VendorID", "VendorName", int_avg_from("s", "n").alias("AvgLeadTimeDays")).orderBy(
         "AvgLeadTimeDays", "VendorID")
 
 
-def _vendor_eval(j: DataFrame) -> DataFrame:
+def _vendor_eval(orders: DataFrame, t) -> DataFrame:
+    """Purchase-order measures per vendor; ``orders`` has VendorID and the purchase-order columns.
+
+    Orders are reduced to one row per vendor (and map task) before the vendor
+    join, so a vendor with a third of all orders is no hot join key.
+    """
     days = F.datediff("ShipDate", "OrderDate")
-    return j.groupBy("VendorID", "VendorName").agg(
-        F.count("PurchaseOrderID").alias("PurchaseOrders"),
-        money_avg("TotalDue").alias("AvgOrderCost"),
-        int_avg(days).alias("AvgDeliveryDay"),
+    pre = orders.groupBy("VendorID").agg(
+        F.count("PurchaseOrderID").alias("n_po"), F.sum("TotalDue").alias("s_due"), F.count("TotalDue").alias("n_due"),
+        F.sum(days.cast("long")).alias("s_days"), F.count(days).alias("n_days"))
+    v = A.vend(t).select(F.col("BusinessEntityID").alias("VendorID"), F.col("Name").alias("VendorName"))
+    g = pre.join(v, "VendorID").groupBy("VendorID", "VendorName").agg(
+        *[F.sum(c).alias(c) for c in ("n_po", "s_due", "n_due", "s_days", "n_days")])
+    return g.select(
+        "VendorID", "VendorName",
+        F.col("n_po").alias("PurchaseOrders"),
+        money_avg_from("s_due", "n_due").alias("AvgOrderCost"),
+        int_avg_from("s_days", "n_days").alias("AvgDeliveryDay"),
     ).orderBy(F.desc("PurchaseOrders"), F.asc("AvgOrderCost"), F.asc("AvgDeliveryDay"), "VendorID")
 
 
 def vendor_evaluation(t) -> DataFrame:
     """B10 as written: purchase orders matched on ProductID = PurchaseOrderID (two unrelated keys)."""
-    v = A.vend(t).withColumnRenamed("Name", "VendorName")
     pv = A.pv(t).select(F.col("BusinessEntityID").alias("VendorID"), "ProductID")
-    j = v.join(pv, v.BusinessEntityID == pv.VendorID).join(
-        A.po(t).drop("VendorID"), F.col("ProductID") == F.col("PurchaseOrderID"))
-    return _vendor_eval(j)
+    j = A.po(t).drop("VendorID").join(pv, F.col("ProductID") == F.col("PurchaseOrderID"))
+    return _vendor_eval(j, t)
 
 
 def vendor_evaluation_by_vendor(t) -> DataFrame:
     """B11 (corrected B10): each vendor's own purchase orders."""
-    v = A.vend(t).select(F.col("BusinessEntityID").alias("VendorID"), F.col("Name").alias("VendorName"))
-    return _vendor_eval(v.join(A.po(t), "VendorID"))
+    return _vendor_eval(A.po(t), t)
