@@ -2,7 +2,7 @@
 
 Poisson bootstrap: replicate b gives row r the weight w ~ Poisson(1), drawn
 from md5(group:b:row) (same draws in Spark and DuckDB).  Each replicate mean is
-sum(w*x)/sum(w); replicates with sum(w) = 0 are dropped.  The interval ends are
+sum(w*x)/sum(w); replicates with sum(w) = 0 are left out of the ranking.  The interval ends are
 the replicate means of nearest rank floor(p*(m-1)) for m valid replicates, so
 no interpolation arithmetic is involved.
 
@@ -53,22 +53,31 @@ def _weight_sql(u: str) -> str:
 
 def bootstrap_ci(df: DataFrame, group: str, row_id: str, value: str, scale: float = 1.0,
                  replicates: int = REPLICATES, level: float = 0.95) -> DataFrame:
-    """group, CiLow, CiHigh.  ``group`` and ``row_id`` are string/integer columns; ``value`` an exact integer."""
+    """group, Mean, N, CiLow, CiHigh.  ``group`` and ``row_id`` are string/integer columns; ``value`` an exact integer.
+
+    The plain mean and row count come out of the same aggregation (every
+    replicate of a group sees all its rows), so the input is read once.
+    """
     lo_p, hi_p = _rank_params(level)
     rows = df.select(F.col(group).alias("g"), F.col(row_id).alias("r"), F.col(value).cast("long").alias("x"))
     drawn = rows.select("g", "x", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"), "r")
     u = _u32(F.md5(F.concat_ws(":", F.col("g").cast("string"), F.col("b").cast("string"), F.col("r").cast("string"))))
     w = drawn.select("g", "b", "x", _weight(u).cast("long").alias("w"))
     wx = F.col("w").cast("decimal(38,0)") * F.col("x").cast("decimal(38,0)")
-    reps = w.groupBy("g", "b").agg(F.sum(wx).alias("sx"), F.sum("w").alias("sw")).filter(
-        F.col("sw") > 0).select("g", "b", ((F.col("sx").cast("double") / F.col("sw").cast("double"))
-                                           / F.lit(float(scale))).alias("m"))
-    win = Window.partitionBy("g").orderBy("m", "b")
-    ranked = reps.select("g", "m", (F.row_number().over(win) - 1).alias("k"),
-                         F.count(F.lit(1)).over(Window.partitionBy("g")).alias("n"))
+    reps = w.groupBy("g", "b").agg(
+        F.sum(wx).alias("sx"), F.sum("w").alias("sw"),
+        F.sum(F.col("x").cast("decimal(38,0)")).alias("s_all"), F.count("x").alias("n_all"),
+    )
+    mean = (F.col("s_all").cast("double") / F.col("n_all").cast("double")) / F.lit(float(scale))
+    reps = reps.select("g", "b", mean.alias("mean"), "n_all", F.when(F.col("sw") > 0, (
+        F.col("sx").cast("double") / F.col("sw").cast("double")) / F.lit(float(scale))).alias("m"))
+    win = Window.partitionBy("g").orderBy(F.col("m").asc_nulls_last(), "b")
+    ranked = reps.select("g", "m", "mean", "n_all", (F.row_number().over(win) - 1).alias("k"),
+                         F.count("m").over(Window.partitionBy("g")).alias("n"))
     lo_k = F.call_function("div", (F.col("n") - 1) * F.lit(lo_p), F.lit(1000))
     hi_k = F.call_function("div", (F.col("n") - 1) * F.lit(hi_p), F.lit(1000))
     return ranked.groupBy("g").agg(
+        F.max("mean").alias("Mean"), F.max("n_all").alias("N"),
         F.max(F.when(F.col("k") == lo_k, F.col("m"))).alias("CiLow"),
         F.max(F.when(F.col("k") == hi_k, F.col("m"))).alias("CiHigh"),
     ).withColumnRenamed("g", group)

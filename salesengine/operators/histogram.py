@@ -4,7 +4,9 @@
 is closed.  A value's bin is floor((x-lo) * bins/(hi-lo)), corrected against the
 edges as numpy does; when hi == lo the range becomes [lo-0.5, lo+0.5].
 
-min and max come from one aggregate job and enter the binning job as two
+The input column is materialised once (a reliable checkpoint in the shared
+checkpoint folder), so the plan that produces it runs once although it is read
+twice.  min and max come from one aggregate job and enter the binning job as two
 literals (a scalar subquery here was re-planned at every use of the bound and
 ran 40x slower); counts are a partial + final aggregate of at most ``bins``
 rows, and the empty bins come from a ``bins``-row range frame.
@@ -32,7 +34,7 @@ def _bin_expr(x: Column, lo: Column, hi: Column, bins: int) -> Column:
 def histogram(df: DataFrame, value: str | Column, bins: int = 20) -> DataFrame:
     """Bin, BinStart, BinEnd, Count for every one of ``bins`` bins (empty bins give 0)."""
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
-    vals = df.select(x.alias("x")).filter(F.col("x").isNotNull())
+    vals = df.select(x.alias("x")).filter(F.col("x").isNotNull()).checkpoint(eager=True)
     lo0, hi0 = vals.agg(F.min("x"), F.max("x")).first()
     if lo0 is None:  # no values: numpy's default range
         lo0, hi0 = 0.0, 1.0

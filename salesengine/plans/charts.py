@@ -33,11 +33,9 @@ def _exact_units(col) -> F.Column:
 def chart_year_mean_ci(t) -> DataFrame:
     """Per year, the mean monthly total and its 95 % bootstrap interval (seaborn barplot of B03)."""
     m = sales.monthly_sales_exact(t).select("Year", "Month", _exact_units("TotalSales").alias("x"))
-    mean = m.groupBy("Year").agg(
-        (F.sum("x").cast("double") / F.count("x").cast("double") / F.lit(TEN_THOUSANDTHS)).alias("MeanMonthlySales"),
-        F.count("x").alias("Months"))
     ci = bootstrap_ci(m, "Year", "Month", "x", scale=TEN_THOUSANDTHS)
-    return mean.join(ci, "Year").orderBy("Year")
+    return ci.select("Year", F.col("Mean").alias("MeanMonthlySales"), F.col("N").alias("Months"), "CiLow",
+                     "CiHigh").orderBy("Year")
 
 
 def chart_monthly_line(t) -> DataFrame:
@@ -97,12 +95,11 @@ def top20_cities(t) -> DataFrame:
 
 
 def top20_city_counts(t) -> DataFrame:
-    """C11: segment rows restricted to the top-20 cities (left-semi join), counted per city."""
-    seg = customers.customer_segments_exact(t)
-    top = top20_cities(t).select("City")
-    kept = seg.join(top, "City", "left_semi")
-    return kept.groupBy("City").agg(F.count(F.lit(1)).alias("CustomerRows")).orderBy(
-        F.desc("CustomerRows"), "City")
+    """C11: segment rows restricted to the top-20 cities (left-semi join with C10), counted per city."""
+    counts = _city_counts(t).checkpoint(eager=True)  # one row per city, read twice
+    top = top_k(counts, 20, [F.desc("CustomerRows"), F.asc("City")]).select("City")
+    # rows per city were already counted; restricting the counts equals counting the restricted rows
+    return counts.join(top, "City", "left_semi").orderBy(F.desc("CustomerRows"), "City")
 
 
 def hist_repeat_purchases(t) -> DataFrame:
@@ -128,12 +125,12 @@ def top10_profit(t) -> DataFrame:
 
 def territory_mean_ci(t) -> DataFrame:
     """Per territory, mean of B14's AvgSales with a 95 % bootstrap interval, labelled by B15."""
-    rows = sales.territory_product_sales(t).select(
+    # B14 and B15 share one territory x product aggregate, materialised once
+    exact = sales.territory_product_sales_exact(t).checkpoint(eager=True)
+    rows = sales.territory_product_sales(t, exact).select(
         "TerritoryName", "BestSellingProduct",
         F.round(F.col("AvgSales") * F.lit(TEN_THOUSANDTHS)).cast("long").alias("x"))
-    mean = rows.groupBy("TerritoryName").agg(
-        (F.sum("x").cast("double") / F.count("x").cast("double") / F.lit(TEN_THOUSANDTHS)).alias("MeanAvgSales"))
     ci = bootstrap_ci(rows, "TerritoryName", "BestSellingProduct", "x", scale=TEN_THOUSANDTHS)
-    label = sales.territory_best_product(t).select("TerritoryName", F.col("BestSellingProduct").alias("Label"))
-    return mean.join(ci, "TerritoryName").join(label, "TerritoryName", "left").orderBy(
-        F.desc("MeanAvgSales"), "TerritoryName")
+    label = sales.territory_best_product(t, exact).select("TerritoryName", F.col("BestSellingProduct").alias("Label"))
+    return ci.select("TerritoryName", F.col("Mean").alias("MeanAvgSales"), "CiLow", "CiHigh").join(
+        label, "TerritoryName", "left").orderBy(F.desc("MeanAvgSales"), "TerritoryName")

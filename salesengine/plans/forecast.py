@@ -27,26 +27,32 @@ def monthly_series(t, as_of: dt.date | None = None) -> DataFrame:
     """SeriesKey, Month (first day), TotalSales (DOUBLE from exact sums) for the total and every territory."""
     end = _month_start(as_of or A.data_as_of(t))
     month = F.trunc("OrderDate", "month").alias("Month")
-    total = A.soh(t).filter(F.col("OrderDate") < F.lit(end)).groupBy(month).agg(F.sum("TotalDue").alias("s")).select(
-        F.lit(TOTAL_SERIES).alias("SeriesKey"), "Month", "s")
-    terr = A.terr(t).withColumnRenamed("Name", "SeriesKey")
-    by_terr = (
-        A.soh_territory(t).filter(F.col("OrderDate") < F.lit(end))
-        .groupBy("TerritoryID", month).agg(F.sum("TotalDue").alias("s"))
-        .join(terr, "TerritoryID").select("SeriesKey", "Month", "s")
+    # one scan of orders: a left join keeps orders without a customer in the company total
+    c = t["customer"].select(F.col("c_custkey").alias("CustomerID"), F.col("c_nationkey").alias("TerritoryID"))
+    per = (
+        A.soh(t).filter(F.col("OrderDate") < F.lit(end)).join(c, "CustomerID", "left")
+        .groupBy("TerritoryID", month).agg(F.sum("TotalDue").alias("s"), F.count("CustomerID").alias("matched"))
     )
+    total = per.groupBy("Month").agg(F.sum("s").alias("s")).select(F.lit(TOTAL_SERIES).alias("SeriesKey"), "Month", "s")
+    terr = A.terr(t).withColumnRenamed("Name", "SeriesKey")
+    by_terr = per.filter(F.col("matched") > 0).join(terr, "TerritoryID").select("SeriesKey", "Month", "s")
     return total.unionByName(by_terr).select("SeriesKey", "Month", F.col("s").cast("double").alias("TotalSales"))
 
 
 def sales_forecast(t, as_of: dt.date | None = None, steps: int = 12) -> DataFrame:
-    """SeriesKey, Step, ForecastDate, Forecast, Phi, Theta for every series."""
-    return arima_111_forecast(monthly_series(t, as_of), "SeriesKey", "Month", "TotalSales", steps=steps).orderBy(
-        "SeriesKey", "Step")
+    """SeriesKey, Step, ForecastDate, Forecast, Phi, Theta for every series.
+
+    The monthly rollup (series x months rows) is checkpointed once: the fit
+    reads it several times (calendar bounds, calendar join, the two kinds of
+    series) and the fact scan behind it must not run again for each.
+    """
+    m = monthly_series(t, as_of).checkpoint(eager=True)
+    return arima_111_forecast(m, "SeriesKey", "Month", "TotalSales", steps=steps).orderBy("SeriesKey", "Step")
 
 
 def actual_and_forecast(t, as_of: dt.date | None = None, steps: int = 12) -> DataFrame:
     """C17: the company series' monthly actuals followed by its forecast, with a Kind label."""
-    m = monthly_series(t, as_of).filter(F.col("SeriesKey") == TOTAL_SERIES)
+    m = monthly_series(t, as_of).filter(F.col("SeriesKey") == TOTAL_SERIES).checkpoint(eager=True)
     actual = m.select(F.col("Month").alias("Date"), F.col("TotalSales").alias("Sales"), F.lit("actual").alias("Kind"))
     fc = arima_111_forecast(m, "SeriesKey", "Month", "TotalSales", steps=steps).select(
         F.col("ForecastDate").alias("Date"), F.col("Forecast").alias("Sales"), F.lit("forecast").alias("Kind"))

@@ -137,9 +137,9 @@ def territory_product_sales_exact(t) -> DataFrame:
         F.sum("line_sales").alias("line_sales"))
 
 
-def territory_product_sales(t) -> DataFrame:
+def territory_product_sales(t, exact: DataFrame | None = None) -> DataFrame:
     """B14 as written: per territory x product name, AvgSales/MaxSale of the order amount; AvgSales desc."""
-    df = territory_product_sales_exact(t)
+    df = exact if exact is not None else territory_product_sales_exact(t)
     return df.select(
         "TerritoryName",
         money_avg_from("s", "n").alias("AvgSales"),
@@ -148,13 +148,13 @@ def territory_product_sales(t) -> DataFrame:
     ).orderBy(F.desc("AvgSales"), "TerritoryName", "BestSellingProduct")
 
 
-def territory_best_product(t) -> DataFrame:
+def territory_best_product(t, exact: DataFrame | None = None) -> DataFrame:
     """B15 (corrected B14): the one best-selling product (by line sales) of each territory.
 
     Top-1 per group as an aggregate (``min_by`` over (-sales, name)), so it is
     computed partially on the map side and never sorts a whole group.
     """
-    df = territory_product_sales_exact(t)
+    df = exact if exact is not None else territory_product_sales_exact(t)
     best = df.groupBy("TerritoryName").agg(
         F.min_by(F.struct(F.col("ProductName"), F.col("line_sales")),
                  F.struct((-F.col("line_sales")).alias("k"), F.col("ProductName"))).alias("b"))
