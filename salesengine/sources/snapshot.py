@@ -112,14 +112,19 @@ class SnapshotTable:
         df = self._with_identity(df, order_by, start=1)
         return self._commit(self._write(df), "replace")
 
-    def append(self, df: DataFrame, order_by: Sequence[str | Column] | None = None) -> int:
+    def committed(self, op: str) -> bool:
+        """Whether a commit with operation label ``op`` is in the log (for idempotent replays)."""
+        log = self._log()
+        return log is not None and not log.filter(F.col("op") == op).isEmpty()
+
+    def append(self, df: DataFrame, order_by: Sequence[str | Column] | None = None, op: str = "append") -> int:
         """Add rows; an identity column in ``df`` is dropped and re-assigned after the current maximum."""
         start = 1
         if self.identity:
             cur = self.read().agg(F.max(self.identity)).first()[0]
             start = (cur or 0) + 1
         df = self._with_identity(df, order_by, start=start)
-        return self._commit(self.files() + self._write(df), "append")
+        return self._commit(self.files() + self._write(df), op)
 
     def insert_values(self, rows: Iterable[tuple], columns: Sequence[str]) -> int:
         """INSERT ... VALUES; identities follow the order of ``rows``."""
