@@ -73,3 +73,54 @@ def int_avg_from(total, n) -> Column:
     """Integer average from a pre-aggregated integer sum and count."""
     total, n = _c(total), _c(n)
     return F.when(n > 0, int_div(total.cast("long"), n)).cast("long")
+
+
+# -- money as exact integers ------------------------------------------------
+#
+# Per-row decimal(>18) arithmetic runs on java.math.BigDecimal and doubled the
+# aggregation cost (1.35 s vs 0.6 s for 600k rows).  Money is therefore carried
+# per row as a long count of ten-thousandths ("units") and summed as two 64-bit
+# sums of its high and low bits, combined into an exact decimal once per
+# group.  Each partial sum stays far below 2^63 for groups up to ~10^12 rows
+# of amounts below 2^40 units, so a key holding a third of all rows does not
+# overflow.
+
+UNITS = 10000  # units per money unit (4 decimals)
+_SPLIT_BITS = 20
+
+
+def money_units(x, decimals: int = 2) -> Column:
+    """A money amount stored as a double with at most ``decimals`` decimals, as exact long units."""
+    scale = 10 ** decimals
+    return F.round(_c(x) * F.lit(float(scale))).cast("long") * F.lit(UNITS // scale)
+
+
+def fraction_hundredths(x) -> Column:
+    """A fraction with two decimals (a discount) as an exact long count of hundredths."""
+    return F.round(_c(x) * F.lit(100.0)).cast("long")
+
+
+def units_sum(u) -> Column:
+    """Exact sum of long units as decimal(38,0), overflow-safe for very large groups."""
+    c = _c(u)
+    hi = F.sum(F.shiftright(c, _SPLIT_BITS)).cast("decimal(38,0)")
+    lo = F.sum(c.bitwiseAND(F.lit((1 << _SPLIT_BITS) - 1))).cast("decimal(38,0)")
+    return (hi * F.lit(1 << _SPLIT_BITS) + lo).cast("decimal(38,0)")
+
+
+def units_to_money(u) -> Column:
+    """Exact units (decimal or long) -> money decimal(38,4)."""
+    return (_c(u).cast("decimal(38,0)") / F.lit(UNITS)).cast("decimal(38,4)")
+
+
+def units_to_double(u) -> Column:
+    """Exact units -> DOUBLE, correctly rounded (through the exact decimal)."""
+    return units_to_money(u).cast("double")
+
+
+def money_avg_units(total_units, n) -> Column:
+    """Money average (4 decimals, half away from zero) from an exact units sum and a count."""
+    s, n = _c(total_units), _c(n)
+    q = int_div(F.abs(s) * F.lit(2) + n, n * F.lit(2))
+    signed = F.when(s < 0, -q).otherwise(q)
+    return F.when(n > 0, signed.cast("double") / F.lit(float(UNITS)))

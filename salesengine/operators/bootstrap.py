@@ -1,7 +1,8 @@
 """Percentile bootstrap interval of a group mean (C02, C16), reproducible and scale-safe.
 
 Poisson bootstrap: replicate b gives row r the weight w ~ Poisson(1), drawn
-from md5(group:b:row) (same draws in Spark and DuckDB).  Each replicate mean is
+from md5(group:q:row) with q = b div 4: the 128-bit digest yields four 32-bit
+uniforms, for replicates 4q .. 4q+3 (same draws in Spark and DuckDB).  Each replicate mean is
 sum(w*x)/sum(w); replicates with sum(w) = 0 are left out of the ranking.  The interval ends are
 the replicate means of nearest rank floor(p*(m-1)) for m valid replicates, so
 no interpolation arithmetic is involved.
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 REPLICATES = 1001
 MAX_WEIGHT = 12
+DRAWS_PER_HASH = 4  # 32-bit uniforms per 128-bit md5 digest
 
 
 def poisson_thresholds(max_k: int = MAX_WEIGHT) -> list[int]:
@@ -33,10 +35,6 @@ def poisson_thresholds(max_k: int = MAX_WEIGHT) -> list[int]:
     return out
 
 
-def _u32(h: Column) -> Column:
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
-
-
 def _weight(u: Column) -> Column:
     th = poisson_thresholds()
     expr = F.lit(len(th))
@@ -60,9 +58,14 @@ def bootstrap_ci(df: DataFrame, group: str, row_id: str, value: str, scale: floa
     """
     lo_p, hi_p = _rank_params(level)
     rows = df.select(F.col(group).alias("g"), F.col(row_id).alias("r"), F.col(value).cast("long").alias("x"))
-    drawn = rows.select("g", "x", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"), "r")
-    u = _u32(F.md5(F.concat_ws(":", F.col("g").cast("string"), F.col("b").cast("string"), F.col("r").cast("string"))))
-    w = drawn.select("g", "b", "x", _weight(u).cast("long").alias("w"))
+    blocks = (replicates + DRAWS_PER_HASH - 1) // DRAWS_PER_HASH
+    drawn = rows.select("g", "x", "r", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q"))
+    h = F.md5(F.concat_ws(":", F.col("g").cast("string"), F.col("q").cast("string"), F.col("r").cast("string")))
+    hashed = drawn.select("g", "x", "q", h.alias("h"))
+    us = F.array(*[F.conv(F.substring("h", 8 * j + 1, 8), 16, 10).cast("long") for j in range(DRAWS_PER_HASH)])
+    w = hashed.select("g", "x", "q", F.posexplode(us).alias("j", "u")).select(
+        "g", (F.col("q") * DRAWS_PER_HASH + F.col("j")).alias("b"), "x", _weight(F.col("u")).cast("long").alias("w"),
+    ).filter(F.col("b") < replicates)
     wx = F.col("w").cast("decimal(38,0)") * F.col("x").cast("decimal(38,0)")
     reps = w.groupBy("g", "b").agg(
         F.sum(wx).alias("sx"), F.sum("w").alias("sw"),
@@ -92,10 +95,13 @@ def bootstrap_ci_sql(rows_sql: str, group: str, scale: float = 1.0, replicates:
                      level: float = 0.95) -> str:
     """DuckDB version; ``rows_sql`` yields columns g, r, x."""
     lo_p, hi_p = _rank_params(level)
-    u = "CAST(('0x' || substr(md5(CAST(g AS VARCHAR) || ':' || CAST(b AS VARCHAR) || ':' || CAST(r AS VARCHAR)), 1, 8)) AS BIGINT)"
+    k = DRAWS_PER_HASH
+    blocks = (replicates + k - 1) // k
+    u = "CAST(('0x' || substr(h, 8 * j + 1, 8)) AS BIGINT)"
     return f"""WITH rows_ AS ({rows_sql}),
-d AS (SELECT g, x, b, r FROM rows_, range({replicates}) t(b)),
-w AS (SELECT g, b, x, {_weight_sql(u)} AS w FROM d),
+d AS (SELECT g, x, q, md5(CAST(g AS VARCHAR) || ':' || CAST(q AS VARCHAR) || ':' || CAST(r AS VARCHAR)) AS h
+      FROM rows_, range({blocks}) t(q)),
+w AS (SELECT g, q * {k} + j AS b, x, {_weight_sql(u)} AS w FROM d, range({k}) s(j) WHERE q * {k} + j < {replicates}),
 reps AS (SELECT g, b, (CAST(sum(w * x) AS DOUBLE) / CAST(sum(w) AS DOUBLE)) / {float(scale)} AS m
          FROM w GROUP BY g, b HAVING sum(w) > 0),
 ranked AS (SELECT g, m, row_number() OVER (PARTITION BY g ORDER BY m, b) - 1 AS k,

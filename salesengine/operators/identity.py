@@ -20,6 +20,12 @@ def assign_identity(df: DataFrame, order_by: list[str | Column], id_col: str, st
 
     ``order_by`` should be a unique key; ties get an arbitrary but fixed order.
     """
+    return assign_identity_counted(df, order_by, id_col, start)[0]
+
+
+def assign_identity_counted(df: DataFrame, order_by: list[str | Column], id_col: str,
+                            start: int = 1) -> tuple[DataFrame, int]:
+    """As ``assign_identity``, also returning the number of rows (known from the partition counts)."""
     spark = df.sparkSession
     ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).checkpoint(eager=True)
     tagged = ranged.select(
@@ -31,6 +37,7 @@ def assign_identity(df: DataFrame, order_by: list[str | Column], id_col: str, st
         offsets.append((pid, acc))
         acc += n
     off = spark.createDataFrame(offsets or [(0, 0)], "_pid int, _off long")
-    return tagged.join(F.broadcast(off), "_pid").select(
+    out = tagged.join(F.broadcast(off), "_pid").select(
         *[F.col(c) for c in df.columns],
         (F.lit(start) + F.col("_off") + F.col("_pos")).cast("long").alias(id_col))
+    return out, acc

@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesengine.functions.money import as_double
+from salesengine.functions.money import units_to_double
 from salesengine.operators.bootstrap import bootstrap_ci
 from salesengine.operators.histogram import histogram
 from salesengine.operators.topk import bottom_k, top_k
@@ -25,14 +25,9 @@ def chart_product_sales(t, as_of: dt.date | None = None, years: int = 10) -> Dat
     return sales.product_sales_window(t, as_of, years)
 
 
-def _exact_units(col) -> F.Column:
-    """Exact money decimal -> integer ten-thousandths."""
-    return (F.col(col) * F.lit(10000)).cast("decimal(38,0)")
-
-
 def chart_year_mean_ci(t) -> DataFrame:
     """Per year, the mean monthly total and its 95 % bootstrap interval (seaborn barplot of B03)."""
-    m = sales.monthly_sales_exact(t).select("Year", "Month", _exact_units("TotalSales").alias("x"))
+    m = sales.monthly_sales_exact(t).select("Year", "Month", F.col("TotalSales").alias("x"))
     ci = bootstrap_ci(m, "Year", "Month", "x", scale=TEN_THOUSANDTHS)
     return ci.select("Year", F.col("Mean").alias("MeanMonthlySales"), F.col("N").alias("Months"), "CiLow",
                      "CiHigh").orderBy("Year")
@@ -41,7 +36,7 @@ def chart_year_mean_ci(t) -> DataFrame:
 def chart_monthly_line(t) -> DataFrame:
     """First-of-month date x TotalSales."""
     return sales.monthly_sales_exact(t).select(
-        F.make_date("Year", "Month", F.lit(1)).alias("Date"), as_double("TotalSales").alias("TotalSales"),
+        F.make_date("Year", "Month", F.lit(1)).alias("Date"), units_to_double("TotalSales").alias("TotalSales"),
     ).orderBy("Date")
 
 
@@ -65,7 +60,7 @@ def state_avg_spent(t) -> DataFrame:
     """Mean TotalSpent over segment rows per state."""
     seg = customers.customer_segments_exact(t)
     return seg.groupBy("StateProvinceID").agg(
-        (as_double(F.sum("TotalSpent")) / F.count("TotalSpent").cast("double")).alias("AvgTotalSpent"),
+        (units_to_double(F.sum("TotalSpent")) / F.count("TotalSpent").cast("double")).alias("AvgTotalSpent"),
     ).orderBy("StateProvinceID")
 
 
@@ -109,7 +104,7 @@ def hist_repeat_purchases(t) -> DataFrame:
 
 def hist_total_spent(t) -> DataFrame:
     """20 equal-width bins of TotalSpent."""
-    return histogram(customers.customer_retention_exact(t), as_double("TotalSpent"), 20)
+    return histogram(customers.customer_retention_exact(t), units_to_double("TotalSpent"), 20)
 
 
 def hist_latest_purchase(t) -> DataFrame:

@@ -13,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesengine.functions.money import as_double
+from salesengine.functions.money import units_sum, units_to_double
 from salesengine.sources import adapters as A
 
 
 def customer_segments_exact(t) -> DataFrame:
     pre = A.soh(t).groupBy("CustomerID", "BillToAddressID").agg(
-        F.count("SalesOrderID").alias("n"), F.sum("TotalDue").alias("s"))
+        F.count("SalesOrderID").alias("n"), units_sum("TotalDueU").alias("s"))
     j = (
         pre.join(A.cust(t), "CustomerID")
         .join(A.addr(t), F.col("BillToAddressID") == F.col("AddressID"))
@@ -31,7 +31,7 @@ def customer_segments_exact(t) -> DataFrame:
 def customer_segments(t) -> DataFrame:
     """Per customer x billing city x state, order count and amount; TotalSpent desc."""
     return customer_segments_exact(t).select(
-        "CustomerID", "City", "StateProvinceID", "OrderCount", as_double("TotalSpent").alias("TotalSpent"),
+        "CustomerID", "City", "StateProvinceID", "OrderCount", units_to_double("TotalSpent").alias("TotalSpent"),
     ).orderBy(F.desc("TotalSpent"), "CustomerID", "City")
 
 
@@ -43,7 +43,7 @@ def customer_retention_exact(t) -> DataFrame:
     # the distinct count is planned as (customer, order) -> customer, so a hot
     # customer is spread over partitions by order id in the first stage
     pre = A.soh(t).groupBy("CustomerID").agg(
-        F.count_distinct("SalesOrderID").alias("d"), F.sum("TotalDue").alias("s"), F.max("OrderDate").alias("m"))
+        F.count_distinct("SalesOrderID").alias("d"), units_sum("TotalDueU").alias("s"), F.max("OrderDate").alias("m"))
     # a repeated customer row repeats the same orders: distinct count unchanged, sum multiplied
     return pre.join(A.cust(t), "CustomerID").groupBy("CustomerID").agg(
         F.max("d").alias("RepeatPurchaseCount"), F.sum("s").alias("TotalSpent"), F.max("m").alias("LatestPurchaseDate"))
@@ -52,5 +52,5 @@ def customer_retention_exact(t) -> DataFrame:
 def customer_retention(t) -> DataFrame:
     """Per customer, distinct orders (all of them, first included), amount, latest order date."""
     return customer_retention_exact(t).select(
-        "CustomerID", "RepeatPurchaseCount", as_double("TotalSpent").alias("TotalSpent"), "LatestPurchaseDate",
+        "CustomerID", "RepeatPurchaseCount", units_to_double("TotalSpent").alias("TotalSpent"), "LatestPurchaseDate",
     ).orderBy(F.desc("RepeatPurchaseCount"), "CustomerID")

@@ -13,6 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from salesengine.functions.money import units_sum, units_to_double
 from salesengine.operators.forecast import arima_111_forecast
 from salesengine.sources import adapters as A
 
@@ -31,12 +32,12 @@ def monthly_series(t, as_of: dt.date | None = None) -> DataFrame:
     c = t["customer"].select(F.col("c_custkey").alias("CustomerID"), F.col("c_nationkey").alias("TerritoryID"))
     per = (
         A.soh(t).filter(F.col("OrderDate") < F.lit(end)).join(c, "CustomerID", "left")
-        .groupBy("TerritoryID", month).agg(F.sum("TotalDue").alias("s"), F.count("CustomerID").alias("matched"))
+        .groupBy("TerritoryID", month).agg(units_sum("TotalDueU").alias("s"), F.count("CustomerID").alias("matched"))
     )
     total = per.groupBy("Month").agg(F.sum("s").alias("s")).select(F.lit(TOTAL_SERIES).alias("SeriesKey"), "Month", "s")
     terr = A.terr(t).withColumnRenamed("Name", "SeriesKey")
     by_terr = per.filter(F.col("matched") > 0).join(terr, "TerritoryID").select("SeriesKey", "Month", "s")
-    return total.unionByName(by_terr).select("SeriesKey", "Month", F.col("s").cast("double").alias("TotalSales"))
+    return total.unionByName(by_terr).select("SeriesKey", "Month", units_to_double("s").alias("TotalSales"))
 
 
 def sales_forecast(t, as_of: dt.date | None = None, steps: int = 12) -> DataFrame:

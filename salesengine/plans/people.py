@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesengine.functions.money import as_double, int_avg
+from salesengine.functions.money import int_avg, units_sum, units_to_double
 from salesengine.sources import adapters as A
 
 
@@ -16,10 +16,10 @@ def salesperson_performance(t) -> DataFrame:
     to one row per salesperson and map task before the join.
     """
     per_sp = A.soh(t).filter(F.col("SalesPersonID").isNotNull()).groupBy("SalesPersonID").agg(
-        F.count("SalesOrderID").alias("n"), F.sum("TotalDue").alias("s"))
+        F.count("SalesOrderID").alias("n"), units_sum("TotalDueU").alias("s"))
     j = per_sp.join(A.person(t), F.col("SalesPersonID") == F.col("BusinessEntityID"))
     g = j.groupBy("SalesPersonID", "FirstName", "LastName").agg(
-        F.sum("n").alias("TotalOrders"), as_double(F.sum("s")).alias("TotalSales"))
+        F.sum("n").alias("TotalOrders"), units_to_double(F.sum("s")).alias("TotalSales"))
     return g.orderBy(F.desc("TotalSales"), "SalesPersonID")
 
 

@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesengine.functions.money import as_double, money_avg_from
+from salesengine.functions.money import money_avg_units, units_sum, units_to_double
 from salesengine.sources import adapters as A
 
 
@@ -27,9 +27,9 @@ def product_sales_window_exact(t, as_of: dt.date | None = None, years: int = 10)
     since = window_start(t, as_of, years)
     orders = A.soh(t, since=since).select("SalesOrderID")
     per_id = (
-        A.sod(t).select("SalesOrderID", "ProductID", "LineTotal")
+        A.sod(t).select("SalesOrderID", "ProductID", "LineTotalU")
         .join(orders, "SalesOrderID")
-        .groupBy("ProductID").agg(F.sum("LineTotal").alias("s"))
+        .groupBy("ProductID").agg(units_sum("LineTotalU").alias("s"))
     )
     return (
         per_id.join(A.prod(t), "ProductID")
@@ -40,30 +40,30 @@ def product_sales_window_exact(t, as_of: dt.date | None = None, years: int = 10)
 def product_sales_window(t, as_of: dt.date | None = None, years: int = 10) -> DataFrame:
     """Total sales per product name for orders in the trailing window; TotalSales desc."""
     df = product_sales_window_exact(t, as_of, years)
-    return df.select("ProductName", as_double("TotalSales").alias("TotalSales")).orderBy(
+    return df.select("ProductName", units_to_double("TotalSales").alias("TotalSales")).orderBy(
         F.desc("TotalSales"), F.asc("ProductName"))
 
 
 # -- B03 / B02 -------------------------------------------------------------
 
 def monthly_sales_exact(t) -> DataFrame:
-    """Year, Month, TotalSales (exact decimal) over all orders."""
+    """Year, Month, TotalSales (exact units, decimal(38,0)) over all orders."""
     o = A.soh(t)
     return o.groupBy(
         F.year("OrderDate").cast("long").alias("Year"), F.month("OrderDate").cast("long").alias("Month"),
-    ).agg(F.sum("TotalDue").alias("TotalSales"))
+    ).agg(units_sum("TotalDueU").alias("TotalSales"))
 
 
 def sales_by_month(t) -> DataFrame:
     """Year, Month, TotalSales ordered by Year, Month."""
-    return monthly_sales_exact(t).select("Year", "Month", as_double("TotalSales").alias("TotalSales")).orderBy(
+    return monthly_sales_exact(t).select("Year", "Month", units_to_double("TotalSales").alias("TotalSales")).orderBy(
         "Year", "Month")
 
 
 def sales_by_year(t, monthly: DataFrame | None = None) -> DataFrame:
     """B02 (corrected to the order header): Year, TotalSales; rolled up from the monthly totals."""
     m = monthly if monthly is not None else monthly_sales_exact(t)
-    return m.groupBy("Year").agg(as_double(F.sum("TotalSales")).alias("TotalSales")).orderBy("Year")
+    return m.groupBy("Year").agg(units_to_double(F.sum("TotalSales")).alias("TotalSales")).orderBy("Year")
 
 
 # -- B04 -------------------------------------------------------------------
@@ -71,7 +71,7 @@ def sales_by_year(t, monthly: DataFrame | None = None) -> DataFrame:
 def product_totals_exact(t) -> DataFrame:
     """Per product id: exact sums of LineTotal and Gross (UnitPrice*OrderQty), joined to its name."""
     per_id = A.sod(t).groupBy("ProductID").agg(
-        F.sum("LineTotal").alias("sales"), F.sum("Gross").alias("cost"))
+        units_sum("LineTotalU").alias("sales"), units_sum("GrossU").alias("cost"))
     return (
         per_id.join(A.prod(t), "ProductID")
         .groupBy("ProductID", F.col("Name").alias("ProductName"))
@@ -82,7 +82,7 @@ def product_totals_exact(t) -> DataFrame:
 def product_ranking(t) -> DataFrame:
     """ProductID, ProductName, TotalSales per product id; TotalSales desc."""
     return product_totals_exact(t).select(
-        "ProductID", "ProductName", as_double("sales").alias("TotalSales"),
+        "ProductID", "ProductName", units_to_double("sales").alias("TotalSales"),
     ).orderBy(F.desc("TotalSales"), "ProductID")
 
 
@@ -90,9 +90,9 @@ def product_ranking(t) -> DataFrame:
 
 def _profit_columns(df: DataFrame) -> dict:
     return {
-        "TotalSales": as_double("sales").alias("TotalSales"),
-        "TotalCost": as_double("cost").alias("TotalCost"),
-        "Profit": as_double(F.col("sales") - F.col("cost")).alias("Profit"),
+        "TotalSales": units_to_double("sales").alias("TotalSales"),
+        "TotalCost": units_to_double("cost").alias("TotalCost"),
+        "Profit": units_to_double(F.col("sales") - F.col("cost")).alias("Profit"),
     }
 
 
@@ -119,15 +119,15 @@ def cost_structure(t) -> DataFrame:
 
 def _territory_product_lines(t) -> DataFrame:
     """Order lines with their order's territory and amount (header amount repeated per line, S9)."""
-    lines = A.sod(t).select("SalesOrderID", "ProductID", "LineTotal")
-    orders = A.soh_territory(t).select("SalesOrderID", "TerritoryID", "TotalDue")
+    lines = A.sod(t).select("SalesOrderID", "ProductID", "LineTotalU")
+    orders = A.soh_territory(t).select("SalesOrderID", "TerritoryID", "TotalDueU")
     return lines.join(orders, "SalesOrderID")
 
 
 def territory_product_sales_exact(t) -> DataFrame:
     pre = _territory_product_lines(t).groupBy("TerritoryID", "ProductID").agg(
-        F.sum("TotalDue").alias("s"), F.count("TotalDue").alias("n"), F.max("TotalDue").alias("m"),
-        F.sum("LineTotal").alias("line_sales"))
+        units_sum("TotalDueU").alias("s"), F.count("TotalDueU").alias("n"), F.max("TotalDueU").alias("m"),
+        units_sum("LineTotalU").alias("line_sales"))
     named = (
         pre.join(A.terr(t).withColumnRenamed("Name", "TerritoryName"), "TerritoryID")
         .join(A.prod(t).withColumnRenamed("Name", "ProductName"), "ProductID")
@@ -142,9 +142,9 @@ def territory_product_sales(t, exact: DataFrame | None = None) -> DataFrame:
     df = exact if exact is not None else territory_product_sales_exact(t)
     return df.select(
         "TerritoryName",
-        money_avg_from("s", "n").alias("AvgSales"),
+        money_avg_units("s", "n").alias("AvgSales"),
         F.col("ProductName").alias("BestSellingProduct"),
-        as_double("m").alias("MaxSale"),
+        units_to_double("m").alias("MaxSale"),
     ).orderBy(F.desc("AvgSales"), "TerritoryName", "BestSellingProduct")
 
 
@@ -161,5 +161,5 @@ def territory_best_product(t, exact: DataFrame | None = None) -> DataFrame:
     return best.select(
         "TerritoryName",
         F.col("b.ProductName").alias("BestSellingProduct"),
-        as_double("b.line_sales").alias("ProductSales"),
+        units_to_double("b.line_sales").alias("ProductSales"),
     ).orderBy(F.desc("ProductSales"), "TerritoryName")

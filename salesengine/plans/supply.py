@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesengine.functions.money import int_avg_from, money_avg_from
+from salesengine.functions.money import int_avg_from, money_avg_units, units_sum
 from salesengine.sources import adapters as A
 
 
@@ -73,7 +73,8 @@ def _vendor_eval(orders: DataFrame, t) -> DataFrame:
     """
     days = F.datediff("ShipDate", "OrderDate")
     pre = orders.groupBy("VendorID").agg(
-        F.count("PurchaseOrderID").alias("n_po"), F.sum("TotalDue").alias("s_due"), F.count("TotalDue").alias("n_due"),
+        F.count("PurchaseOrderID").alias("n_po"), units_sum("TotalDueU").alias("s_due"),
+        F.count("TotalDueU").alias("n_due"),
         F.sum(days.cast("long")).alias("s_days"), F.count(days).alias("n_days"))
     v = A.vend(t).select(F.col("BusinessEntityID").alias("VendorID"), F.col("Name").alias("VendorName"))
     g = pre.join(v, "VendorID").groupBy("VendorID", "VendorName").agg(
@@ -81,7 +82,7 @@ def _vendor_eval(orders: DataFrame, t) -> DataFrame:
     return g.select(
         "VendorID", "VendorName",
         F.col("n_po").alias("PurchaseOrders"),
-        money_avg_from("s_due", "n_due").alias("AvgOrderCost"),
+        money_avg_units("s_due", "n_due").alias("AvgOrderCost"),
         int_avg_from("s_days", "n_days").alias("AvgDeliveryDay"),
     ).orderBy(F.desc("PurchaseOrders"), F.asc("AvgOrderCost"), F.asc("AvgDeliveryDay"), "VendorID")
 

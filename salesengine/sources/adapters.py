@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesengine.functions.money import int_avg, line_total, money
+from salesengine.functions.money import fraction_hundredths, int_avg, line_total, money, money_units
 
 # fixed values of the adapter mapping (FIXTURES.md §2)
 BILL_TO_ADDRESSES = 25
@@ -38,6 +38,7 @@ def soh(t, since: dt.date | None = None) -> DataFrame:
         F.col("o_custkey").alias("CustomerID"),
         F.to_date("o_orderdate").alias("OrderDate"),
         money("o_totalprice").alias("TotalDue"),
+        money_units("o_totalprice").alias("TotalDueU"),
         (F.col("o_orderkey") % BILL_TO_ADDRESSES).alias("BillToAddressID"),
         F.when(F.col("o_orderpriority") == NO_SALESPERSON_PRIORITY, F.lit(None))
         .otherwise(F.col("o_custkey") % SALESPERSON_COUNT).alias("SalesPersonID"),
@@ -51,13 +52,20 @@ def soh_territory(t, since: dt.date | None = None) -> DataFrame:
 
 
 def sod(t) -> DataFrame:
-    """SalesOrderDetail: one row per order line; Gross = UnitPrice*OrderQty."""
+    """SalesOrderDetail: one row per order line; Gross = UnitPrice*OrderQty.
+
+    ``GrossU`` / ``LineTotalU`` are the same amounts as exact long units (ten-thousandths):
+    cents x (100 - discount in hundredths) is LineTotal in units.
+    """
+    cents = F.round(F.col("l_extendedprice") * F.lit(100.0)).cast("long")
     return t["lineitem"].select(
         F.col("l_orderkey").alias("SalesOrderID"),
         F.col("l_linenumber").alias("SalesOrderDetailID"),
         F.col("l_partkey").alias("ProductID"),
         money("l_extendedprice").alias("Gross"),
         line_total("l_extendedprice", "l_discount").alias("LineTotal"),
+        (cents * F.lit(100)).alias("GrossU"),
+        (cents * (F.lit(100) - fraction_hundredths("l_discount"))).alias("LineTotalU"),
     )
 
 
@@ -116,9 +124,10 @@ def po(t) -> DataFrame:
         F.col("o_orderkey").alias("PurchaseOrderID"),
         F.to_date("o_orderdate").alias("OrderDate"),
         money("o_totalprice").alias("TotalDue"),
+        money_units("o_totalprice").alias("TotalDueU"),
     )
     return o.join(first, "PurchaseOrderID", "left").select(
-        "PurchaseOrderID", "VendorID", "OrderDate", F.to_date("ship_ts").alias("ShipDate"), "TotalDue")
+        "PurchaseOrderID", "VendorID", "OrderDate", F.to_date("ship_ts").alias("ShipDate"), "TotalDue", "TotalDueU")
 
 
 def person(t) -> DataFrame:

@@ -2,16 +2,18 @@
 
 A table is a folder holding immutable parquet data files plus a commit log
 (``_log``, itself parquet).  Each commit writes its new data files first and
-then one log row (version, files, operation); readers use the files of the
-highest version, so a failed job never becomes visible.  Update and delete
+then one log row (version, files, operation, next identity value); readers use
+the files of the highest version, so a failed job never becomes visible.  Each
+operation reads the log once.  Update and delete
 are copy-on-write at file granularity: only files holding a matching row are
 rewritten (found with the ``_metadata.file_path`` column).  One writer per
 table at a time.
 
 Constraints of the DDL are checked inside the write job itself: NOT NULL and
 VARCHAR(n) violations raise through ``raise_error``, so no extra pass is made.
-The identity column is never taken from the input; it continues from the
-table's current maximum (A08).
+The identity column is never taken from the input; new rows are numbered from
+the table's next identity value, kept in the log, so values of deleted rows are
+not reused (as an IDENTITY column behaves) and no scan is needed (A08).
 """
 
 from __future__ import annotations
@@ -24,13 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salesengine.operators.identity import assign_identity
+from salesengine.operators.identity import assign_identity_counted
 from salesengine.session import storage_root
 
 # rows per data file, the counterpart of the reference's 10,000-row write chunks
 ROWS_PER_FILE = 10000
 
-_LOG_SCHEMA = "version long, files array<string>, op string, committed_at timestamp"
+_LOG_SCHEMA = "version long, files array<string>, op string, committed_at timestamp, next_id long"
 
 
 class SnapshotTable:
@@ -60,25 +62,32 @@ class SnapshotTable:
             return None
         return log.orderBy(F.desc("version")).limit(1).first()
 
+    def _current(self):
+        h = self._head()
+        if h is None:
+            raise FileNotFoundError(f"table {self.path} does not exist")
+        return h
+
     def version(self) -> int | None:
         h = self._head()
         return None if h is None else h["version"]
 
     def files(self) -> list[str]:
-        h = self._head()
-        if h is None:
-            raise FileNotFoundError(f"table {self.path} does not exist")
-        return list(h["files"])
+        return list(self._current()["files"])
 
-    def _commit(self, files: Sequence[str], op: str) -> int:
-        v = (self.version() or 0) + 1
-        row = [(v, list(files), op, dt.datetime.now())]
+    def _commit(self, head, files: Sequence[str], op: str, next_id: int | None = None) -> int:
+        v = (head["version"] if head is not None else 0) + 1
+        if next_id is None:
+            next_id = head["next_id"] if head is not None else 1
+        row = [(v, list(files), op, dt.datetime.now(), next_id)]
         self.spark.createDataFrame(row, _LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.path}/_log")
         return v
 
     # -- reading -----------------------------------------------------------
     def read(self) -> DataFrame:
-        files = self.files()
+        return self._read_files(self.files())
+
+    def _read_files(self, files: Sequence[str]) -> DataFrame:
         if not files:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in files])
@@ -104,13 +113,14 @@ class SnapshotTable:
         return [f"{seg}/{p.rsplit('/', 1)[-1]}" for p in written]
 
     def create(self) -> int:
-        """DROP-if-exists + CREATE: a new empty version (earlier versions stay readable in the log)."""
-        return self._commit([], "create")
+        """DROP-if-exists + CREATE: a new empty version, identity restarting at 1 (earlier versions stay in the log)."""
+        return self._commit(self._head(), [], "create", next_id=1)
 
     def replace(self, df: DataFrame, order_by: Sequence[str | Column] | None = None) -> int:
         """A10: the table becomes ``df`` (identity renumbered from 1)."""
-        df = self._with_identity(df, order_by, start=1)
-        return self._commit(self._write(df), "replace")
+        head = self._head()
+        df, n = self._with_identity(df, order_by, start=1)
+        return self._commit(head, self._write(df), "replace", next_id=1 + n)
 
     def committed(self, op: str) -> bool:
         """Whether a commit with operation label ``op`` is in the log (for idempotent replays)."""
@@ -118,13 +128,11 @@ class SnapshotTable:
         return log is not None and not log.filter(F.col("op") == op).isEmpty()
 
     def append(self, df: DataFrame, order_by: Sequence[str | Column] | None = None, op: str = "append") -> int:
-        """Add rows; an identity column in ``df`` is dropped and re-assigned after the current maximum."""
-        start = 1
-        if self.identity:
-            cur = self.read().agg(F.max(self.identity)).first()[0]
-            start = (cur or 0) + 1
-        df = self._with_identity(df, order_by, start=start)
-        return self._commit(self.files() + self._write(df), op)
+        """Add rows; an identity column in ``df`` is dropped and numbered from the next identity value."""
+        head = self._current()
+        start = head["next_id"] or 1
+        df, n = self._with_identity(df, order_by, start=start)
+        return self._commit(head, list(head["files"]) + self._write(df), op, next_id=start + n)
 
     def insert_values(self, rows: Iterable[tuple], columns: Sequence[str]) -> int:
         """INSERT ... VALUES; identities follow the order of ``rows``."""
@@ -136,45 +144,49 @@ class SnapshotTable:
         df = self.spark.createDataFrame(rows, schema)
         return self.append(df, order_by=["_ord"])
 
-    def _with_identity(self, df: DataFrame, order_by, start: int) -> DataFrame:
+    def _with_identity(self, df: DataFrame, order_by, start: int) -> tuple[DataFrame, int]:
         if not self.identity:
-            return df
+            return df, 0
         if self.identity in df.columns:
             df = df.drop(self.identity)
         keys = list(order_by) if order_by else [c for c in df.columns]
-        return assign_identity(df, keys, self.identity, start=start)
+        return assign_identity_counted(df, keys, self.identity, start=start)
 
-    def _touched(self, predicate: Column) -> list[str]:
+    def _touched(self, files: Sequence[str], predicate: Column) -> list[str]:
         """Files (relative) holding at least one row where ``predicate`` is true."""
-        files = self.files()
         if not files:
             return []
         by_name = {f.rsplit("/", 1)[-1]: f for f in files}
-        hit = self.read().filter(predicate).select(F.col("_metadata.file_name").alias("f")).distinct().collect()
+        hit = self._read_files(files).filter(predicate).select(
+            F.col("_metadata.file_name").alias("f")).distinct().collect()
         return [by_name[r["f"]] for r in hit]
 
     def update(self, predicate: Column, assignments: dict[str, Column]) -> int:
         """SET col = value WHERE predicate; only files with a matching row are rewritten."""
-        touched = self._touched(predicate)
+        head = self._current()
+        files = list(head["files"])
+        touched = self._touched(files, predicate)
         if not touched:
-            return self._commit(self.files(), "update")
+            return self._commit(head, files, "update")
         part = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in touched])
         hit = F.coalesce(predicate, F.lit(False))
         new = part.select(*[
             (F.when(hit, assignments[f.name].cast(f.dataType)).otherwise(F.col(f.name)) if f.name in assignments
              else F.col(f.name)).alias(f.name) for f in self.schema.fields])
-        keep = [f for f in self.files() if f not in set(touched)]
-        return self._commit(keep + self._write(new), "update")
+        keep = [f for f in files if f not in set(touched)]
+        return self._commit(head, keep + self._write(new), "update")
 
     def delete(self, predicate: Column) -> int:
         """DELETE WHERE predicate (a NULL predicate keeps the row); only touched files are rewritten."""
-        touched = self._touched(predicate)
+        head = self._current()
+        files = list(head["files"])
+        touched = self._touched(files, predicate)
         if not touched:
-            return self._commit(self.files(), "delete")
+            return self._commit(head, files, "delete")
         part = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in touched])
         new = part.filter(~F.coalesce(predicate, F.lit(False)))
-        keep = [f for f in self.files() if f not in set(touched)]
-        return self._commit(keep + self._write(new), "delete")
+        keep = [f for f in files if f not in set(touched)]
+        return self._commit(head, keep + self._write(new), "delete")
 
 
 # -- the reference's table definitions (A06, A07) -----------------------------

@@ -12,15 +12,39 @@ TABLE_NAMES = (
 )
 
 
+# Declared schemas of the driver tables: scans need no schema-inference job.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 class Tables(Mapping):
     """Name -> DataFrame over ``{root}/{name}.parquet``; each scan is created on first use.
 
     Scans are plain parquet relations, so Catalyst prunes columns and pushes
-    filters into every one of them.
+    filters into every one of them.  Known tables are read with their declared
+    schema (no inference job); ``infer=True`` reads the files' own schema.
     """
 
-    def __init__(self, spark: SparkSession, root: str, names: Iterable[str] = TABLE_NAMES):
+    def __init__(self, spark: SparkSession, root: str, names: Iterable[str] = TABLE_NAMES, infer: bool = False):
         self.spark = spark
+        self.infer = infer
         self.root = root.rstrip("/")
         self._names = tuple(names)
         self._frames: dict[str, DataFrame] = {}
@@ -29,7 +53,10 @@ class Tables(Mapping):
         if name not in self._names:
             raise KeyError(name)
         if name not in self._frames:
-            self._frames[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+            reader = self.spark.read
+            if not self.infer and name in SCHEMAS:
+                reader = reader.schema(SCHEMAS[name])
+            self._frames[name] = reader.parquet(f"{self.root}/{name}.parquet")
         return self._frames[name]
 
     def __iter__(self):
