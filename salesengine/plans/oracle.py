@@ -298,3 +298,32 @@ CAST(NULL AS VARCHAR) AS verified_purchase, CAST(NULL AS VARCHAR) AS review_head
 CAST(NULL AS DATE) AS review_date
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 A16 = B01 + " LIMIT 5"
+
+A14_WIDE = """SELECT row_number() OVER (ORDER BY CAST(d.doc_id AS VARCHAR)) AS ID,
+CAST(d.doc_id AS VARCHAR) AS asins,
+CAST(NULL AS VARCHAR) AS brand,
+CAST(NULL AS VARCHAR) AS categories,
+CAST(NULL AS VARCHAR) AS colors,
+CAST(NULL AS TIMESTAMP) AS dateAdded,
+CAST(NULL AS TIMESTAMP) AS dateUpdated,
+CAST(NULL AS VARCHAR) AS dimension,
+CAST(NULL AS VARCHAR) AS ean,
+CAST(NULL AS VARCHAR) AS keys,
+CAST(NULL AS VARCHAR) AS manufacturer,
+CAST(NULL AS VARCHAR) AS manufacturerNumber,
+CAST(NULL AS VARCHAR) AS name,
+CAST(NULL AS DOUBLE) AS prices,
+CAST(NULL AS TIMESTAMP) AS reviews_date,
+(l.toxic = 0) AS reviews_doRecommend,
+CAST(NULL AS INTEGER) AS reviews_numHelpful,
+CAST(l.quality AS DOUBLE) AS reviews_rating,
+CAST(NULL AS VARCHAR) AS reviews_sourceURLs,
+d.text AS reviews_text,
+CAST(NULL AS VARCHAR) AS reviews_title,
+CAST(NULL AS VARCHAR) AS reviews_userCity,
+CAST(NULL AS VARCHAR) AS reviews_userProvince,
+CAST(NULL AS VARCHAR) AS reviews_username,
+CAST(NULL AS VARCHAR) AS sizes,
+CAST(NULL AS VARCHAR) AS upc,
+CAST(NULL AS DOUBLE) AS weight
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""

@@ -97,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "table_update": _job(tablejobs.table_update),
     "table_delete": _job(tablejobs.table_delete),
     "reviews_load": _job(tablejobs.reviews_load),
+    "reviews_load_wide": _job(tablejobs.reviews_load_wide),
     "feedback_lifecycle": _job(tablejobs.feedback_lifecycle),
     "preview": _job(tablejobs.preview),
 }
@@ -149,6 +150,7 @@ ORACLE: dict[str, str] = {
     "table_update": oracle.A12,
     "table_delete": oracle.A13,
     "reviews_load": oracle.A14,
+    "reviews_load_wide": oracle.A14_WIDE,
     "feedback_lifecycle": oracle.A15,
     "preview": oracle.A16,
 }

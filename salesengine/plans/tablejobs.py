@@ -19,7 +19,7 @@ from salesengine.plans import sales
 from salesengine.session import storage_root
 from salesengine.sources import adapters as A
 from salesengine.sources.csv import export_csv, read_csv
-from salesengine.sources.snapshot import REVIEWS_SCHEMA, feedback_table, reviews_table
+from salesengine.sources.snapshot import REVIEWS_SCHEMA, REVIEWS_WIDE_SCHEMA, feedback_table, reviews_table
 from salesengine.sources.warehouse import run_query
 
 # fixed values: the rows and statements of the reference scripts
@@ -154,6 +154,31 @@ def reviews_load(spark: SparkSession, t) -> DataFrame:
     return table.read()
 
 
+def review_rows_wide(t) -> DataFrame:
+    """The 26-column review shape of the earlier script: asins = id, text, rating, recommended = not toxic."""
+    labels = t["labels"].select("doc_id", "quality", "toxic")
+    d = t["documents"].join(labels, "doc_id", "left")
+    given = {
+        "asins": F.col("doc_id").cast("string"),
+        "reviews_text": F.col("text"),
+        "reviews_rating": F.col("quality").cast("double"),
+        "reviews_doRecommend": F.col("toxic") == 0,
+    }
+    return d.select(*[given.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name)
+                      for f in REVIEWS_WIDE_SCHEMA.fields[1:]])
+
+
+def reviews_load_wide(spark: SparkSession, t) -> DataFrame:
+    """A07 + A14 for the 26-column table: CSV -> typed read -> identity -> replace -> read back."""
+    path = f"{storage_root(spark)}/exports/{_run_name('productReviewsWide')}"
+    export_csv(review_rows_wide(t), path)
+    typed = read_csv(spark, path, T.StructType(REVIEWS_WIDE_SCHEMA.fields[1:]))
+    table = reviews_table(spark, _run_name("ProductReviewsWide"), wide=True)
+    table.create()
+    table.replace(typed, order_by=["asins"])
+    return table.read()
+
+
 def csv_export(spark: SparkSession, t) -> DataFrame:
     """B01 written as CSV (header, only if non-empty) and read back typed."""
     df = sales.product_sales_window(t, A.data_as_of(t), 1)
