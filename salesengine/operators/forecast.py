@@ -7,13 +7,16 @@ For each series (one row per month, gaps filled with 0):
   forecast: w^_1 = phi*w_T + theta*e_T, w^_h = phi*w^_{h-1}, y^_{T+h} = y_T + sum w^.
 No constant term, as the reference's fitted forecasts show.  This is a
 conditional-sum-of-squares grid fit, not the exact maximum likelihood of a
-state-space solver.
+state-space solver.  ``refine`` adds a second grid (step/10, +-step) around the
+first optimum; the first optimum is on it, so the fit can only improve.
 
 Spark plan: one shuffle groups the monthly rows by series into a sorted array
 (its length is the number of months, bounded by the calendar, not by the
-data); the grid is an explode of a fixed number of candidates per series; every
-fold is a JVM-side ``aggregate`` higher-order function; the best candidate is a
-``min_by`` aggregate (map-side partial).  Nothing reaches the driver.
+data).  Everything after is a projection of that one row per series: the grid
+is evaluated inside the row (``transform`` over the candidates, each an
+``aggregate`` fold over the differences) and the optimum is ``array_min`` of
+(sse, phi, theta) structs, so there is no candidate explosion and no further
+shuffle.  Nothing reaches the driver.
 """
 
 from __future__ import annotations
@@ -35,8 +38,38 @@ def fill_calendar(monthly: DataFrame, key: str, period: str, value: str) -> Data
         key, period, F.coalesce(F.col(value), F.lit(0.0)).alias(value))
 
 
+def _css(w: Column, phi: Column, theta: Column) -> Column:
+    """struct(s = sum of squared residuals, phi, theta, w_t = w_T, e_t = e_T) for one (phi, theta).
+
+    phi and theta ride in the accumulator and the accumulator is the result, so
+    the fold is evaluated once per candidate (lambdas get no common
+    subexpression elimination) and the structs order by (s, phi, theta).
+    """
+
+    def step(acc: Column, x: Column) -> Column:
+        e = x - acc["phi"] * acc["w_t"] - acc["theta"] * acc["e_t"]
+        return F.struct((acc["s"] + e * e).alias("s"), acc["phi"].alias("phi"), acc["theta"].alias("theta"),
+                        x.alias("w_t"), e.alias("e_t"))
+
+    init = F.struct(F.lit(0.0).alias("s"), phi.alias("phi"), theta.alias("theta"),
+                    F.element_at(w, 1).alias("w_t"), F.lit(0.0).alias("e_t"))
+    return F.aggregate(F.slice(w, 2, F.size(w)), init, step)
+
+
+def _best_on_grid(w: Column, phi0: Column, theta0: Column, half: int, step: float) -> Column:
+    """array_min over candidates phi0 + i*step, theta0 + j*step (i, j in -half..half) of (s, phi, theta, w_T, e_T)."""
+    side = 2 * half + 1
+
+    def candidate(g: Column) -> Column:
+        phi = phi0 + (F.call_function("div", g, F.lit(side)) - half).cast("double") * F.lit(step)
+        theta = theta0 + ((g % side) - half).cast("double") * F.lit(step)
+        return _css(w, phi, theta)
+
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), candidate))
+
+
 def arima_111_forecast(monthly: DataFrame, key: str, period: str, value: str, steps: int = 12,
-                       grid_step: float = 0.1, fill: bool = True) -> DataFrame:
+                       grid_step: float = 0.1, fill: bool = True, refine: bool = False) -> DataFrame:
     """key, Step, ForecastDate, Forecast, Phi, Theta: ``steps`` rows per series with >= 3 months."""
     y = fill_calendar(monthly, key, period, value) if fill else monthly.select(key, period, value)
     series = y.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(period, value))).alias("a"))
@@ -50,26 +83,11 @@ def arima_111_forecast(monthly: DataFrame, key: str, period: str, value: str, st
     series = series.select(key, "last", F.element_at(ys, -1).alias("y_last"), w.alias("w"))
 
     half, step = _grid(grid_step)
-    side = 2 * half + 1
-    g = F.col("g")
-    cand = series.select(key, "last", "y_last", "w", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("g"))
-    cand = cand.select(
-        key, "last", "y_last", "w",
-        ((F.call_function("div", g, F.lit(side)) - half).cast("double") * F.lit(step)).alias("phi"),
-        (((g % side) - half).cast("double") * F.lit(step)).alias("theta"),
-    )
-    phi, theta = F.col("phi"), F.col("theta")
-
-    def css_step(acc: Column, x: Column) -> Column:
-        e = x - phi * acc["pw"] - theta * acc["pe"]
-        return F.struct(x.alias("pw"), e.alias("pe"), (acc["s"] + e * e).alias("s"))
-
-    init = F.struct(F.element_at("w", 1).alias("pw"), F.lit(0.0).alias("pe"), F.lit(0.0).alias("s"))
-    fit = F.aggregate(F.slice("w", 2, F.size("w")), init, css_step)
-    cand = cand.select(key, "last", "y_last", "phi", "theta", fit.alias("f"))
-    best = cand.groupBy(key).agg(F.min_by(
-        F.struct("phi", "theta", "last", "y_last", F.col("f.pw").alias("w_t"), F.col("f.pe").alias("e_t")),
-        F.struct(F.col("f.s"), phi, theta)).alias("b"))
+    best = _best_on_grid(F.col("w"), F.lit(0.0), F.lit(0.0), half, step)
+    fitted = series.select(key, "last", "y_last", "w", best.alias("b"))
+    if refine:
+        fine = _best_on_grid(F.col("w"), F.col("b.phi"), F.col("b.theta"), 10, step / 10)
+        fitted = fitted.select(key, "last", "y_last", "w", fine.alias("b"))
     b = F.col("b")
 
     def fc_step(acc: Column, _h: Column) -> Column:
@@ -77,14 +95,14 @@ def arima_111_forecast(monthly: DataFrame, key: str, period: str, value: str, st
         return F.struct((b["phi"] * acc["wh"]).alias("wh"), lvl.alias("lvl"),
                         F.concat(acc["out"], F.array(lvl)).alias("out"))
 
-    init_fc = F.struct((b["phi"] * b["w_t"] + b["theta"] * b["e_t"]).alias("wh"), b["y_last"].alias("lvl"),
+    init_fc = F.struct((b["phi"] * b["w_t"] + b["theta"] * b["e_t"]).alias("wh"), F.col("y_last").alias("lvl"),
                        F.array().cast("array<double>").alias("out"))
     path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init_fc, fc_step)["out"]
-    out = best.select(key, "b", F.posexplode(path).alias("pos", "Forecast"))
+    out = fitted.select(key, "last", "b", F.posexplode(path).alias("pos", "Forecast"))
     return out.select(
         key,
         (F.col("pos") + 1).cast("long").alias("Step"),
-        F.add_months(b["last"], F.col("pos") + 1).alias("ForecastDate"),
+        F.add_months(F.col("last"), F.col("pos") + 1).alias("ForecastDate"),
         "Forecast",
         b["phi"].alias("Phi"),
         b["theta"].alias("Theta"),
@@ -104,8 +122,8 @@ y AS (SELECT cal.k, cal.period, coalesce(m.v, CAST(0.0 AS DOUBLE)) AS v FROM cal
 s AS (SELECT k, list(v ORDER BY period) AS ys, max(period) AS last FROM y GROUP BY k HAVING count(*) >= 3),
 s2 AS (SELECT k, last, ys[len(ys)] AS y_last,
               list_transform(generate_series(2, len(ys)), lambda i: ys[i] - ys[i - 1]) AS w FROM s),
-cand AS (SELECT k, last, y_last, w, CAST((g // {side}) - {half} AS DOUBLE) * {step} AS phi,
-                CAST((g % {side}) - {half} AS DOUBLE) * {step} AS theta
+cand AS (SELECT k, last, y_last, w, 0.0 + CAST((g // {side}) - {half} AS DOUBLE) * {step} AS phi,
+                0.0 + CAST((g % {side}) - {half} AS DOUBLE) * {step} AS theta
          FROM s2, range({side * side}) t(g)),
 fit AS (SELECT k, last, y_last, phi, theta,
                list_reduce(w[2:], lambda acc, x: {{'pw': x, 'pe': {e}, 's': acc.s + {e} * {e}}},

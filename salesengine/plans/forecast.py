@@ -1,7 +1,8 @@
 """B17 sales forecast and C17 actual-plus-forecast chart data.
 
 The reference fits one series (company monthly totals).  We forecast every
-series in one job: the company total plus one series per sales territory.
+series in one job: the company total, one series per sales territory and one
+per customer segment, all from one scan of the orders.
 Months run from a series' first month to the last *complete* month of the
 data (the month holding the latest order is partial and left out).
 """
@@ -25,19 +26,26 @@ def _month_start(d: dt.date) -> dt.date:
 
 
 def monthly_series(t, as_of: dt.date | None = None) -> DataFrame:
-    """SeriesKey, Month (first day), TotalSales (DOUBLE from exact sums) for the total and every territory."""
+    """SeriesKey, Month (first day), TotalSales (DOUBLE from exact sums): total, territories, segments."""
     end = _month_start(as_of or A.data_as_of(t))
     month = F.trunc("OrderDate", "month").alias("Month")
     # one scan of orders: a left join keeps orders without a customer in the company total
-    c = t["customer"].select(F.col("c_custkey").alias("CustomerID"), F.col("c_nationkey").alias("TerritoryID"))
+    c = t["customer"].select(F.col("c_custkey").alias("CustomerID"), F.col("c_nationkey").alias("TerritoryID"),
+                             F.col("c_mktsegment").alias("Segment"), F.lit(1).alias("hit"))
     per = (
         A.soh(t).filter(F.col("OrderDate") < F.lit(end)).join(c, "CustomerID", "left")
-        .groupBy("TerritoryID", month).agg(units_sum("TotalDueU").alias("s"), F.count("CustomerID").alias("matched"))
+        .groupBy("TerritoryID", "Segment", month)
+        .agg(units_sum("TotalDueU").alias("s"), F.count("hit").alias("matched"))
     )
     total = per.groupBy("Month").agg(F.sum("s").alias("s")).select(F.lit(TOTAL_SERIES).alias("SeriesKey"), "Month", "s")
+    matched = per.filter(F.col("matched") > 0)
     terr = A.terr(t).withColumnRenamed("Name", "SeriesKey")
-    by_terr = per.filter(F.col("matched") > 0).join(terr, "TerritoryID").select("SeriesKey", "Month", "s")
-    return total.unionByName(by_terr).select("SeriesKey", "Month", units_to_double("s").alias("TotalSales"))
+    by_terr = matched.groupBy("TerritoryID", "Month").agg(F.sum("s").alias("s")).join(terr, "TerritoryID").select(
+        "SeriesKey", "Month", "s")
+    by_seg = matched.filter(F.col("Segment").isNotNull()).groupBy(F.col("Segment").alias("SeriesKey"), "Month").agg(
+        F.sum("s").alias("s"))
+    return total.unionByName(by_terr).unionByName(by_seg).select(
+        "SeriesKey", "Month", units_to_double("s").alias("TotalSales"))
 
 
 def sales_forecast(t, as_of: dt.date | None = None, steps: int = 12) -> DataFrame:

@@ -251,8 +251,12 @@ _SERIES = f"""SELECT 'ALL' AS k, CAST(date_trunc('month', OrderDate) AS DATE) AS
 UNION ALL
 SELECT st.Name AS k, CAST(date_trunc('month', OrderDate) AS DATE) AS period, CAST(SUM(TotalDue) AS DOUBLE) AS v
   FROM soht JOIN terr st ON soht.TerritoryID = st.TerritoryID WHERE OrderDate < {_END}
-  GROUP BY soht.TerritoryID, st.Name, 2"""
-B17 = sql("SELECT k AS SeriesKey, Step, ForecastDate, Forecast, Phi, Theta FROM fc", "soht", "terr",
+  GROUP BY soht.TerritoryID, st.Name, 2
+UNION ALL
+SELECT c.c_mktsegment AS k, CAST(date_trunc('month', OrderDate) AS DATE) AS period, CAST(SUM(TotalDue) AS DOUBLE) AS v
+  FROM soh JOIN customer c ON c.c_custkey = soh.CustomerID
+  WHERE OrderDate < {_END} AND c.c_mktsegment IS NOT NULL GROUP BY c.c_mktsegment, 2"""
+B17 = sql("SELECT k AS SeriesKey, Step, ForecastDate, Forecast, Phi, Theta FROM fc", "soht", "terr", "soh",
           extra={"fc": arima_111_forecast_sql(_SERIES)})
 _TOTAL = f"""SELECT 'ALL' AS k, CAST(date_trunc('month', OrderDate) AS DATE) AS period, CAST(SUM(TotalDue) AS DOUBLE) AS v
   FROM soh WHERE OrderDate < {_END} GROUP BY 2"""

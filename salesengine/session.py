@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of frames that are no longer referenced are removed
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -52,3 +54,28 @@ def storage_root(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root.rstrip("/") + "/rdd-checkpoints")
     return root.rstrip("/")
+
+
+# Runtime SQL settings for a large cluster (100 TB inputs, ~1000 executors).  They only
+# size partitions and let AQE act; results do not depend on them.
+SCALE_SETTINGS = {
+    # big scan splits and shuffle targets: fewer, fuller tasks; AQE coalesces small ones
+    "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16384",
+    "spark.sql.shuffle.partitions": "16384",
+    # split a skewed join partition even when that costs one more shuffle
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # broadcast only what the planner measured small
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+}
+
+
+def configure_for_scale(spark: SparkSession, **overrides: str) -> SparkSession:
+    """Apply ``SCALE_SETTINGS`` (and overrides) to an existing cluster session."""
+    for k, v in {**SCALE_SETTINGS, **overrides}.items():
+        spark.conf.set(k, v)
+    storage_root(spark)
+    return spark

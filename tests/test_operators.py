@@ -102,3 +102,22 @@ def test_forecast_grid_picks_least_squares(spark):
     m = spark.createDataFrame(rows, "k string, m date, v double")
     r = arima_111_forecast(m, "k", "m", "v", steps=1).first()
     assert -0.9 <= r["Phi"] <= 0.9 and -0.9 <= r["Theta"] <= 0.9
+
+
+def _css(ys, phi, theta):
+    w = [b - a for a, b in zip(ys, ys[1:])]
+    e, s = 0.0, 0.0
+    for i in range(1, len(w)):
+        e = w[i] - phi * w[i - 1] - theta * e
+        s += e * e
+    return s
+
+
+def test_refined_fit_never_worse(spark):
+    ys = [100.0, 130.0, 90.0, 150.0, 120.0, 170.0, 110.0, 160.0, 140.0, 180.0, 120.0, 175.0, 150.0, 190.0]
+    rows = [("s", dt.date(2020 + i // 12, i % 12 + 1, 1), y) for i, y in enumerate(ys)]
+    m = spark.createDataFrame(rows, "k string, m date, v double")
+    coarse = arima_111_forecast(m, "k", "m", "v", steps=1).first()
+    fine = arima_111_forecast(m, "k", "m", "v", steps=1, refine=True).first()
+    assert _css(ys, fine["Phi"], fine["Theta"]) <= _css(ys, coarse["Phi"], coarse["Theta"]) + 1e-9
+    assert abs(fine["Phi"] - coarse["Phi"]) <= 0.1 + 1e-9
