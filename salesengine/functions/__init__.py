@@ -1,10 +1,12 @@
 """Column-expression helpers that reproduce the warehouse's arithmetic exactly."""
 
 from salesengine.functions.money import (
-    MONEY, UNITS, as_double, fraction_hundredths, int_avg, int_avg_from, int_div, line_total, money, money_avg,
-    money_avg_from, money_avg_units, money_sum, money_units, units_sum, units_to_double, units_to_money,
+    MONEY, UNITS, fraction_hundredths, int_avg, int_avg_from, int_div, line_total, money, money_avg,
+    money_avg_from, money_avg_units, money_units, units_sum, units_to_double, units_to_money,
 )
 
-__all__ = ["UNITS", "fraction_hundredths", "money_avg_units", "money_units", "units_sum", "units_to_double",
-           "units_to_money",
-           "MONEY", "as_double", "int_avg", "int_avg_from", "int_div", "money", "money_avg", "money_avg_from", "money_sum", "line_total"]
+__all__ = [
+    "MONEY", "UNITS", "fraction_hundredths", "int_avg", "int_avg_from", "int_div", "line_total", "money",
+    "money_avg", "money_avg_from", "money_avg_units", "money_units", "units_sum", "units_to_double",
+    "units_to_money",
+]

@@ -27,14 +27,6 @@ def line_total(gross, discount) -> Column:
     return money(gross) * (F.lit(1) - _c(discount).cast("decimal(9,4)"))
 
 
-def money_sum(x) -> Column:
-    return F.sum(_c(x))
-
-
-def as_double(x) -> Column:
-    return _c(x).cast("double")
-
-
 def int_div(a, b) -> Column:
     """Integer division truncated toward zero (SQL ``div``)."""
     return F.call_function("div", _c(a), _c(b))
