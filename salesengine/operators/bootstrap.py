@@ -57,7 +57,11 @@ def bootstrap_ci(df: DataFrame, group: str, row_id: str, value: str, scale: floa
     replicate of a group sees all its rows), so the input is read once.
     """
     lo_p, hi_p = _rank_params(level)
+    # the input is usually a small aggregate in one partition while the work is rows x replicates:
+    # spread the rows round-robin first so the draws run on every core / executor
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(group).alias("g"), F.col(row_id).alias("r"), F.col(value).cast("long").alias("x"))
+    rows = rows.repartition(spread)
     blocks = (replicates + DRAWS_PER_HASH - 1) // DRAWS_PER_HASH
     drawn = rows.select("g", "x", "r", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q"))
     h = F.md5(F.concat_ws(":", F.col("g").cast("string"), F.col("q").cast("string"), F.col("r").cast("string")))

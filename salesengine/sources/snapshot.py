@@ -4,7 +4,8 @@ A table is a folder holding immutable parquet data files plus a commit log
 (``_log``, itself parquet).  Each commit writes its new data files first and
 then one log row (version, files, operation, next identity value); readers use
 the files of the highest version, so a failed job never becomes visible.  Each
-operation reads the log once.  Update and delete
+operation reads the log once; after its own commit a table object keeps the
+head it wrote (one writer per table), a new object reads the log.  Update and delete
 are copy-on-write at file granularity: only files holding a matching row are
 rewritten (found with the ``_metadata.file_path`` column).  One writer per
 table at a time.
@@ -43,6 +44,7 @@ class SnapshotTable:
         self.schema = schema
         self.identity = identity
         self.varchar = dict(varchar or {})
+        self._known_head = None  # the head this object committed last
 
     @classmethod
     def at(cls, spark: SparkSession, name: str, schema: T.StructType, **kw) -> SnapshotTable:
@@ -57,6 +59,8 @@ class SnapshotTable:
             return None
 
     def _head(self):
+        if self._known_head is not None:
+            return self._known_head
         log = self._log()
         if log is None:
             return None
@@ -81,6 +85,7 @@ class SnapshotTable:
             next_id = head["next_id"] if head is not None else 1
         row = [(v, list(files), op, dt.datetime.now(), next_id)]
         self.spark.createDataFrame(row, _LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.path}/_log")
+        self._known_head = T.Row(version=v, files=list(files), op=op, next_id=next_id)
         return v
 
     # -- reading -----------------------------------------------------------
@@ -124,6 +129,8 @@ class SnapshotTable:
 
     def committed(self, op: str) -> bool:
         """Whether a commit with operation label ``op`` is in the log (for idempotent replays)."""
+        if self._known_head is not None and self._known_head["op"] == op:
+            return True
         log = self._log()
         return log is not None and not log.filter(F.col("op") == op).isEmpty()
 
@@ -135,14 +142,23 @@ class SnapshotTable:
         return self._commit(head, list(head["files"]) + self._write(df), op, next_id=start + n)
 
     def insert_values(self, rows: Iterable[tuple], columns: Sequence[str]) -> int:
-        """INSERT ... VALUES; identities follow the order of ``rows``."""
-        rows = [tuple(r) + (i,) for i, r in enumerate(rows)]
+        """INSERT ... VALUES; identities follow the order of ``rows``.
+
+        The rows are literals of the statement, already on the driver, so they
+        are numbered there; no distributed key assignment is needed.
+        """
+        rows = [tuple(r) for r in rows]
         fields = {f.name: f for f in self.schema.fields}
-        schema = T.StructType([T.StructField(c, T.StringType() if fields[c].dataType == T.DateType()
-                                             else fields[c].dataType) for c in columns]
-                              + [T.StructField("_ord", T.LongType())])
-        df = self.spark.createDataFrame(rows, schema)
-        return self.append(df, order_by=["_ord"])
+        in_schema = T.StructType([T.StructField(c, T.StringType() if fields[c].dataType == T.DateType()
+                                                else fields[c].dataType) for c in columns])
+        head = self._current()
+        start = head["next_id"] or 1
+        if self.identity:
+            in_schema = in_schema.add(T.StructField(self.identity, T.LongType()))
+            rows = [r + (start + i,) for i, r in enumerate(rows)]
+        df = self.spark.createDataFrame(rows, in_schema).coalesce(1)  # a statement's literals: one file
+        n = len(rows) if self.identity else 0
+        return self._commit(head, list(head["files"]) + self._write(df), "insert", next_id=start + n)
 
     def _with_identity(self, df: DataFrame, order_by, start: int) -> tuple[DataFrame, int]:
         if not self.identity:
