@@ -182,7 +182,7 @@ def reviews_load_wide(spark: SparkSession, t) -> DataFrame:
 def csv_export(spark: SparkSession, t) -> DataFrame:
     """B01 written as CSV (header, only if non-empty) and read back typed."""
     df = sales.product_sales_window(t, A.data_as_of(t), 1)
-    path = f"{storage_root(spark)}/exports/{_run_name('lastYearSales')}"
+    path = f"{storage_root(spark)}/exports/{_run_name('product_sales_window')}"
     export_csv(df, path)
     return read_csv(spark, path, "ProductName string, TotalSales double")
 
