@@ -20,6 +20,20 @@ from salesengine.sources.csv import CSV_OPTIONS
 from salesengine.sources.snapshot import SnapshotTable
 
 
+def batch_appender(table: SnapshotTable, order_by: Sequence[str], stream_id: str):
+    """The ``foreachBatch`` function: append a micro-batch once, skipping a batch id already committed."""
+
+    def append_batch(batch: DataFrame, batch_id: int) -> None:
+        op = f"stream-append:{stream_id}:{batch_id}"
+        if table.committed(op):
+            return
+        if batch.isEmpty():
+            return
+        table.append(batch, order_by=list(order_by), op=op)
+
+    return append_batch
+
+
 def start_append_stream(spark: SparkSession, source_dir: str, table: SnapshotTable, schema: T.StructType,
                         order_by: Sequence[str], fmt: str = "csv", stream_id: str | None = None,
                         available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
@@ -31,16 +45,7 @@ def start_append_stream(spark: SparkSession, source_dir: str, table: SnapshotTab
     if fmt == "csv":
         reader = reader.options(**CSV_OPTIONS)
     src = reader.format(fmt).load(source_dir)
-
-    def append_batch(batch: DataFrame, batch_id: int) -> None:
-        op = f"stream-append:{stream_id}:{batch_id}"
-        if table.committed(op):
-            return
-        if batch.isEmpty():
-            return
-        table.append(batch, order_by=list(order_by), op=op)
-
-    writer = src.writeStream.foreachBatch(append_batch).option(
+    writer = src.writeStream.foreachBatch(batch_appender(table, order_by, stream_id)).option(
         "checkpointLocation", f"{storage_root(spark)}/streams/{stream_id}")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

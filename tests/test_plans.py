@@ -40,16 +40,24 @@ def test_best_product_is_an_aggregate_not_a_window(spark, capsys):
     assert "min_by" in plan and "Window" not in plan
 
 
-def test_hot_salesperson_is_reduced_before_the_join(spark, capsys):
-    plan = _plan(E.queries()["salesperson_performance"](spark, SF001), capsys)
+@pytest.mark.parametrize("key", ["salesperson_performance", "customer_segments", "customer_retention",
+                                 "vendor_evaluation_by_vendor", "sales_by_month"])
+def test_hot_keys_are_reduced_before_the_shuffle(spark, capsys, key):
+    plan = _plan(E.queries()[key](spark, SF001), capsys)
     tree, details = plan.split("\n\n\n", 1)
     lines = tree.splitlines()
     orders_node = [b.split(")")[0].lstrip("(") for b in details.split("\n\n") if "orders.parquet" in b][0]
     i = [k for k, ln in enumerate(lines) if ln.endswith(f"Scan parquet  ({orders_node})")][0]
-    above = []
+    def col(ln):
+        return len(ln) - len(ln.lstrip(" :+-"))
+
+    above, c = [], col(lines[i])
     for ln in reversed(lines[:i]):
-        if "Exchange" in ln:
+        if col(ln) >= c:  # not an ancestor (a sibling subtree printed above)
+            continue
+        c = col(ln)
+        if "Exchange" in ln and "BroadcastExchange" not in ln:
             break
         above.append(ln)
-    # between the orders scan and its first exchange: a (partial) aggregate
+    # between the orders scan and the first shuffle above it: a (partial) aggregate
     assert any("HashAggregate" in ln for ln in above)

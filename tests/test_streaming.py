@@ -38,3 +38,18 @@ def test_stream_appends_new_files_once(spark):
     got = sorted((r["FeedbackID"], r["Comments"]) for r in table.read().collect())
     assert [i for i, _ in got] == list(range(1, 31))
     assert table.read().filter(F.col("Comments").isNull()).count() == 0
+
+
+def test_replayed_batch_is_not_appended_twice(spark):
+    from salesengine.streaming.load import batch_appender
+
+    rows = tablejobs.feedback_rows(feedback_events(spark, 12)).select(*SCHEMA.fieldNames())
+    table = feedback_table(spark, tablejobs._run_name("replay"))
+    table.create()
+    append = batch_appender(table, ["event_id"], "s1")
+    append(rows, 0)
+    append(rows, 0)  # the same micro-batch again, e.g. after a failure before the stream checkpoint
+    assert table.read().count() == 12
+    fresh = feedback_table(spark, table.path.rsplit("/", 1)[-1])  # a new object reads the log
+    batch_appender(fresh, ["event_id"], "s1")(rows, 0)
+    assert fresh.read().count() == 12
