@@ -58,8 +58,10 @@ def bootstrap_ci(df: DataFrame, group: str, row_id: str, value: str, scale: floa
     """
     lo_p, hi_p = _rank_params(level)
     # the input is usually a small aggregate in one partition while the work is rows x replicates:
-    # spread the rows round-robin first so the draws run on every core / executor
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # spread the rows round-robin over the cluster's cores first so the draws run everywhere
+    # (an explicit partition count is not coalesced by AQE, so it is capped at the cores)
+    spark = df.sparkSession
+    spread = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     rows = df.select(F.col(group).alias("g"), F.col(row_id).alias("r"), F.col(value).cast("long").alias("x"))
     rows = rows.repartition(spread)
     blocks = (replicates + DRAWS_PER_HASH - 1) // DRAWS_PER_HASH
