@@ -18,7 +18,7 @@ from salesengine.operators.identity import assign_identity
 from salesengine.plans import sales
 from salesengine.session import storage_root
 from salesengine.sources import adapters as A
-from salesengine.sources.csv import export_csv, read_csv
+from salesengine.sources.csv import export_csv, read_csv, read_csv_with_rejects
 from salesengine.sources.snapshot import REVIEWS_SCHEMA, REVIEWS_WIDE_SCHEMA, feedback_table, reviews_table
 from salesengine.sources.warehouse import run_query
 
@@ -143,14 +143,23 @@ def review_rows(t) -> DataFrame:
     return d.select(*cols)
 
 
+def load_reviews_csv(spark: SparkSession, path: str, name: str):
+    """Typed CSV read; rows that parse replace the table (numbered by product_id), rows that do not go to
+    ``<name>_rejects``.  Returns (table, rejects table path)."""
+    good, bad = read_csv_with_rejects(spark, path, T.StructType(REVIEWS_SCHEMA.fields[1:]))
+    rejects = f"{storage_root(spark)}/tables/{name}_rejects"
+    bad.write.mode("overwrite").parquet(rejects)
+    table = reviews_table(spark, name)
+    table.create()
+    table.replace(good, order_by=["product_id"])
+    return table, rejects
+
+
 def reviews_load(spark: SparkSession, t) -> DataFrame:
-    """Reviews -> CSV -> typed read -> identity -> replace the table -> read back."""
+    """Reviews -> CSV -> typed read (rejects kept aside) -> identity -> replace the table -> read back."""
     path = f"{storage_root(spark)}/exports/{_run_name('productReviews')}"
     export_csv(review_rows(t), path)
-    typed = read_csv(spark, path, T.StructType(REVIEWS_SCHEMA.fields[1:]))
-    table = reviews_table(spark, _run_name("ProductReviews"))
-    table.create()
-    table.replace(typed, order_by=["product_id"])
+    table, _ = load_reviews_csv(spark, path, _run_name("ProductReviews"))
     return table.read()
 
 

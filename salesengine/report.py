@@ -18,13 +18,16 @@ from salesengine.session import get_spark, storage_root
 from salesengine.sources.csv import export_csv
 
 CSV_EXPORTS = ("product_sales_window",)
+# results that are word for word another query's: written from that query's output, not recomputed
+SAME_AS = {"customer_demographics": "customer_segments", "chart_product_sales": "product_sales_window"}
 log = logging.getLogger("salesengine.report")
 
 
 def run_report(spark, tables_dir: str, out: str, keys=None) -> dict[str, str]:
     written = {}
     for key in keys or list(QUERIES):
-        df = QUERIES[key](spark, tables_dir)
+        src = SAME_AS.get(key)
+        df = spark.read.parquet(written[src]) if src in written else QUERIES[key](spark, tables_dir)
         path = f"{out.rstrip('/')}/{key}"
         df.write.mode("overwrite").parquet(path)
         written[key] = path

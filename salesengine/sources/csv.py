@@ -23,6 +23,25 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return r.csv(path)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_csv_with_rejects(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Typed read that keeps going past bad rows: (rows that parsed, rejected raw lines).
+
+    Rows whose fields do not fit the schema come back in the second frame with
+    the fields that did parse and their raw text (``raw_record``), so a load can
+    count them and keep them in a side table.
+    The parsed file is read once per frame; nothing is collected.
+    """
+    with_corrupt = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
+    raw = (spark.read.options(**CSV_OPTIONS).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", CORRUPT).schema(with_corrupt).csv(path))
+    good = raw.filter(raw[CORRUPT].isNull()).drop(CORRUPT)
+    bad = raw.filter(raw[CORRUPT].isNotNull()).withColumnRenamed(CORRUPT, "raw_record")
+    return good, bad
+
+
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> bool:
     """Write ``df`` with a header if it has rows; returns whether anything was written.
 

@@ -14,3 +14,11 @@ def test_report_writes_results(spark):
     back = spark.read.option("header", True).csv(f"{written['product_sales_window']}_csv")
     assert back.columns == ["ProductName", "TotalSales"]
     assert back.count() == spark.read.parquet(written["product_sales_window"]).count()
+
+
+def test_report_reuses_identical_results(spark):
+    out = f"{storage_root(spark)}/{tablejobs._run_name('report')}"
+    w = run_report(spark, SF001, out, ["customer_segments", "customer_demographics"])
+    a = spark.read.parquet(w["customer_segments"])
+    b = spark.read.parquet(w["customer_demographics"])
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -115,3 +115,22 @@ def test_csv_export_skips_empty(spark):
 def test_missing_csv_raises(spark):
     with pytest.raises(Exception):
         read_csv(spark, "/nonexistent/productReviews", "a string").count()
+
+
+def test_reviews_load_keeps_rejects_aside(spark):
+    from pyspark.sql import types as T
+
+    from salesengine.sources.snapshot import REVIEWS_SCHEMA
+
+    cols = [f.name for f in REVIEWS_SCHEMA.fields[1:]]
+    good = {c: None for c in cols}
+    rows = [dict(good, product_id="b", star_rating="1", review_body='fine, "quoted"\nsecond line'),
+            dict(good, product_id="a", star_rating="not a number", review_body="bad rating"),
+            dict(good, product_id="c", star_rating="0", review_date="2024-02-30x")]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField(c, T.StringType()) for c in cols]))
+    path = f"{storage_root(spark)}/exports/{tablejobs._run_name('rev')}"
+    export_csv(df.select(*cols), path)
+    table, rejects = tablejobs.load_reviews_csv(spark, path, tablejobs._run_name("rv"))
+    loaded = table.read().collect()
+    assert [(r["ID"], r["product_id"], r["star_rating"]) for r in loaded] == [(1, "b", 1)]
+    assert spark.read.parquet(rejects).count() == 2
