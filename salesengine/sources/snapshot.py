@@ -2,8 +2,10 @@
 
 A table is a folder holding immutable parquet data files plus a commit log
 (``_log``, itself parquet).  Each commit writes its new data files first and
-then one log row (version, files, operation, next identity value); readers use
-the files of the highest version, so a failed job never becomes visible.  Each
+then one log row (version, files, operation, next identity value) in the log's
+``version=N`` folder; readers use the files of the highest version, so a failed
+job never becomes visible.  Finding the head lists the log's folders and reads
+one row, however long the history.  Each
 operation reads the log once; after its own commit a table object keeps the
 head it wrote (one writer per table), a new object reads the log.  Update and delete
 are copy-on-write at file granularity: only files holding a matching row are
@@ -20,6 +22,7 @@ not reused (as an IDENTITY column behaves) and no scan is needed (A08).
 from __future__ import annotations
 
 import datetime as dt
+import re
 import uuid
 from collections.abc import Iterable, Sequence
 
@@ -58,13 +61,21 @@ class SnapshotTable:
         except Exception:  # noqa: BLE001 - no log yet
             return None
 
+    def _versions(self) -> list[int]:
+        log = self._log()
+        if log is None:
+            return []
+        return sorted({int(m.group(1)) for f in log.inputFiles() if (m := re.search(r"/version=(\d+)/", f))})
+
     def _head(self):
         if self._known_head is not None:
             return self._known_head
-        log = self._log()
-        if log is None:
+        versions = self._versions()
+        if not versions:
             return None
-        return log.orderBy(F.desc("version")).limit(1).first()
+        v = versions[-1]
+        row = self.spark.read.schema(_LOG_SCHEMA).parquet(f"{self.path}/_log/version={v}").first()
+        return T.Row(version=v, files=list(row["files"]), op=row["op"], next_id=row["next_id"])
 
     def _current(self):
         h = self._head()
@@ -84,7 +95,8 @@ class SnapshotTable:
         if next_id is None:
             next_id = head["next_id"] if head is not None else 1
         row = [(v, list(files), op, dt.datetime.now(), next_id)]
-        self.spark.createDataFrame(row, _LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.path}/_log")
+        self.spark.createDataFrame(row, _LOG_SCHEMA).coalesce(1).write.mode("append").partitionBy("version").parquet(
+            f"{self.path}/_log")
         self._known_head = T.Row(version=v, files=list(files), op=op, next_id=next_id)
         return v
 

@@ -134,3 +134,11 @@ def test_reviews_load_keeps_rejects_aside(spark):
     loaded = table.read().collect()
     assert [(r["ID"], r["product_id"], r["star_rating"]) for r in loaded] == [(1, "b", 1)]
     assert spark.read.parquet(rejects).count() == 2
+
+
+def test_head_is_found_by_a_fresh_object_after_many_commits(spark, loaded):
+    for i in range(11):  # versions past 10 must sort numerically
+        loaded.update(F.col("FeedbackID") == 1, {"Comments": F.lit(f"v{i}")})
+    fresh = feedback_table(spark, loaded.path.rsplit("/", 1)[-1])
+    assert fresh.version() == loaded.version()
+    assert fresh.read().filter(F.col("FeedbackID") == 1).first()["Comments"] == "v10"
