@@ -15,9 +15,15 @@ from pyspark.sql import functions as F
 
 from salesengine.functions.money import units_sum, units_to_double
 from salesengine.sources import adapters as A
+from salesengine.sources.warehouse import shared
 
 
 def customer_segments_exact(t) -> DataFrame:
+    """Shared by several queries of one report run (``Tables.shared``)."""
+    return shared(t, "segments", lambda: _customer_segments_exact_build(t))
+
+
+def _customer_segments_exact_build(t) -> DataFrame:
     pre = A.soh(t).groupBy("CustomerID", "BillToAddressID").agg(
         F.count("SalesOrderID").alias("n"), units_sum("TotalDueU").alias("s"))
     j = (
@@ -40,6 +46,11 @@ customer_demographics = customer_segments
 
 
 def customer_retention_exact(t) -> DataFrame:
+    """Shared by several queries of one report run (``Tables.shared``)."""
+    return shared(t, "retention", lambda: _customer_retention_exact_build(t))
+
+
+def _customer_retention_exact_build(t) -> DataFrame:
     # the distinct count is planned as (customer, order) -> customer, so a hot
     # customer is spread over partitions by order id in the first stage
     pre = A.soh(t).groupBy("CustomerID").agg(

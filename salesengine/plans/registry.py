@@ -20,29 +20,26 @@ Query = Callable[[SparkSession, str], DataFrame]
 WINDOW_YEARS = 1
 
 
-def _t(fn):
+def _query(on_tables, fn) -> Query:
+    """A (spark, sf_dir) callable; ``.on_tables(spark, t)`` runs it on an existing Tables object."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(load_tables(spark, sf_dir))
+        return on_tables(spark, load_tables(spark, sf_dir))
     run.__name__ = getattr(fn, "__name__", "query")
     run.__doc__ = fn.__doc__
+    run.on_tables = on_tables
     return run
 
 
+def _t(fn):
+    return _query(lambda spark, t: fn(t), fn)
+
+
 def _windowed(fn):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = load_tables(spark, sf_dir)
-        return fn(t, A.data_as_of(t), WINDOW_YEARS)
-    run.__name__ = fn.__name__
-    run.__doc__ = fn.__doc__
-    return run
+    return _query(lambda spark, t: fn(t, A.data_as_of(t), WINDOW_YEARS), fn)
 
 
 def _job(fn):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(spark, load_tables(spark, sf_dir))
-    run.__name__ = fn.__name__
-    run.__doc__ = fn.__doc__
-    return run
+    return _query(fn, fn)
 
 
 def _inventory_recent(t):

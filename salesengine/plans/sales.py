@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from salesengine.functions.money import money_avg_units, units_sum, units_to_double
 from salesengine.sources import adapters as A
+from salesengine.sources.warehouse import shared
 
 
 def window_start(t, as_of: dt.date | None, years: int) -> dt.date:
@@ -47,6 +48,11 @@ def product_sales_window(t, as_of: dt.date | None = None, years: int = 10) -> Da
 # -- B03 / B02 -------------------------------------------------------------
 
 def monthly_sales_exact(t) -> DataFrame:
+    """Shared by several queries of one report run (``Tables.shared``)."""
+    return shared(t, "monthly", lambda: _monthly_sales_exact_build(t))
+
+
+def _monthly_sales_exact_build(t) -> DataFrame:
     """Year, Month, TotalSales (exact units, decimal(38,0)) over all orders."""
     o = A.soh(t)
     return o.groupBy(
@@ -69,6 +75,11 @@ def sales_by_year(t, monthly: DataFrame | None = None) -> DataFrame:
 # -- B04 -------------------------------------------------------------------
 
 def product_totals_exact(t) -> DataFrame:
+    """Shared by several queries of one report run (``Tables.shared``)."""
+    return shared(t, "product_totals", lambda: _product_totals_exact_build(t))
+
+
+def _product_totals_exact_build(t) -> DataFrame:
     """Per product id: exact sums of LineTotal and Gross (UnitPrice*OrderQty), joined to its name."""
     per_id = A.sod(t).groupBy("ProductID").agg(
         units_sum("LineTotalU").alias("sales"), units_sum("GrossU").alias("cost"))
@@ -125,6 +136,11 @@ def _territory_product_lines(t) -> DataFrame:
 
 
 def territory_product_sales_exact(t) -> DataFrame:
+    """Shared by several queries of one report run (``Tables.shared``)."""
+    return shared(t, "territory_product", lambda: _territory_product_sales_exact_build(t))
+
+
+def _territory_product_sales_exact_build(t) -> DataFrame:
     pre = _territory_product_lines(t).groupBy("TerritoryID", "ProductID").agg(
         units_sum("TotalDueU").alias("s"), F.count("TotalDueU").alias("n"), F.max("TotalDueU").alias("m"),
         units_sum("LineTotalU").alias("line_sales"))

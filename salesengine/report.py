@@ -2,8 +2,8 @@
 
     python -m salesengine.report --tables /root/testdata/sf0.1 --out <shared folder> [key ...]
 
-Each result is written as parquet to ``<out>/<key>`` by the executors (nothing
-is collected); the flagship result is also exported as CSV, as the reference
+Intermediates several queries share are computed once.  Each result is written
+as parquet to ``<out>/<key>`` by the executors (nothing is collected); the flagship result is also exported as CSV, as the reference
 exports its first query.  A five-row preview of each result is logged (a
 top-5 job, not a collect of the result).  Errors are raised, not swallowed.
 """
@@ -16,6 +16,7 @@ import logging
 from salesengine.plans.registry import QUERIES
 from salesengine.session import get_spark, storage_root
 from salesengine.sources.csv import export_csv
+from salesengine.sources.warehouse import load_tables
 
 CSV_EXPORTS = ("product_sales_window",)
 # results that are word for word another query's: written from that query's output, not recomputed
@@ -24,10 +25,14 @@ log = logging.getLogger("salesengine.report")
 
 
 def run_report(spark, tables_dir: str, out: str, keys=None) -> dict[str, str]:
+    """Run the queries on one Tables object that shares intermediates: an aggregate several queries
+    use (monthly totals, product totals, customer segments, retention, territory x product) is
+    computed once and checkpointed, not once per query."""
+    t = load_tables(spark, tables_dir, share=True)
     written = {}
     for key in keys or list(QUERIES):
         src = SAME_AS.get(key)
-        df = spark.read.parquet(written[src]) if src in written else QUERIES[key](spark, tables_dir)
+        df = spark.read.parquet(written[src]) if src in written else QUERIES[key].on_tables(spark, t)
         path = f"{out.rstrip('/')}/{key}"
         df.write.mode("overwrite").parquet(path)
         written[key] = path

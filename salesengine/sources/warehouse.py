@@ -42,9 +42,12 @@ class Tables(Mapping):
     schema (no inference job); ``infer=True`` reads the files' own schema.
     """
 
-    def __init__(self, spark: SparkSession, root: str, names: Iterable[str] = TABLE_NAMES, infer: bool = False):
+    def __init__(self, spark: SparkSession, root: str, names: Iterable[str] = TABLE_NAMES, infer: bool = False,
+                 share: bool = False):
         self.spark = spark
         self.infer = infer
+        self.share = share
+        self._shared: dict[str, DataFrame] = {}
         self.root = root.rstrip("/")
         self._names = tuple(names)
         self._frames: dict[str, DataFrame] = {}
@@ -65,13 +68,30 @@ class Tables(Mapping):
     def __len__(self):
         return len(self._names)
 
+    def shared(self, name: str, build) -> DataFrame:
+        """An intermediate several queries use: built once and checkpointed when sharing is on.
+
+        With ``share`` off (one query per Tables object) the plan is returned as is.
+        """
+        if not self.share:
+            return build()
+        if name not in self._shared:
+            self._shared[name] = build().checkpoint(eager=True)
+        return self._shared[name]
+
     def register_views(self) -> None:
         for name in self._names:
             self[name].createOrReplaceTempView(name)
 
 
-def load_tables(spark: SparkSession, root: str) -> Tables:
-    return Tables(spark, root)
+def load_tables(spark: SparkSession, root: str, share: bool = False) -> Tables:
+    return Tables(spark, root, share=share)
+
+
+def shared(t, name: str, build) -> DataFrame:
+    """``t.shared`` when ``t`` is a Tables object; plain mappings (tests) just build."""
+    fn = getattr(t, "shared", None)
+    return fn(name, build) if fn is not None else build()
 
 
 def run_query(spark: SparkSession, tables: Tables, sql: str) -> DataFrame:

@@ -22,3 +22,15 @@ def test_report_reuses_identical_results(spark):
     a = spark.read.parquet(w["customer_segments"])
     b = spark.read.parquet(w["customer_demographics"])
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_shared_intermediates_are_built_once(spark):
+    from salesengine.plans import sales
+    from salesengine.sources.warehouse import load_tables
+
+    t = load_tables(spark, SF001, share=True)
+    a = sales.product_totals_exact(t)
+    b = sales.product_totals_exact(t)
+    assert a is b  # one checkpointed frame behind B04, B12, B13, C04, C05, C15
+    plain = load_tables(spark, SF001)
+    assert sales.product_totals_exact(plain) is not sales.product_totals_exact(plain)
