@@ -6,6 +6,10 @@ CTEs; ``sql(body, *views)`` prepends the ones a query needs.
 
 from __future__ import annotations
 
+from salesengine.operators.bootstrap import bootstrap_ci_sql
+from salesengine.operators.forecast import arima_111_forecast_sql
+from salesengine.operators.histogram import histogram_sql
+
 # adapter tables as SQL (FIXTURES.md §2); same mapping as sources/adapters.py
 VIEWS = {
     "soh": """SELECT o_orderkey AS SalesOrderID, o_custkey AS CustomerID, CAST(o_orderdate AS DATE) AS OrderDate,
@@ -173,8 +177,6 @@ GROUP BY edh.DepartmentID, d.Name""", "edh", "emp", "dept")
 
 # -- chart data (C) --------------------------------------------------------
 
-from salesengine.operators.bootstrap import bootstrap_ci_sql  # noqa: E402
-from salesengine.operators.histogram import histogram_sql  # noqa: E402
 
 _SEG = """SELECT c.CustomerID, a.City, a.StateProvinceID, COUNT(soh.SalesOrderID) AS OrderCount,
 SUM(soh.TotalDue) AS TotalSpent
@@ -243,7 +245,6 @@ FROM mean JOIN ci ON ci.TerritoryName = mean.TerritoryName LEFT JOIN lab ON lab.
               "lab": _B15_ROWS,
           })
 
-from salesengine.operators.forecast import arima_111_forecast_sql  # noqa: E402
 
 _END = "(SELECT CAST(date_trunc('month', max(o_orderdate)) AS DATE) FROM orders)"
 _SERIES = f"""SELECT 'ALL' AS k, CAST(date_trunc('month', OrderDate) AS DATE) AS period, CAST(SUM(TotalDue) AS DOUBLE) AS v
