@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from salesengine.session import reliable_checkpoint
 
 
 def _bin_expr(x: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -34,7 +35,7 @@ def _bin_expr(x: Column, lo: Column, hi: Column, bins: int) -> Column:
 def histogram(df: DataFrame, value: str | Column, bins: int = 20) -> DataFrame:
     """Bin, BinStart, BinEnd, Count for every one of ``bins`` bins (empty bins give 0)."""
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
-    vals = df.select(x.alias("x")).filter(F.col("x").isNotNull()).checkpoint(eager=True)
+    vals = reliable_checkpoint(df.select(x.alias("x")).filter(F.col("x").isNotNull()))
     lo0, hi0 = vals.agg(F.min("x"), F.max("x")).first()
     if lo0 is None:  # no values: numpy's default range
         lo0, hi0 = 0.0, 1.0

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from salesengine.session import reliable_checkpoint
 
 _POS_BITS = 33  # monotonically_increasing_id = partition << 33 | position
 
@@ -27,7 +28,7 @@ def assign_identity_counted(df: DataFrame, order_by: list[str | Column], id_col:
                             start: int = 1) -> tuple[DataFrame, int]:
     """As ``assign_identity``, also returning the number of rows (known from the partition counts)."""
     spark = df.sparkSession
-    ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).checkpoint(eager=True)
+    ranged = reliable_checkpoint(df.repartitionByRange(*order_by).sortWithinPartitions(*order_by))
     tagged = ranged.select(
         "*", F.spark_partition_id().alias("_pid"),
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _POS_BITS) - 1)).alias("_pos"))

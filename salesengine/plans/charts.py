@@ -16,6 +16,7 @@ from salesengine.operators.bootstrap import bootstrap_ci
 from salesengine.operators.histogram import histogram
 from salesengine.operators.topk import bottom_k, top_k
 from salesengine.plans import customers, sales
+from salesengine.session import reliable_checkpoint
 
 TEN_THOUSANDTHS = 10000.0
 
@@ -91,7 +92,7 @@ def top20_cities(t) -> DataFrame:
 
 def top20_city_counts(t) -> DataFrame:
     """C11: segment rows restricted to the top-20 cities (left-semi join with C10), counted per city."""
-    counts = _city_counts(t).checkpoint(eager=True)  # one row per city, read twice
+    counts = reliable_checkpoint(_city_counts(t))  # one row per city, read twice
     top = top_k(counts, 20, [F.desc("CustomerRows"), F.asc("City")]).select("City")
     # rows per city were already counted; restricting the counts equals counting the restricted rows
     return counts.join(top, "City", "left_semi").orderBy(F.desc("CustomerRows"), "City")
@@ -121,7 +122,7 @@ def top10_profit(t) -> DataFrame:
 def territory_mean_ci(t) -> DataFrame:
     """Per territory, mean of B14's AvgSales with a 95 % bootstrap interval, labelled by B15."""
     # B14 and B15 share one territory x product aggregate, materialised once
-    exact = sales.territory_product_sales_exact(t).checkpoint(eager=True)
+    exact = reliable_checkpoint(sales.territory_product_sales_exact(t))
     rows = sales.territory_product_sales(t, exact).select(
         "TerritoryName", "BestSellingProduct",
         F.round(F.col("AvgSales") * F.lit(TEN_THOUSANDTHS)).cast("long").alias("x"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from salesengine.functions.money import units_sum, units_to_double
 from salesengine.operators.forecast import arima_111_forecast
 from salesengine.sources import adapters as A
+from salesengine.session import reliable_checkpoint
 
 TOTAL_SERIES = "ALL"
 
@@ -55,13 +56,13 @@ def sales_forecast(t, as_of: dt.date | None = None, steps: int = 12) -> DataFram
     reads it several times (calendar bounds, calendar join, the two kinds of
     series) and the fact scan behind it must not run again for each.
     """
-    m = monthly_series(t, as_of).checkpoint(eager=True)
+    m = reliable_checkpoint(monthly_series(t, as_of))
     return arima_111_forecast(m, "SeriesKey", "Month", "TotalSales", steps=steps).orderBy("SeriesKey", "Step")
 
 
 def actual_and_forecast(t, as_of: dt.date | None = None, steps: int = 12) -> DataFrame:
     """C17: the company series' monthly actuals followed by its forecast, with a Kind label."""
-    m = monthly_series(t, as_of).filter(F.col("SeriesKey") == TOTAL_SERIES).checkpoint(eager=True)
+    m = reliable_checkpoint(monthly_series(t, as_of).filter(F.col("SeriesKey") == TOTAL_SERIES))
     actual = m.select(F.col("Month").alias("Date"), F.col("TotalSales").alias("Sales"), F.lit("actual").alias("Kind"))
     fc = arima_111_forecast(m, "SeriesKey", "Month", "TotalSales", steps=steps).select(
         F.col("ForecastDate").alias("Date"), F.col("Forecast").alias("Sales"), F.lit("forecast").alias("Kind"))

@@ -79,3 +79,9 @@ def configure_for_scale(spark: SparkSession, **overrides: str) -> SparkSession:
         spark.conf.set(k, v)
     storage_root(spark)
     return spark
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint()`` into the shared folder (made sure of first); never a local checkpoint."""
+    storage_root(df.sparkSession)
+    return df.checkpoint(eager=True)

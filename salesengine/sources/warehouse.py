@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from salesengine.session import reliable_checkpoint
 
 TABLE_NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -76,7 +77,7 @@ class Tables(Mapping):
         if not self.share:
             return build()
         if name not in self._shared:
-            self._shared[name] = build().checkpoint(eager=True)
+            self._shared[name] = reliable_checkpoint(build())
         return self._shared[name]
 
     def register_views(self) -> None:
