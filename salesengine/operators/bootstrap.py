@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salesengine.session import parallelism
+
 REPLICATES = 1001
 MAX_WEIGHT = 12
 DRAWS_PER_HASH = 4  # 32-bit uniforms per 128-bit md5 digest
@@ -61,7 +63,7 @@ def bootstrap_ci(df: DataFrame, group: str, row_id: str, value: str, scale: floa
     # spread the rows round-robin over the cluster's cores first so the draws run everywhere
     # (an explicit partition count is not coalesced by AQE, so it is capped at the cores)
     spark = df.sparkSession
-    spread = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    spread = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), parallelism(spark)))
     rows = df.select(F.col(group).alias("g"), F.col(row_id).alias("r"), F.col(value).cast("long").alias("x"))
     rows = rows.repartition(spread)
     blocks = (replicates + DRAWS_PER_HASH - 1) // DRAWS_PER_HASH

@@ -45,17 +45,33 @@ def storage_root(spark: SparkSession) -> str:
     a shared folder, since executors can be lost and their local disks with them.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = _context(spark)
     if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if sc is None or not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) on a cluster")
         root = tempfile.mkdtemp(prefix="salesengine-")
         spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root.rstrip("/") + "/rdd-checkpoints")
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root.rstrip("/") + "/rdd-checkpoints")
     return root.rstrip("/")
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None for a Spark Connect session (the server owns it)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001
+        return None
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Cores of the cluster (classic session), else the shuffle partition count."""
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 # Runtime SQL settings for a large cluster (100 TB inputs, ~1000 executors).  They only
 # size partitions and let AQE act; results do not depend on them.
 SCALE_SETTINGS = {
