@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from salesengine.functions.money import int_avg, money_avg
 from salesengine.plans import customers, people, sales, supply
