@@ -1,6 +1,9 @@
 """Skew experiment: B07 with one customer holding a third of 3M orders, naive plan vs implemented plan.
 
-usage: python tools/skew_experiment.py <fresh scratch folder>
+usage: python tools/skew_experiment.py <fresh scratch folder> [fanout]
+
+``fanout``: B16 instead, with one product holding a third of 3M order lines spread over 25 suppliers:
+the literal join (product x stock rows x sales rows) vs the implemented product of two aggregates.
 
 Generated data (not a registered query): orders where every third order belongs to customer 1.
 Broadcasts are off, as for fact-sized tables at scale.  Per plan it prints the wall time and, from the
@@ -48,6 +51,30 @@ def main():
         F.lit(0.0).alias("c_acctbal"), F.lit("A").alias("c_mktsegment"),
     ).write.parquet(f"{d}/data/customer.parquet")
     t = load_tables(spark, f"{d}/data")
+    fanout = "fanout" in sys.argv[2:]
+    if fanout:
+        spark.range(3_000_000).select(
+            F.col("id").alias("l_orderkey"),
+            F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 100000 + 2).alias("l_partkey"),
+            (F.col("id") % 25 + 1).alias("l_suppkey"), F.lit(1).alias("l_linenumber"), F.lit(1.0).alias("l_quantity"),
+            F.lit(10.0).alias("l_extendedprice"), F.lit(0.0).alias("l_discount"), F.lit(0.0).alias("l_tax"),
+            F.lit("N").alias("l_returnflag"), F.lit("O").alias("l_linestatus"),
+            F.expr("timestamp_ntz'1995-01-01 00:00:00'").alias("l_shipdate"),
+        ).repartition(16).write.parquet(f"{d}/data/lineitem.parquet")
+        spark.range(1, 100002).select(F.col("id").alias("p_partkey"), F.concat(F.lit("p"), F.col("id") % 50).alias("p_name"),
+                                      F.lit("b").alias("p_brand"), F.lit("t").alias("p_type"), F.lit(1).alias("p_size"),
+                                      F.lit(1.0).alias("p_retailprice")).write.parquet(f"{d}/data/part.parquet")
+        t = load_tables(spark, f"{d}/data")
+        from salesengine.plans import supply
+
+        def naive_fanout(t):
+            for v in ("prod", "inv", "sod"):
+                A.ADAPTERS[v](t).createOrReplaceTempView(v)
+            return spark.sql("""SELECT p.ProductID, p.Name AS ProductName, pi.Quantity AS InventoryQty,
+                COUNT(sod.SalesOrderDetailID) AS SalesCount
+                FROM prod p JOIN inv pi ON p.ProductID = pi.ProductID JOIN sod ON p.ProductID = sod.ProductID
+                GROUP BY p.ProductID, p.Name, pi.Quantity HAVING pi.Quantity < 10""")
+        plans = [("naive", naive_fanout), ("implemented", supply.low_inventory_sellers)]
 
     def naive(t):
         orders = A.soh(t).select("CustomerID", "SalesOrderID", "TotalDueU", "OrderDate")
@@ -56,7 +83,9 @@ def main():
 
     sc = spark.sparkContext
     wall = {}
-    for name, fn in [("naive", naive), ("implemented", customers.customer_retention_exact)] * 2:
+    if not fanout:
+        plans = [("naive", naive), ("implemented", customers.customer_retention_exact)]
+    for name, fn in plans * 2:
         sc.setJobGroup(name, name)
         t0 = time.perf_counter()
         fn(t).write.format("noop").mode("overwrite").save()
@@ -87,8 +116,9 @@ def main():
         rows = [(s, len(ts), sum(x[1] for x in ts), max(ts, key=lambda x: x[1])) for s, ts in tasks.items()
                 if stage_group.get(s) == g and sum(x[1] for x in ts)]
         s, ntask, total, (ms, rec) = max(rows, key=lambda r: r[3][1])
+        longest = max(x[0] for s2, ts in tasks.items() if stage_group.get(s2) == g for x in ts)
         print(f"{g}: wall {wall[g]} s; busiest shuffle task read {rec} of {total} records ({rec / total:.0%}) "
-              f"in {ms} ms (stage {s}, {ntask} tasks)")
+              f"in {ms} ms (stage {s}, {ntask} tasks); longest task {longest} ms")
 
 
 if __name__ == "__main__":
