@@ -40,6 +40,12 @@ _LOG_SCHEMA = "version long, files array<string>, op string, committed_at timest
 
 
 class SnapshotTable:
+    """A table at ``path`` with a declared schema, an optional identity column and VARCHAR limits.
+
+    ``create``/``replace``/``append``/``insert_values``/``update``/``delete`` each commit one version;
+    ``read`` returns the current version as a lazy DataFrame.
+    """
+
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, identity: str | None = None,
                  varchar: dict[str, int] | None = None):
         self.spark = spark
