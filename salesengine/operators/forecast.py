@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salesengine.session import parallelism
+
 
 def _grid(grid_step: float) -> tuple[int, float]:
     half = int(round(0.9 / grid_step))
@@ -81,6 +83,9 @@ def arima_111_forecast(monthly: DataFrame, key: str, period: str, value: str, st
     ys = F.col("ys")
     w = F.transform(F.sequence(F.lit(2), F.size(ys)), lambda i: F.element_at(ys, i) - F.element_at(ys, i - 1))
     series = series.select(key, "last", F.element_at(ys, -1).alias("y_last"), w.alias("w"))
+    # one small row per series but a grid of folds each: AQE would pack the rows into one task by size,
+    # so spread them over the cluster's cores before the fit
+    series = series.repartition(parallelism(monthly.sparkSession))
 
     half, step = _grid(grid_step)
     best = _best_on_grid(F.col("w"), F.lit(0.0), F.lit(0.0), half, step)
