@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 
@@ -30,7 +31,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
     for k, v in DEFAULTS.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("SALESENGINE_DRIVER_MEMORY", "16g"))
+    builder = builder.config("spark.driver.memory", os.environ.get("SALESENGINE_DRIVER_MEMORY", "8g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     storage_root(spark)
@@ -49,13 +50,18 @@ def storage_root(spark: SparkSession) -> str:
     if not root:
         if sc is None or not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) on a cluster")
-        root = tempfile.mkdtemp(prefix="salesengine-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root(spark.sparkContext.applicationId)
     if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root.rstrip("/") + "/rdd-checkpoints")
     return root.rstrip("/")
 
 
+@functools.cache
+def _local_root(application: str) -> str:
+    """One private folder per local application (``spark.checkpoint.dir`` cannot be set in a running session)."""
+    return tempfile.mkdtemp(prefix="salesengine-")
+
+
 def _context(spark: SparkSession):
     """The SparkContext of a classic session; None for a Spark Connect session (the server owns it)."""
     try:
