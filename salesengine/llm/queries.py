@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesengine.llm import decontaminate, quality, secret_scan, sharding, simhash
+from salesengine.llm import decontaminate, pii, quality, secret_scan, sharding, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, F.col("doc_id"), SHARDS)
 
 
+#: Of the registered query; a deployment passes its own secret.
+PII_KEY = "registered-query"
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their entities replaced, and how many."""
+    return pii.pseudonymise(_read(spark, sf_dir, "documents"), PII_KEY, "n_replaced")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document; learnt from the labelled rows that aren't held out."""
     docs = _read(spark, sf_dir, "documents")
@@ -64,6 +73,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
     "op8_decontaminate": op8_decontaminate,
