@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesengine.llm import decontaminate, pii, quality, secret_scan, sharding, simhash
+from salesengine.llm import decontaminate, packing, pii, quality, secret_scan, sharding, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,19 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, net, "doc_id").select("doc_id", quality.held_out().alias("held_out"), "score", quality.predicted().alias("predicted"))
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary that the packing query counts tokens by."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    sized = packing.pieces(_read(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(sized).drop("copy")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
@@ -75,6 +88,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,
+    "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op8_decontaminate": op8_decontaminate,
     "op10_secret_scan": op10_secret_scan,
