@@ -34,6 +34,7 @@ from salesengine.session import reliable_checkpoint
 
 ROOMY = 6
 TITLES = "Mr|Mrs|Ms|Miss|Mister|Dr|Prof|Herr|Frau|Sr|Sra|Señor|Señora|Mme|Mlle|Monsieur|Madame|M\\.|г-н|г-жа|Господин|Госпожа|Κύριος|Κυρία"
+_FIRST = "".join(sorted({t[0] for t in TITLES.split("|")}))  # looked at first, as most places fail here
 _NAME = r"\p{Lu}[\p{L}\p{M}'’-]+"
 #: Kinds in order of precedence.
 PATTERNS = {
@@ -43,12 +44,12 @@ PATTERNS = {
     "card": r"(?<![\p{L}\p{N}.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\p{L}\p{N}]|[.-]\d)",
     "ssn": r"(?<![\p{L}\p{N}.-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-)",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? {_NAME}(?: {_NAME}){{0,2}}",
+    "name": rf"(?=[{_FIRST}])(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 #: All kinds as one pattern; the phones' back reference needs a name there.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([.-])\d{3}\1", r"(?<sep>[.-])\d{3}\k<sep>")
 #: Texts without these have no entity; far cheaper to look for than ANY.
-HINT = rf"@|\d|(?:{TITLES})\.? \p{{Lu}}"
+HINT = rf"[@0-9]|(?=[{_FIRST}])(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}"
 #: Letters that may stand for one another (fixed values).
 CLASSES = (
     "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz",
@@ -171,10 +172,12 @@ def entities(text: Column) -> Column:
 def surrogates(found: DataFrame, key: str) -> DataFrame:
     """(kind, unit, surrogate) for the distinct entities ``found`` (kind, unit): no surrogate is an entity, and none comes twice."""
     real = reliable_checkpoint(found.distinct())
+    # few bytes but much work a row: a fixed number of partitions, which adaptive execution doesn't merge
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pending = real.withColumn("attempt", F.lit(0))
     taken: list[DataFrame] = []
     while True:
-        tried = reliable_checkpoint(pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("unit"), F.col("attempt"), key)))
+        tried = reliable_checkpoint(pending.repartition(tasks, "kind", "unit").withColumn("surrogate", surrogate(F.col("kind"), F.col("unit"), F.col("attempt"), key)))
         left = tried.alias("t")
         # of those that propose the same, the least entity has it
         first = tried.groupBy("kind", "surrogate").agg(F.min("unit").alias("unit"))
