@@ -26,7 +26,10 @@ from __future__ import annotations
 import math
 import os
 import re
+import sys
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 from pathlib import Path
@@ -34,6 +37,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,45 +53,99 @@ PIECES = "doc_id {id}, copy long, piece int, start long, length long, ids_crc32
 
 # ------------------------------------------------------------------ tokens
 
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordCache:
     """Ids of a text as little-endian 32-bit bytes, by a tokenizer that drops white space and treats the words between alone.
 
-    Ids are kept by word, for as many words as ``limit`` allows.
+    Ids are kept by word, and by the letter runs, digits and sign runs that the
+    tokenizer splits a word into, for as many of either as ``limit`` allows.
+    Only words of ASCII or Latin letters without a special token are split here;
+    the tokenizer gets all others whole.
     """
 
-    #: White space as the tokenizer's \\s knows it.
+    #: White space as the tokenizer's \\s knows it, and its split of lower-case words (fixed values).
     space = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+    ascii_parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    latin_parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, tokenizer_json: str, limit: int = 400_000, longest: int = 64):
+    def __init__(self, tokenizer_json: str, limit: int = 800_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores belong to Spark's tasks
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.limit, self.longest, self.ids = limit, longest, {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.model = self.tokenizer.model
+        # the byte-level letters: printable Latin-1 stands for itself, other bytes for what follows from 256 on
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = iter(range(256, 512))
+        self.letters = [chr(b if b in plain else next(others)) for b in range(256)]
+        self.limit, self.longest = limit, longest
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _split(self, word: str) -> list[str] | None:
+        """The parts of a word as the tokenizer's model gets them, None for a word that the tokenizer should see."""
+        if "<|" not in word:
+            if word.isascii():
+                return self.ascii_parts.findall(word.lower())
+            if max(word) < "\u0250":
+                return self.latin_parts.findall(unicodedata.normalize("NFC", word).lower())
+        return None
+
+    def _part(self, part: str) -> bytes:
+        if not (part.isascii() and part.isprintable()):
+            part = "".join([self.letters[b] for b in part.encode("utf-8")])
+        return _bytes([t.id for t in self.model.tokenize(part)])
+
+    def _word(self, word: str) -> bytes:
+        parts = self._split(word)
+        if parts is None:
+            return _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        held = self.parts
+        out = []
+        for p in parts:
+            ids = held.get(p)
+            if ids is None:
+                ids = self._part(p)
+                if len(p) <= self.longest:
+                    held[p] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        words = self.space.split(text)
-        known = self.ids
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) > self.limit:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            short = [w for w in new if len(w) <= self.longest]
-            known.update(zip(short, self._encode(short), strict=True))
-            long = [w for w in new if len(w) > self.longest]
-            if long:
-                own = dict(zip(long, self._encode(long), strict=True))
-                return b"".join(own[w] if w in own else known[w] for w in words)
-        return b"".join(map(known.__getitem__, words))
+        words, known = self.space.split(text), self.words
+        if len(known) > self.limit:
+            known.clear()
+        if len(self.parts) > self.limit:
+            self.parts.clear()
+        out = list(map(known.get, words))
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            w = words[k]
+            out[k] = known.get(w) or self._word(w)  # it may be known from an earlier place by now
+            if len(w) <= self.longest:
+                known[w] = out[k]
+        return b"".join(out)
+
+
+_CACHES: dict[int, WordCache] = {}  # of a Python worker, which runs many tasks
+
+
+def _cache(tokenizer_json: str) -> WordCache:
+    key = hash(tokenizer_json)
+    if key not in _CACHES:
+        _CACHES.clear()
+        _CACHES[key] = WordCache(tokenizer_json)
+    return _CACHES[key]
 
 
 def _pieces(tokenizer_json, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer_json.value)
+        cache = _cache(tokenizer_json.value)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
