@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesengine.llm import decontaminate, packing, pii, quality, secret_scan, sharding, simhash
+from salesengine.llm import decontaminate, fingerprints, packing, pii, quality, secret_scan, sharding, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, F.col("doc_id"), SHARDS)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and how like they and the next document are."""
+    return fingerprints.with_edited_and_next(_read(spark, sf_dir, "documents"))
+
+
 #: Of the registered query; a deployment passes its own secret.
 PII_KEY = "registered-query"
 
@@ -86,6 +91,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_fingerprints": op2_fingerprints,
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
