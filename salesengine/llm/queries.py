@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesengine.llm import decontaminate, fingerprints, packing, pii, quality, secret_scan, sharding, simhash
+from salesengine.llm import decontaminate, fingerprints, packing, pii, quality, secret_scan, sharding, simhash, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_shared", "n_item", "containment").distinct()
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 13-word windows of earlier ones."""
+    return substring.deduplicated(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, by a ledger that starts empty."""
     docs = _read(spark, sf_dir, "documents")
@@ -97,6 +102,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op8_decontaminate": op8_decontaminate,
+    "op9_substring": op9_substring,
     "op10_secret_scan": op10_secret_scan,
 }
 
@@ -111,4 +117,15 @@ SELECT doc_id, item_id, CAST(n_shared AS INTEGER) AS n_shared, CAST(n_item AS IN
 FROM hit JOIN n USING (item_id) WHERE n_shared >= n_item * 0.8 - 1e-9
 """
 
-ORACLE: dict[str, str] = {"op8_decontaminate": _OP8}
+_OP9 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT s, min(doc_id) AS first FROM x GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM x JOIN f USING (s), range(0, 13) AS r(k) WHERE doc_id > first),
+p AS (SELECT doc_id, i, w[i] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+kept AS (SELECT p.doc_id, string_agg(t, ' ' ORDER BY i) AS text, count(*) AS n FROM p ANTI JOIN gone ON p.doc_id = gone.doc_id AND p.i = gone.i GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op9_substring": _OP9, "op8_decontaminate": _OP8}
