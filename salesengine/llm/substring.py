@@ -8,10 +8,12 @@ Nearly all windows of a corpus are unique, so they should not be shuffled.  A
 first pass adds every document's distinct windows to count-min sketches, one for
 each task; sketches are merged counter by counter.  A window's estimate is the
 least of its counters and never below the number of documents that have it.  The
-second pass emits only windows estimated in two documents or more; these are
-grouped exactly (by 96 bits of hash, hot windows pre-aggregated before the
-shuffle) to find the first document of each.  What the sketch overestimates is
-dropped there, and nothing is lost whatever the sketch's size.
+second pass keeps only windows estimated in two documents or more; these are
+grouped exactly (by 96 bits of hash) to find the first document of each: first
+within a task, which sends each window on for one document only, so that a hot
+window has no more rows than there are tasks; then over all tasks, by parts of
+the hash space, with windows packed into a few bytes each.  What the sketch
+overestimates is dropped there, and nothing is lost whatever the sketch's size.
 
 Counters saturate at 2, all the second pass asks for, so the merged sketch is a
 bit for each counter.  It has ``COUNTERS_PER_WORD`` counters for each expected
@@ -29,6 +31,7 @@ whatever their names.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +51,9 @@ MAX_COUNTERS = 1 << 30
 SEGMENT = 1 << 20
 #: Windows a task holds before it sends its sketch on and begins another.
 FLUSH = 6_000_000
+#: Windows that one part of the hash space has at most, about.
+PART = 1_000_000
+NULL_ID = -(1 << 63)
 
 
 def _data(text: str | None) -> bytes:
@@ -142,14 +148,99 @@ def sketch(docs: DataFrame, segments: int, width: int = WIDTH) -> bytes:
 
 # ------------------------------------------------------------------ windows that may repeat
 
-def _repeated(bits, segments: int, width: int):
-    """(low, high, doc_id, at) of the windows that the sketch estimates in two documents or more; at: row_key and place in one number."""
+def _planes(a: np.ndarray) -> bytes:
+    """The bytes of all numbers' first places, then of their second places, and so on: like bytes lie together."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+
+
+def _from_planes(data: memoryview, kind: str, n: int) -> tuple[np.ndarray, memoryview]:
+    size = np.dtype(kind).itemsize * n
+    return np.ascontiguousarray(np.frombuffer(data[:size], np.uint8).reshape(-1, n).T).view(kind).ravel(), data[size:]
+
+
+def _pack_windows(low: np.ndarray, high: np.ndarray, row: np.ndarray, place: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> bytes:
+    """Windows sorted by ``low`` with the rows (numbers into ids and keys) that have them."""
+    used, row = np.unique(row, return_inverse=True)
+    order = np.argsort(ids[used], kind="stable")
+    rank = np.empty(len(used), np.uint32)
+    rank[order] = np.arange(len(used))
+    used = used[order]
+    body = b"".join(map(_planes, (
+        np.diff(low, prepend=np.uint64(0)), high, rank[row], place.astype(np.uint32),
+        np.diff(ids[used].view(np.uint64), prepend=np.uint64(0)), keys[used].astype(np.int32),
+    )))
+    return np.array([len(low), len(used)], "<i8").tobytes() + zstandard.compress(body, 1)
+
+
+def _unpack_windows(blob: bytes) -> tuple[np.ndarray, ...]:
+    """(low, high, doc_id, row_key, place)."""
+    n, docs = np.frombuffer(blob[:16], "<i8").tolist()
+    data = memoryview(zstandard.decompress(blob[16:]))
+    out = []
+    for kind, size in (("u8", n), ("u4", n), ("u4", n), ("u4", n), ("u8", docs), ("i4", docs)):
+        x, data = _from_planes(data, kind, size)
+        out.append(x)
+    low, high, row, place, ids, keys = out
+    return np.cumsum(low, dtype=np.uint64), high, np.cumsum(ids, dtype=np.uint64).view(np.int64)[row], keys[row], place
+
+
+def _pack_places(place: np.ndarray) -> bytes:
+    wide = len(place) and int(place.max()) >= 1 << 16
+    return (b"4" if wide else b"2") + place.astype("<u4" if wide else "<u2").tobytes()
+
+
+def _unpack_places(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob[1:], "<u4" if blob[:1] == b"4" else "<u2").astype(np.int64)
+
+
+def _not_first(low: np.ndarray, high: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by window and document, and which places of it have a window that a smaller document has, too."""
+    order = np.lexsort((doc, high, low))
+    low, high, doc = low[order], high[order], doc[order]
+    start = np.ones(len(order), bool)
+    start[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    first = np.flatnonzero(start)
+    return order, doc > np.repeat(doc[first], np.diff(np.append(first, len(doc))))
+
+
+_DEALT = pa.schema([("part", pa.int32()), ("windows", pa.binary()), ("doc_id", pa.int64()), ("row_key", pa.int32()), ("places", pa.binary())])
+
+
+def _gone_rows(doc: np.ndarray, key: np.ndarray, place: np.ndarray, part) -> pa.RecordBatch:
+    """A row for each document with its removed windows' places."""
+    order = np.lexsort((key, doc))
+    doc, key, place = doc[order], key[order], place[order]
+    start = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))) if len(doc) else np.empty(0, np.int64)
+    blobs = [_pack_places(p) for p in np.split(place, start[1:])] if len(doc) else []
+    n = len(start)
+    return pa.RecordBatch.from_arrays([pa.array(part(key[start]), pa.int32()), pa.nulls(n, pa.binary()), pa.array(doc[start], pa.int64()), pa.array(key[start].astype(np.int32)), pa.array(blobs, pa.binary())], schema=_DEALT)
+
+
+def _repeated(bits, segments: int, width: int, part_bits: int):
+    """The windows that the sketch estimates in two documents or more, dealt by their hash.
+
+    What a task can tell by itself, that a window isn't in its first document, it settles at once: of each window
+    a task deals out the occurrences in one document only, however common the window is.
+    """
+    def emit(held: list[tuple], ids: list, keys: list) -> Iterator[pa.RecordBatch]:
+        low, high, row, place = (np.concatenate(c) for c in zip(*held, strict=True))
+        ids, keys = np.array(ids, np.int64), np.array(keys, np.int32)
+        order, later = _not_first(low, high, ids[row])
+        gone, order = order[later], order[~later]
+        yield _gone_rows(ids[row[gone]], keys[row[gone]], place[gone], lambda k: (k & ((1 << part_bits) - 1)).astype(np.int32))
+        low, high, row, place = low[order], high[order], row[order], place[order]
+        part = (low >> np.uint64(64 - part_bits)).astype(np.int32)
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        blobs = [_pack_windows(*x, ids, keys) for x in zip(*(np.split(c, cuts) for c in (low, high, row, place)), strict=True)] if len(low) else []
+        n = len(blobs)
+        numbers = part[np.append(0, cuts)] if n else part
+        yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_DEALT)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.frombuffer(bits.value, np.uint8)
+        held, ids, keys, size = [], [], [], 0
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], []]
-            keys = batch.column("row_key").to_numpy(zero_copy_only=False).astype(np.int64)
-            for k, text in enumerate(batch.column("text")):
+            for doc, key, text in zip(*(batch.column(c) for c in ("doc_id", "row_key", "text")), strict=True):
                 low, high = windows(text.as_py(), width)
                 if not len(low):
                     continue
@@ -157,14 +248,46 @@ def _repeated(bits, segments: int, width: int):
                 for at in _places(low, high, segments):
                     keep &= (flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
                 place = np.flatnonzero(keep)
-                at = (keys[k] << 32) + place
-                for c, v in zip(cols, (low[place].view(np.int64), (high[place] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(place), k), at), strict=True):
-                    c.append(v)
-            low, high, row, at = (np.concatenate(c) if c else np.empty(0, t) for c, t in zip(cols, (np.int64, np.int32, np.int64, np.int64), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), batch.column("doc_id").take(pa.array(row)), pa.array(at)], names=["low", "high", "doc_id", "at"])
+                if not len(place):
+                    continue
+                held.append((low[place], (high[place] >> np.uint64(32)).astype(np.uint32), np.full(len(place), len(ids), np.uint32), place))
+                ids.append(doc.as_py())
+                keys.append(key.as_py())
+                size += len(place)
+                if size > FLUSH // 2:
+                    yield from emit(held, ids, keys)
+                    held, ids, keys, size = [], [], [], 0
+        if held:
+            yield from emit(held, ids, keys)
     return run
 
 
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares the tasks' windows, part by part (rows come sorted by part)."""
+    held: list[tuple] = []
+    now = None
+
+    def emit() -> pa.RecordBatch:
+        low, high, doc, key, place = (np.concatenate(c) for c in zip(*held, strict=True))
+        order, later = _not_first(low, high, doc)
+        gone = order[later]
+        return _gone_rows(doc[gone], key[gone], place[gone], lambda k: np.zeros(len(k), np.int32))
+
+    for batch in batches:
+        settled = batch.filter(batch.column("places").is_valid())
+        if settled.num_rows:
+            yield settled.select(["doc_id", "row_key", "places"])
+        rest = batch.filter(batch.column("windows").is_valid())
+        for part, blob in zip(rest.column("part").to_pylist(), rest.column("windows"), strict=True):
+            if part != now and held:
+                yield emit().select(["doc_id", "row_key", "places"])
+                held = []
+            now = part
+            held.append(_unpack_windows(blob.as_py()))
+    if held:
+        yield emit().select(["doc_id", "row_key", "places"])
+
+
 def _cut(width: int):
     """Applies the places of removed windows to whole texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +300,7 @@ def _cut(width: int):
                 removed = 0
                 if places.is_valid:
                     cover = np.zeros(n + 1, np.int64)
-                    at = np.asarray(places.values, np.int64)
+                    at = np.concatenate([_unpack_places(x.as_py()) for x in places.values])
                     np.add.at(cover, at, 1)
                     np.add.at(cover, at + width, -1)
                     gone = np.cumsum(cover[:n]) > 0
@@ -194,29 +317,26 @@ def _cut(width: int):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.hash("text").alias("row_key"), "text")
+    """doc_id as long (null: the least), a hash that tells rows of one id apart, and the text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.hash("text").alias("row_key"), "text")
 
 
 def removals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, at): where the windows start that also start in a document of smaller id; the high half of ``at`` is a hash of the text, the low half the place."""
+    """(doc_id, row_key, places): where the windows start that also start in a document of smaller id, in several rows a document."""
     spark = docs.sparkSession
-    rows = _keyed(docs)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    counters = min(MAX_COUNTERS, max(DEPTH * SEGMENT, size // BYTES_PER_WORD * COUNTERS_PER_WORD))
+    expected = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_PER_WORD
+    counters = min(MAX_COUNTERS, max(DEPTH * SEGMENT, expected * COUNTERS_PER_WORD))
     segments = -(-counters // (DEPTH * SEGMENT))
     bits = spark.sparkContext.broadcast(sketch(docs, segments, width))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    maybe = rows.mapInArrow(_repeated(bits, segments, width), f"low long, high int, doc_id {kind}, at long")
-    # a null id is least
-    first = maybe.groupBy("low", "high").agg(F.min("doc_id").alias("first"), F.bool_or(F.col("doc_id").isNull()).alias("null_first"))
-    return maybe.join(first, ["low", "high"]).where("doc_id > first or (null_first and doc_id is not null)").select("doc_id", "at")
+    # parts of at most PART windows, even if all of them repeated
+    part_bits = max(6, math.ceil(math.log2(max(1, expected / PART))))
+    dealt = _keyed(docs).mapInArrow(_repeated(bits, segments, width, part_bits), "part int, windows binary, doc_id long, row_key int, places binary")
+    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_settle, "doc_id long, row_key int, places binary")
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, kept_sha256) of every row: the words that are left, joined by a space, and their hash."""
-    gone = (removals(docs, width).groupBy("doc_id", F.expr("cast(shiftright(at, 32) as int)").alias("row_key"))
-            .agg(F.collect_list(F.expr("cast(at & 2147483647 as int)")).alias("places")))
-    met = (_keyed(docs).alias("d").join(gone.alias("g"), F.col("d.row_key").eqNullSafe(F.col("g.row_key")) & F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
-           .select("d.doc_id", "d.text", "g.places"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return met.mapInArrow(_cut(width), f"doc_id {kind}, n_words long, n_removed long, kept string, kept_sha256 string")
+    gone = removals(docs, width).groupBy("doc_id", "row_key").agg(F.collect_list("places").alias("places"))
+    met = _keyed(docs).join(gone, ["doc_id", "row_key"], "left").select("doc_id", "text", "places")
+    out = met.mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
