@@ -50,9 +50,9 @@ BYTES_PER_WORD = 6  # only sizes the sketch
 MAX_COUNTERS = 1 << 30
 SEGMENT = 1 << 20
 #: Windows a task holds before it sends its sketch on and begins another.
-FLUSH = 6_000_000
+FLUSH = 3_000_000
 #: Windows that one part of the hash space has at most, about.
-PART = 1_000_000
+PART = 4_000_000
 NULL_ID = -(1 << 63)
 
 
@@ -119,7 +119,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now = -1
 
     def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zstandard.compress(np.packbits(twice, bitorder="little").tobytes(), 1)], pa.binary())], names=["segment", "bits"])
 
     for batch in batches:
         for segment, blob in zip(batch.column("segment").to_pylist(), batch.column("counts"), strict=True):
@@ -135,15 +135,19 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def sketch(docs: DataFrame, segments: int, width: int = WIDTH) -> bytes:
-    """Bits of all counters that reach 2, by rows of ``segments`` segments; at most MAX_COUNTERS / 8 bytes."""
+def sketch(docs: DataFrame, segments: int, width: int = WIDTH) -> dict[int, bytes]:
+    """Bits of all counters that reach 2, compressed, by segment; at most MAX_COUNTERS / 8 bytes."""
     parts = docs.select("text").mapInArrow(_sketches(segments, width), "segment int, counts binary")
     merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment int, bits binary")
-    whole = bytearray(DEPTH * segments * SEGMENT // 8)
-    for r in reliable_checkpoint(merged).toLocalIterator():
-        at = r["segment"] * SEGMENT // 8
-        whole[at:at + SEGMENT // 8] = r["bits"]
-    return bytes(whole)
+    return {r["segment"]: bytes(r["bits"]) for r in reliable_checkpoint(merged).toLocalIterator()}
+
+
+def _flags(bits: dict[int, bytes], segments: int) -> np.ndarray:
+    out = np.zeros(DEPTH * segments * SEGMENT // 8, np.uint8)
+    for segment, blob in bits.items():
+        at = segment * SEGMENT // 8
+        out[at:at + SEGMENT // 8] = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    return out
 
 
 # ------------------------------------------------------------------ windows that may repeat
@@ -213,7 +217,7 @@ def _gone_rows(doc: np.ndarray, key: np.ndarray, place: np.ndarray, part) -> pa.
     start = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))) if len(doc) else np.empty(0, np.int64)
     blobs = [_pack_places(p) for p in np.split(place, start[1:])] if len(doc) else []
     n = len(start)
-    return pa.RecordBatch.from_arrays([pa.array(part(key[start]), pa.int32()), pa.nulls(n, pa.binary()), pa.array(doc[start], pa.int64()), pa.array(key[start].astype(np.int32)), pa.array(blobs, pa.binary())], schema=_DEALT)
+    return pa.RecordBatch.from_arrays([pa.array(part(doc[start]), pa.int32()), pa.nulls(n, pa.binary()), pa.array(doc[start], pa.int64()), pa.array(key[start].astype(np.int32)), pa.array(blobs, pa.binary())], schema=_DEALT)
 
 
 def _repeated(bits, segments: int, width: int, part_bits: int):
@@ -227,7 +231,7 @@ def _repeated(bits, segments: int, width: int, part_bits: int):
         ids, keys = np.array(ids, np.int64), np.array(keys, np.int32)
         order, later = _not_first(low, high, ids[row])
         gone, order = order[later], order[~later]
-        yield _gone_rows(ids[row[gone]], keys[row[gone]], place[gone], lambda k: (k & ((1 << part_bits) - 1)).astype(np.int32))
+        yield _gone_rows(ids[row[gone]], keys[row[gone]], place[gone], lambda doc: (doc & ((1 << part_bits) - 1)).astype(np.int32))
         low, high, row, place = low[order], high[order], row[order], place[order]
         part = (low >> np.uint64(64 - part_bits)).astype(np.int32)
         cuts = np.flatnonzero(np.diff(part)) + 1
@@ -237,7 +241,7 @@ def _repeated(bits, segments: int, width: int, part_bits: int):
         yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_DEALT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.frombuffer(bits.value, np.uint8)
+        flags = _flags(bits.value, segments)
         held, ids, keys, size = [], [], [], 0
         for batch in batches:
             for doc, key, text in zip(*(batch.column(c) for c in ("doc_id", "row_key", "text")), strict=True):
@@ -250,7 +254,7 @@ def _repeated(bits, segments: int, width: int, part_bits: int):
                 place = np.flatnonzero(keep)
                 if not len(place):
                     continue
-                held.append((low[place], (high[place] >> np.uint64(32)).astype(np.uint32), np.full(len(place), len(ids), np.uint32), place))
+                held.append((low[place], (high[place] >> np.uint64(32)).astype(np.uint32), np.full(len(place), len(ids), np.uint32), place.astype(np.uint32)))
                 ids.append(doc.as_py())
                 keys.append(key.as_py())
                 size += len(place)
@@ -271,7 +275,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high, doc, key, place = (np.concatenate(c) for c in zip(*held, strict=True))
         order, later = _not_first(low, high, doc)
         gone = order[later]
-        return _gone_rows(doc[gone], key[gone], place[gone], lambda k: np.zeros(len(k), np.int32))
+        return _gone_rows(doc[gone], key[gone], place[gone], lambda doc: np.zeros(len(doc), np.int32))
 
     for batch in batches:
         settled = batch.filter(batch.column("places").is_valid())
