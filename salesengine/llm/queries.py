@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesengine.llm import decontaminate, fingerprints, packing, pii, quality, secret_scan, sharding, simhash, substring
+from salesengine.llm import decontaminate, fingerprints, html_extract, packing, pii, quality, secret_scan, sharding, simhash, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,6 +61,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(_read(spark, sf_dir, "pages"), "page_id", "url")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document contains."""
     found = decontaminate.contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -101,6 +106,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
+    "op7_html": op7_html,
     "op8_decontaminate": op8_decontaminate,
     "op9_substring": op9_substring,
     "op10_secret_scan": op10_secret_scan,
