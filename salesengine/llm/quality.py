@@ -232,3 +232,9 @@ def score(docs: DataFrame, net: Network, *keep: str) -> DataFrame:
 
 def predicted(threshold: float = THRESHOLD):
     return F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int")
+
+
+def accepted(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ``threshold`` or more."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    return score(rows, net, "row").where(F.col("score") >= threshold).select("row.*")

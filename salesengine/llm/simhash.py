@@ -18,8 +18,9 @@ links, not the links: equal and near texts in any number never become all pairs.
 
 Defined cases: a null text has no words, and texts without words have
 fingerprint zero and link like any other; rows with equal texts or equal ids
-keep their rows; an empty table gives an empty frame; other columns are
-ignored, whatever their names.
+keep their rows; a null id is nobody's least id unless all of a component are
+null; an empty table gives an empty frame; other columns are ignored (kept by
+``distinct_documents``), whatever their names.
 """
 
 from __future__ import annotations
@@ -70,14 +71,14 @@ def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), width) for t in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(fps)], names=["doc_id", "row_key", "fp"])
     return run
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long."""
+    """(doc_id, row_key, fp): row_key is a hash of the text, fp holds the 64 bits as a signed long."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(width), f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text").mapInArrow(_fingerprints(width), f"doc_id {kind}, row_key long, fp long")
 
 
 # ------------------------------------------------------------------ one block pair
@@ -196,7 +197,7 @@ def _half_links(fps: DataFrame, count: int, distance: int, turn: int) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: component_id is the least doc_id reachable over links of at most ``distance`` bits."""
+    """(doc_id, row_key, fp, component_id) for every row: component_id is the least doc_id reachable over links of at most ``distance`` bits."""
     prints = reliable_checkpoint(fingerprints(docs, width))
     classes = reliable_checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     count = classes.count()
@@ -206,4 +207,13 @@ def near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE, width: int =
     # only classes that have links take part in the second aggregate
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = joined.join(least, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(by_fp, "fp").select("doc_id", "row_key", "fp", "component_id")
+
+
+def distinct_documents(docs: DataFrame, distance: int = MAX_DISTANCE, width: int = SHINGLE_WORDS) -> DataFrame:
+    """One row of ``docs`` of each component, with all its columns: the one of least doc_id (of equal ids, of least text hash)."""
+    heads = (near_duplicates(docs, distance, width).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+             .groupBy("component_id").agg(F.min("row_key").alias("key")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("row_key"))
+    kept = rows.join(heads, F.col("row_key").eqNullSafe(F.col("key")) & F.col("id").eqNullSafe(F.col("component_id")), "left_semi")
+    return kept.dropDuplicates(["row_key", "id"]).select("row.*")
