@@ -68,15 +68,18 @@ def _windows(vectors: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(view)
 
 
-def _pooled(codes: np.ndarray, w: dict[str, np.ndarray], arg: bool = False):
+def _pooled(codes: np.ndarray, blocks: np.ndarray, w: dict[str, np.ndarray], arg: bool = False):
     """Maximum of each filter in each block (before the bias and the ramp, which keep order), and its place if asked."""
-    n = (len(codes) - WIDTH + 1) // BLOCK
-    best = np.empty((n, FILTERS), np.float32)
+    n = len(codes) // BLOCK
+    last = np.zeros(n, bool)
+    last[np.cumsum(blocks) - 1] = True
+    best = np.empty((n, FILTERS), w["filter"].dtype)
     place = np.empty((n, FILTERS), np.int64) if arg else None
     for k in range(0, n, SLICE):
         m = min(SLICE, n - k)
         part = codes[k * BLOCK:(k + m) * BLOCK + WIDTH - 1]
         y = (_windows(w["embed"][part]) @ w["filter"]).reshape(m, BLOCK, FILTERS)
+        y[last[k:k + m], BLOCK - WIDTH + 1:] = -np.inf  # windows that reach into the next text; only pads begin there
         if arg:
             at = y.argmax(1)
             best[k:k + m] = np.take_along_axis(y, at[:, None], 1)[:, 0]
@@ -97,7 +100,7 @@ def _combine(best: np.ndarray, blocks: np.ndarray, sizes: np.ndarray, w: dict[st
     mean = np.add.reduceat(chunks, first, axis=0) / blocks[:, None]
     most = np.maximum.reduceat(chunks, first, axis=0)
     length = np.log1p(sizes)[:, None] / 10
-    return np.concatenate([mean, most, length], 1).astype(np.float32), ramp, chunks, follower, first, mean, most
+    return np.concatenate([mean, most, length], 1).astype(best.dtype), ramp, chunks, follower, first, mean, most
 
 
 def _head(x: np.ndarray, w: dict[str, np.ndarray]):
@@ -109,10 +112,11 @@ def predict(texts: list[bytes], net: Network) -> np.ndarray:
     """Probability of label 1 for each text, rounded to 6 digits so that a batch's make-up doesn't show."""
     if not net.weights:
         return np.full(len(texts), net.prior)
+    # matrix products of other shapes round differently: doubles keep that far below the last digit given
+    w = {k: v.astype(np.float64) for k, v in net.weights.items()}
     codes, blocks = _padded(texts)
-    x = _combine(_pooled(codes, net.weights), blocks, np.array([len(t) for t in texts], np.float64), net.weights)[0]
-    # one row at a time: matrix products of other shapes round differently
-    return np.array([round(float(_head(r[None].astype(np.float64), net.weights)[1][0]), 6) for r in x])
+    x = _combine(_pooled(codes, blocks, w), blocks, np.array([len(t) for t in texts], np.float64), w)[0]
+    return _head(x, w)[1].round(6)
 
 
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
@@ -147,7 +151,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
 
 def _gradients(texts: list[bytes], labels: np.ndarray, w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     codes, blocks = _padded(texts)
-    best, place = _pooled(codes, w, arg=True)
+    best, place = _pooled(codes, blocks, w, arg=True)
     x, ramp, chunks, follower, first, _, most = _combine(best, blocks, np.array([len(t) for t in texts], np.float64), w)
     hidden, p = _head(x, w)
     d = ((p - labels) / len(labels)).astype(np.float32)
