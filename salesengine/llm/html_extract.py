@@ -250,8 +250,8 @@ def features(t: Tree) -> np.ndarray:
 class Boosted:
     """Trees of equal depth on binned features, fitted to the logistic loss by second-order boosting."""
 
-    def __init__(self, trees: int = 80, depth: int = 5, rate: float = 0.2, bins: int = 32):
-        self.trees, self.depth, self.rate, self.bins = trees, depth, rate, bins
+    def __init__(self, trees: int = 80, depth: int = 5, rate: float = 0.2, bins: int = 32, share: float = 0.4):
+        self.trees, self.depth, self.rate, self.bins, self.share = trees, depth, rate, bins, share
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         n, m = x.shape
@@ -265,7 +265,7 @@ class Boosted:
         rng = np.random.default_rng(0)
         useful = np.array([j for j, e in enumerate(self.edges) if len(e)])
         for k in range(self.trees):
-            tried = rng.choice(useful, max(1, int(len(useful) * 0.4)), replace=False)  # each tree sees a part of the features and rows
+            tried = rng.choice(useful, max(1, int(len(useful) * self.share)), replace=False)  # each tree sees a part of the features and rows
             drawn = rng.random(n) < 0.7
             p = 1 / (1 + np.exp(-score))
             g, h = (y - p) * drawn, p * (1 - p) * drawn

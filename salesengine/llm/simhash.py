@@ -197,7 +197,7 @@ def _half_links(fps: DataFrame, count: int, distance: int, turn: int) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, row_key, fp, component_id) for every row: component_id is the least doc_id reachable over links of at most ``distance`` bits."""
+    """(doc_id, row_key, fp, root, component_id) for every row: root is a fingerprint of the component, component_id the least doc_id reachable over links of at most ``distance`` bits."""
     prints = reliable_checkpoint(fingerprints(docs, width))
     classes = reliable_checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     count = classes.count()
@@ -206,14 +206,14 @@ def near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE, width: int =
     joined = classes.join(root, classes["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # only classes that have links take part in the second aggregate
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = joined.join(least, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select("doc_id", "row_key", "fp", "component_id")
+    by_fp = joined.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(by_fp, "fp").select("doc_id", "row_key", "fp", "root", "component_id")
 
 
 def distinct_documents(docs: DataFrame, distance: int = MAX_DISTANCE, width: int = SHINGLE_WORDS) -> DataFrame:
     """One row of ``docs`` of each component, with all its columns: the one of least doc_id (of equal ids, of least text hash)."""
     heads = (near_duplicates(docs, distance, width).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .groupBy("component_id").agg(F.min("row_key").alias("key")))
+             .groupBy("root").agg(F.min(F.struct("row_key", "component_id")).alias("head")).select(F.col("head.row_key").alias("key"), "head.component_id"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("row_key"))
     kept = rows.join(heads, F.col("row_key").eqNullSafe(F.col("key")) & F.col("id").eqNullSafe(F.col("component_id")), "left_semi")
     return kept.dropDuplicates(["row_key", "id"]).select("row.*")

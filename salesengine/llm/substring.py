@@ -33,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,19 @@ PART = 4_000_000
 NULL_ID = -(1 << 63)
 
 
+@dataclass(frozen=True)
+class Shape:
+    """Of a sketch: ``segments`` segments a row; and how many windows a task holds."""
+
+    segments: int
+    segment: int = SEGMENT
+    flush: int = FLUSH
+
+    @property
+    def row(self) -> int:
+        return self.segments * self.segment
+
+
 def _data(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
@@ -66,9 +80,9 @@ def windows(text: str | None, width: int = WIDTH) -> tuple[np.ndarray, np.ndarra
     return window_hashes(low, width, 23), window_hashes(high, width, 24)
 
 
-def _places(low: np.ndarray, high: np.ndarray, segments: int) -> list[np.ndarray]:
+def _places(low: np.ndarray, high: np.ndarray, shape: Shape) -> list[np.ndarray]:
     """Each sketch row's counter for every window: rows lie one after another."""
-    size = np.uint64(segments * SEGMENT)
+    size = np.uint64(shape.row)
     return [((low + np.uint64(d) * high) % size + np.uint64(d) * size).astype(np.uint32) for d in range(DEPTH)]
 
 
@@ -85,14 +99,14 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
 
 
-def _sketches(segments: int, width: int):
+def _sketches(shape: Shape, width: int):
     def emit(held: list[np.ndarray]) -> pa.RecordBatch:
         every = np.sort(np.concatenate(held))
-        number = every // SEGMENT
+        number = every // shape.segment
         cuts = np.flatnonzero(np.diff(number)) + 1
         parts = np.split(every, cuts)
-        names = [int(p[0]) // SEGMENT for p in parts]
-        blobs = [_packed(p - n * SEGMENT) for p, n in zip(parts, names, strict=True)]
+        names = [int(p[0]) // shape.segment for p in parts]
+        blobs = [_packed(p - n * shape.segment) for p, n in zip(parts, names, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["segment", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +116,9 @@ def _sketches(segments: int, width: int):
                 low, high = windows(text.as_py(), width)
                 if len(low):
                     _, first = np.unique(low, return_index=True)  # a document counts a window once
-                    held += _places(low[first], high[first], segments)
+                    held += _places(low[first], high[first], shape)
                     size += len(first)
-                if size > FLUSH:
+                if size > shape.flush:
                     yield emit(held)
                     held, size = [], 0
         if held:
@@ -112,41 +126,43 @@ def _sketches(segments: int, width: int):
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(size: int):
     """One bit for each counter of a segment: set if the tasks' counts add up to 2 or more.  Rows come sorted by segment."""
-    seen: np.ndarray | None = None
-    twice = np.zeros(0, bool)
-    now = -1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: np.ndarray | None = None
+        twice = np.zeros(0, bool)
+        now = -1
 
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zstandard.compress(np.packbits(twice, bitorder="little").tobytes(), 1)], pa.binary())], names=["segment", "bits"])
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zstandard.compress(np.packbits(twice, bitorder="little").tobytes(), 1)], pa.binary())], names=["segment", "bits"])
 
-    for batch in batches:
-        for segment, blob in zip(batch.column("segment").to_pylist(), batch.column("counts"), strict=True):
-            if segment != now:
-                if seen is not None:
-                    yield done()
-                seen, twice, now = np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool), segment
-            at = _unpacked(blob.as_py())
-            twice[at[1:][at[1:] == at[:-1]]] = True
-            twice[at[seen[at]]] = True
-            seen[at] = True
-    if seen is not None:
-        yield done()
-
-
-def sketch(docs: DataFrame, segments: int, width: int = WIDTH) -> dict[int, bytes]:
+        for batch in batches:
+            for segment, blob in zip(batch.column("segment").to_pylist(), batch.column("counts"), strict=True):
+                if segment != now:
+                    if seen is not None:
+                        yield done()
+                    seen, twice, now = np.zeros(size, bool), np.zeros(size, bool), segment
+                at = _unpacked(blob.as_py())
+                twice[at[1:][at[1:] == at[:-1]]] = True
+                twice[at[seen[at]]] = True
+                seen[at] = True
+        if seen is not None:
+            yield done()
+    return run
+
+
+def sketch(docs: DataFrame, shape: Shape, width: int = WIDTH) -> dict[int, bytes]:
     """Bits of all counters that reach 2, compressed, by segment; at most MAX_COUNTERS / 8 bytes."""
-    parts = docs.select("text").mapInArrow(_sketches(segments, width), "segment int, counts binary")
-    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment int, bits binary")
+    parts = docs.select("text").mapInArrow(_sketches(shape, width), "segment int, counts binary")
+    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge(shape.segment), "segment int, bits binary")
     return {r["segment"]: bytes(r["bits"]) for r in reliable_checkpoint(merged).toLocalIterator()}
 
 
-def _flags(bits: dict[int, bytes], segments: int) -> np.ndarray:
-    out = np.zeros(DEPTH * segments * SEGMENT // 8, np.uint8)
+def _flags(bits: dict[int, bytes], shape: Shape) -> np.ndarray:
+    out = np.zeros(DEPTH * shape.row // 8, np.uint8)
     for segment, blob in bits.items():
-        at = segment * SEGMENT // 8
-        out[at:at + SEGMENT // 8] = np.frombuffer(zstandard.decompress(blob), np.uint8)
+        at = segment * shape.segment // 8
+        out[at:at + shape.segment // 8] = np.frombuffer(zstandard.decompress(blob), np.uint8)
     return out
 
 
@@ -220,7 +236,7 @@ def _gone_rows(doc: np.ndarray, key: np.ndarray, place: np.ndarray, part) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(part(doc[start]), pa.int32()), pa.nulls(n, pa.binary()), pa.array(doc[start], pa.int64()), pa.array(key[start].astype(np.int32)), pa.array(blobs, pa.binary())], schema=_DEALT)
 
 
-def _repeated(bits, segments: int, width: int, part_bits: int):
+def _repeated(bits, shape: Shape, width: int, part_bits: int):
     """The windows that the sketch estimates in two documents or more, dealt by their hash.
 
     What a task can tell by itself, that a window isn't in its first document, it settles at once: of each window
@@ -241,7 +257,7 @@ def _repeated(bits, segments: int, width: int, part_bits: int):
         yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_DEALT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = _flags(bits.value, segments)
+        flags = _flags(bits.value, shape)
         held, ids, keys, size = [], [], [], 0
         for batch in batches:
             for doc, key, text in zip(*(batch.column(c) for c in ("doc_id", "row_key", "text")), strict=True):
@@ -249,7 +265,7 @@ def _repeated(bits, segments: int, width: int, part_bits: int):
                 if not len(low):
                     continue
                 keep = np.ones(len(low), bool)
-                for at in _places(low, high, segments):
+                for at in _places(low, high, shape):
                     keep &= (flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
                 place = np.flatnonzero(keep)
                 if not len(place):
@@ -258,7 +274,7 @@ def _repeated(bits, segments: int, width: int, part_bits: int):
                 ids.append(doc.as_py())
                 keys.append(key.as_py())
                 size += len(place)
-                if size > FLUSH // 2:
+                if size > shape.flush // 2:
                     yield from emit(held, ids, keys)
                     held, ids, keys, size = [], [], [], 0
         if held:
@@ -325,22 +341,25 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.hash("text").alias("row_key"), "text")
 
 
-def removals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, row_key, places): where the windows start that also start in a document of smaller id, in several rows a document."""
+def removals(docs: DataFrame, width: int = WIDTH, shape: Shape | None = None) -> DataFrame:
+    """(doc_id, row_key, places): where the windows start that also start in a document of smaller id, in several rows a document.
+
+    ``shape`` is the sketch's, by default one that fits the size of the texts.
+    """
     spark = docs.sparkSession
     expected = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_PER_WORD
     counters = min(MAX_COUNTERS, max(DEPTH * SEGMENT, expected * COUNTERS_PER_WORD))
-    segments = -(-counters // (DEPTH * SEGMENT))
-    bits = spark.sparkContext.broadcast(sketch(docs, segments, width))
+    shape = shape or Shape(-(-counters // (DEPTH * SEGMENT)))
+    bits = spark.sparkContext.broadcast(sketch(docs, shape, width))
     # parts of at most PART windows, even if all of them repeated
     part_bits = max(6, math.ceil(math.log2(max(1, expected / PART))))
-    dealt = _keyed(docs).mapInArrow(_repeated(bits, segments, width, part_bits), "part int, windows binary, doc_id long, row_key int, places binary")
+    dealt = _keyed(docs).mapInArrow(_repeated(bits, shape, width, part_bits), "part int, windows binary, doc_id long, row_key int, places binary")
     return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_settle, "doc_id long, row_key int, places binary")
 
 
-def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = WIDTH, shape: Shape | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, kept_sha256) of every row: the words that are left, joined by a space, and their hash."""
-    gone = removals(docs, width).groupBy("doc_id", "row_key").agg(F.collect_list("places").alias("places"))
+    gone = removals(docs, width, shape).groupBy("doc_id", "row_key").agg(F.collect_list("places").alias("places"))
     met = _keyed(docs).join(gone, ["doc_id", "row_key"], "left").select("doc_id", "text", "places")
     out = met.mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
