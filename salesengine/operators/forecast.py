@@ -3,12 +3,17 @@
 For each series (one row per month, gaps filled with 0):
   w_t = y_t - y_{t-1};  e_t = w_t - phi*w_{t-1} - theta*e_{t-1}, e at the first difference = 0;
   (phi, theta) minimises the conditional sum of squares sum(e_t^2) over a grid
-  (-0.9 .. 0.9 in steps of ``grid_step``), ties broken by the smaller (phi, theta);
+  (-0.9 .. 0.9 in steps of ``grid_step``) and then over a finer one around that
+  optimum (a tenth of the step, so within -0.99 .. 0.99, inside the region where
+  the model is stationary and invertible), ties broken by the smaller (phi, theta);
   forecast: w^_1 = phi*w_T + theta*e_T, w^_h = phi*w^_{h-1}, y^_{T+h} = y_T + sum w^.
 No constant term, as the reference's fitted forecasts show.  This is a
 conditional-sum-of-squares grid fit, not the exact maximum likelihood of a
-state-space solver.  ``refine`` adds a second grid (step/10, +-step) around the
-first optimum; the first optimum is on it, so the fit can only improve.
+state-space solver.  The second grid contains the first optimum, so it can only
+improve the fit.  ``Fit`` tells how a series was fitted: ``inner``, ``bound`` (an
+optimum on the edge of the search: the series wants a root on the unit circle)
+or ``short`` (fewer than three months: the last level is carried on, without
+parameters).  No series is left out.
 
 Spark plan: one shuffle groups the monthly rows by series into a sorted array
 (its length is the number of months, bounded by the calendar, not by the
@@ -27,6 +32,14 @@ from pyspark.sql import functions as F
 from salesengine.session import parallelism
 
 
+FINE = 9  # fine steps to either side: one less than a coarse step, so the edge of the unit square is never reached
+
+
+def _edge(half: int, step: float, refine: bool) -> float:
+    """The largest coefficient that the search can give, less a hair."""
+    return half * step + (FINE * step / 10 if refine else 0) - 1e-9
+
+
 def _grid(grid_step: float) -> tuple[int, float]:
     half = int(round(0.9 / grid_step))
     return half, grid_step
@@ -71,15 +84,20 @@ def _best_on_grid(w: Column, phi0: Column, theta0: Column, half: int, step: floa
 
 
 def arima_111_forecast(monthly: DataFrame, key: str, period: str, value: str, steps: int = 12,
-                       grid_step: float = 0.1, fill: bool = True, refine: bool = False) -> DataFrame:
-    """key, Step, ForecastDate, Forecast, Phi, Theta: ``steps`` rows per series with >= 3 months."""
+                       grid_step: float = 0.1, fill: bool = True, refine: bool = True) -> DataFrame:
+    """key, Step, ForecastDate, Forecast, Phi, Theta, Fit: ``steps`` rows per series."""
     y = fill_calendar(monthly, key, period, value) if fill else monthly.select(key, period, value)
     series = y.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(period, value))).alias("a"))
     series = series.select(
         key,
         F.transform("a", lambda r: r[value].cast("double")).alias("ys"),
         F.element_at("a", -1)[period].alias("last"),
-    ).filter(F.size("ys") >= 3)
+    )
+    short = series.filter(F.size("ys") < 3).select(
+        key, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(steps).cast("long"))).alias("Step"), F.col("last"), F.element_at("ys", -1).alias("Forecast"))
+    short = short.select(key, "Step", F.add_months("last", F.col("Step").cast("int")).alias("ForecastDate"), "Forecast",
+                         F.lit(None).cast("double").alias("Phi"), F.lit(None).cast("double").alias("Theta"), F.lit("short").alias("Fit"))
+    series = series.filter(F.size("ys") >= 3)
     ys = F.col("ys")
     w = F.transform(F.sequence(F.lit(2), F.size(ys)), lambda i: F.element_at(ys, i) - F.element_at(ys, i - 1))
     series = series.select(key, "last", F.element_at(ys, -1).alias("y_last"), w.alias("w"))
@@ -91,7 +109,7 @@ def arima_111_forecast(monthly: DataFrame, key: str, period: str, value: str, st
     best = _best_on_grid(F.col("w"), F.lit(0.0), F.lit(0.0), half, step)
     fitted = series.select(key, "last", "y_last", "w", best.alias("b"))
     if refine:
-        fine = _best_on_grid(F.col("w"), F.col("b.phi"), F.col("b.theta"), 10, step / 10)
+        fine = _best_on_grid(F.col("w"), F.col("b.phi"), F.col("b.theta"), FINE, step / 10)
         fitted = fitted.select(key, "last", "y_last", "w", fine.alias("b"))
     b = F.col("b")
 
@@ -104,6 +122,7 @@ def arima_111_forecast(monthly: DataFrame, key: str, period: str, value: str, st
                        F.array().cast("array<double>").alias("out"))
     path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init_fc, fc_step)["out"]
     out = fitted.select(key, "last", "b", F.posexplode(path).alias("pos", "Forecast"))
+    edge = _edge(half, step, refine)
     return out.select(
         key,
         (F.col("pos") + 1).cast("long").alias("Step"),
@@ -111,34 +130,49 @@ def arima_111_forecast(monthly: DataFrame, key: str, period: str, value: str, st
         "Forecast",
         b["phi"].alias("Phi"),
         b["theta"].alias("Theta"),
-    )
+        F.when(F.greatest(F.abs(b["phi"]), F.abs(b["theta"])) >= edge, "bound").otherwise("inner").alias("Fit"),
+    ).unionByName(short)
 
 
 def arima_111_forecast_sql(monthly_sql: str, steps: int = 12, grid_step: float = 0.1) -> str:
     """DuckDB version; ``monthly_sql`` yields (k VARCHAR, period DATE, v DOUBLE)."""
     half, step = _grid(grid_step)
     side = 2 * half + 1
+    fine, fine_side = step / 10, 2 * FINE + 1
     e = "(x - phi * acc.pw - theta * acc.pe)"
     return f"""WITH m AS ({monthly_sql}),
 b AS (SELECT k, min(period) AS lo, max(period) AS hi FROM m GROUP BY k),
 cal AS (SELECT k, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS period FROM b),
 y AS (SELECT cal.k, cal.period, coalesce(m.v, CAST(0.0 AS DOUBLE)) AS v FROM cal LEFT JOIN m
       ON m.k = cal.k AND m.period = cal.period),
-s AS (SELECT k, list(v ORDER BY period) AS ys, max(period) AS last FROM y GROUP BY k HAVING count(*) >= 3),
+s AS (SELECT k, list(v ORDER BY period) AS ys, max(period) AS last FROM y GROUP BY k),
 s2 AS (SELECT k, last, ys[len(ys)] AS y_last,
-              list_transform(generate_series(2, len(ys)), lambda i: ys[i] - ys[i - 1]) AS w FROM s),
+              list_transform(generate_series(2, len(ys)), lambda i: ys[i] - ys[i - 1]) AS w FROM s WHERE len(ys) >= 3),
 cand AS (SELECT k, last, y_last, w, 0.0 + CAST((g // {side}) - {half} AS DOUBLE) * {step} AS phi,
                 0.0 + CAST((g % {side}) - {half} AS DOUBLE) * {step} AS theta
          FROM s2, range({side * side}) t(g)),
-fit AS (SELECT k, last, y_last, phi, theta,
+fit AS (SELECT k, last, y_last, w, phi, theta,
                list_reduce(w[2:], lambda acc, x: {{'pw': x, 'pe': {e}, 's': acc.s + {e} * {e}}},
                            {{'pw': w[1], 'pe': CAST(0.0 AS DOUBLE), 's': CAST(0.0 AS DOUBLE)}}) AS f
         FROM cand),
+coarse AS (SELECT k, arg_min({{'phi': phi, 'theta': theta, 'last': last, 'y_last': y_last, 'w': w}},
+                            {{'s': f.s, 'phi': phi, 'theta': theta}}) AS c FROM fit GROUP BY k),
+cand2 AS (SELECT k, c.last AS last, c.y_last AS y_last, c.w AS w,
+                 c.phi + CAST((g // {fine_side}) - {FINE} AS DOUBLE) * {fine} AS phi,
+                 c.theta + CAST((g % {fine_side}) - {FINE} AS DOUBLE) * {fine} AS theta
+          FROM coarse, range({fine_side * fine_side}) t(g)),
+fit2 AS (SELECT k, last, y_last, phi, theta,
+                list_reduce(w[2:], lambda acc, x: {{'pw': x, 'pe': {e}, 's': acc.s + {e} * {e}}},
+                            {{'pw': w[1], 'pe': CAST(0.0 AS DOUBLE), 's': CAST(0.0 AS DOUBLE)}}) AS f
+         FROM cand2),
 best AS (SELECT k, arg_min({{'phi': phi, 'theta': theta, 'last': last, 'y_last': y_last, 'w_t': f.pw, 'e_t': f.pe}},
-                          {{'s': f.s, 'phi': phi, 'theta': theta}}) AS b FROM fit GROUP BY k),
+                          {{'s': f.s, 'phi': phi, 'theta': theta}}) AS b FROM fit2 GROUP BY k),
 path AS (SELECT k, b, list_reduce(generate_series(1, {steps}),
             lambda acc, h: {{'wh': b.phi * acc.wh, 'lvl': acc.lvl + acc.wh, 'out': list_append(acc.out, acc.lvl + acc.wh)}},
             {{'wh': b.phi * b.w_t + b.theta * b.e_t, 'lvl': b.y_last, 'out': CAST([] AS DOUBLE[])}}).out AS out FROM best)
 SELECT k, CAST(h AS BIGINT) AS Step, CAST(b.last + to_months(CAST(h AS INTEGER)) AS DATE) AS ForecastDate,
-       out[h] AS Forecast, b.phi AS Phi, b.theta AS Theta
-FROM path, range(1, {steps} + 1) r(h)"""
+       out[h] AS Forecast, b.phi AS Phi, b.theta AS Theta,
+       CASE WHEN greatest(abs(b.phi), abs(b.theta)) >= {_edge(half, step, True)!r} THEN 'bound' ELSE 'inner' END AS Fit
+FROM path, range(1, {steps} + 1) r(h)
+UNION ALL SELECT k, CAST(h AS BIGINT), CAST(last + to_months(CAST(h AS INTEGER)) AS DATE), ys[len(ys)], NULL, NULL, 'short'
+FROM s, range(1, {steps} + 1) r(h) WHERE len(ys) < 3"""

@@ -53,8 +53,9 @@ def bottom10_products(t) -> DataFrame:
 
 
 def chart_segment_points(t) -> DataFrame:
-    """The scatter points (OrderCount, TotalSpent, state) of every segment row."""
-    return customers.customer_segments(t).select("CustomerID", "OrderCount", "TotalSpent", "StateProvinceID")
+    """The scatter points (OrderCount, TotalSpent, state) of every segment row; points need no order."""
+    seg = customers.customer_segments_exact(t)
+    return seg.select("CustomerID", "OrderCount", units_to_double("TotalSpent").alias("TotalSpent"), "StateProvinceID")
 
 
 def state_avg_spent(t) -> DataFrame:
@@ -91,11 +92,8 @@ def top20_cities(t) -> DataFrame:
 
 
 def top20_city_counts(t) -> DataFrame:
-    """C11: segment rows restricted to the top-20 cities (left-semi join with C10), counted per city."""
-    counts = reliable_checkpoint(_city_counts(t))  # one row per city, read twice
-    top = top_k(counts, 20, [F.desc("CustomerRows"), F.asc("City")]).select("City")
-    # rows per city were already counted; restricting the counts equals counting the restricted rows
-    return counts.join(top, "City", "left_semi").orderBy(F.desc("CustomerRows"), "City")
+    """C11: segment rows of the top-20 cities, counted per city: counting what is restricted equals restricting the counts."""
+    return top20_cities(t)
 
 
 def hist_repeat_purchases(t) -> DataFrame:

@@ -3,8 +3,8 @@
 The reference fits one series (company monthly totals).  We forecast every
 series in one job: the company total, one series per sales territory and one
 per customer segment, all from one scan of the orders.
-Months run from a series' first month to the last *complete* month of the
-data (the month holding the latest order is partial and left out).
+Months run from a series' first month to its last one.  The month of the latest
+order may be incomplete; ``keep_partial_month=False`` leaves it out.
 """
 
 from __future__ import annotations
@@ -26,15 +26,20 @@ def _month_start(d: dt.date) -> dt.date:
     return d.replace(day=1)
 
 
-def monthly_series(t, as_of: dt.date | None = None) -> DataFrame:
-    """SeriesKey, Month (first day), TotalSales (DOUBLE from exact sums): total, territories, segments."""
-    end = _month_start(as_of or A.data_as_of(t))
+def monthly_series(t, as_of: dt.date | None = None, keep_partial_month: bool = True) -> DataFrame:
+    """SeriesKey, Month (first day), TotalSales (DOUBLE from exact sums): total, territories, segments.
+
+    ``as_of`` (by default the latest order) only matters with ``keep_partial_month=False``.
+    """
+    orders = A.soh(t)
+    if not keep_partial_month:
+        orders = orders.filter(F.col("OrderDate") < F.lit(_month_start(as_of or A.data_as_of(t))))
     month = F.trunc("OrderDate", "month").alias("Month")
     # one scan of orders: a left join keeps orders without a customer in the company total
     c = t["customer"].select(F.col("c_custkey").alias("CustomerID"), F.col("c_nationkey").alias("TerritoryID"),
                              F.col("c_mktsegment").alias("Segment"), F.lit(1).alias("hit"))
     per = (
-        A.soh(t).filter(F.col("OrderDate") < F.lit(end)).join(c, "CustomerID", "left")
+        orders.join(c, "CustomerID", "left")
         .groupBy("TerritoryID", "Segment", month)
         .agg(units_sum("TotalDueU").alias("s"), F.count("hit").alias("matched"))
     )
@@ -49,20 +54,20 @@ def monthly_series(t, as_of: dt.date | None = None) -> DataFrame:
         "SeriesKey", "Month", units_to_double("s").alias("TotalSales"))
 
 
-def sales_forecast(t, as_of: dt.date | None = None, steps: int = 12) -> DataFrame:
-    """SeriesKey, Step, ForecastDate, Forecast, Phi, Theta for every series.
+def sales_forecast(t, as_of: dt.date | None = None, steps: int = 12, keep_partial_month: bool = True) -> DataFrame:
+    """SeriesKey, Step, ForecastDate, Forecast, Phi, Theta, Fit for every series.
 
     The monthly rollup (series x months rows) is checkpointed once: the fit
     reads it several times (calendar bounds, calendar join, the two kinds of
     series) and the fact scan behind it must not run again for each.
     """
-    m = reliable_checkpoint(monthly_series(t, as_of))
+    m = reliable_checkpoint(monthly_series(t, as_of, keep_partial_month))
     return arima_111_forecast(m, "SeriesKey", "Month", "TotalSales", steps=steps).orderBy("SeriesKey", "Step")
 
 
-def actual_and_forecast(t, as_of: dt.date | None = None, steps: int = 12) -> DataFrame:
+def actual_and_forecast(t, as_of: dt.date | None = None, steps: int = 12, keep_partial_month: bool = True) -> DataFrame:
     """C17: the company series' monthly actuals followed by its forecast, with a Kind label."""
-    m = reliable_checkpoint(monthly_series(t, as_of).filter(F.col("SeriesKey") == TOTAL_SERIES))
+    m = reliable_checkpoint(monthly_series(t, as_of, keep_partial_month).filter(F.col("SeriesKey") == TOTAL_SERIES))
     actual = m.select(F.col("Month").alias("Date"), F.col("TotalSales").alias("Sales"), F.lit("actual").alias("Kind"))
     fc = arima_111_forecast(m, "SeriesKey", "Month", "TotalSales", steps=steps).select(
         F.col("ForecastDate").alias("Date"), F.col("Forecast").alias("Sales"), F.lit("forecast").alias("Kind"))

@@ -246,21 +246,20 @@ FROM mean JOIN ci ON ci.TerritoryName = mean.TerritoryName LEFT JOIN lab ON lab.
           })
 
 
-_END = "(SELECT CAST(date_trunc('month', max(o_orderdate)) AS DATE) FROM orders)"
-_SERIES = f"""SELECT 'ALL' AS k, CAST(date_trunc('month', OrderDate) AS DATE) AS period, CAST(SUM(TotalDue) AS DOUBLE) AS v
-  FROM soh WHERE OrderDate < {_END} GROUP BY 2
+_SERIES = """SELECT 'ALL' AS k, CAST(date_trunc('month', OrderDate) AS DATE) AS period, CAST(SUM(TotalDue) AS DOUBLE) AS v
+  FROM soh GROUP BY 2
 UNION ALL
 SELECT st.Name AS k, CAST(date_trunc('month', OrderDate) AS DATE) AS period, CAST(SUM(TotalDue) AS DOUBLE) AS v
-  FROM soht JOIN terr st ON soht.TerritoryID = st.TerritoryID WHERE OrderDate < {_END}
+  FROM soht JOIN terr st ON soht.TerritoryID = st.TerritoryID
   GROUP BY soht.TerritoryID, st.Name, 2
 UNION ALL
 SELECT c.c_mktsegment AS k, CAST(date_trunc('month', OrderDate) AS DATE) AS period, CAST(SUM(TotalDue) AS DOUBLE) AS v
   FROM soh JOIN customer c ON c.c_custkey = soh.CustomerID
-  WHERE OrderDate < {_END} AND c.c_mktsegment IS NOT NULL GROUP BY c.c_mktsegment, 2"""
-B17 = sql("SELECT k AS SeriesKey, Step, ForecastDate, Forecast, Phi, Theta FROM fc", "soht", "terr", "soh",
+  WHERE c.c_mktsegment IS NOT NULL GROUP BY c.c_mktsegment, 2"""
+B17 = sql("SELECT k AS SeriesKey, Step, ForecastDate, Forecast, Phi, Theta, Fit FROM fc", "soht", "terr", "soh",
           extra={"fc": arima_111_forecast_sql(_SERIES)})
-_TOTAL = f"""SELECT 'ALL' AS k, CAST(date_trunc('month', OrderDate) AS DATE) AS period, CAST(SUM(TotalDue) AS DOUBLE) AS v
-  FROM soh WHERE OrderDate < {_END} GROUP BY 2"""
+_TOTAL = """SELECT 'ALL' AS k, CAST(date_trunc('month', OrderDate) AS DATE) AS period, CAST(SUM(TotalDue) AS DOUBLE) AS v
+  FROM soh GROUP BY 2"""
 C17 = sql("""SELECT period AS "Date", v AS Sales, 'actual' AS Kind FROM tot
 UNION ALL SELECT ForecastDate AS "Date", Forecast AS Sales, 'forecast' AS Kind FROM fc""", "soh",
           extra={"tot": _TOTAL, "fc": arima_111_forecast_sql(_TOTAL)})

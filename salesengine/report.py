@@ -19,7 +19,7 @@ from salesengine.sources.csv import export_csv
 from salesengine.sources.warehouse import load_tables
 
 CSV_EXPORTS = ("product_sales_window",)
-# results that are word for word another query's: written from that query's output, not recomputed
+# results that are word for word another query's: the same frame serves both
 SAME_AS = {"customer_demographics": "customer_segments", "chart_product_sales": "product_sales_window"}
 log = logging.getLogger("salesengine.report")
 
@@ -29,16 +29,17 @@ def run_report(spark, tables_dir: str, out: str, keys=None) -> dict[str, str]:
     use (monthly totals, product totals, customer segments, retention, territory x product) is
     computed once and checkpointed, not once per query."""
     t = load_tables(spark, tables_dir, share=True)
-    written = {}
+    written, frames = {}, {}
     for key in keys or list(QUERIES):
         src = SAME_AS.get(key)
-        df = spark.read.parquet(written[src]) if src in written else QUERIES[key].on_tables(spark, t)
+        df = frames[src] if src in frames else QUERIES[key].on_tables(spark, t)
+        frames[key] = df
         path = f"{out.rstrip('/')}/{key}"
         df.write.mode("overwrite").parquet(path)
         written[key] = path
         if key in CSV_EXPORTS:
-            export_csv(spark.read.parquet(path), f"{path}_csv")
-        preview = spark.read.parquet(path).limit(5).collect()
+            export_csv(df, f"{path}_csv")  # the frame keeps its order, files that are read again don't
+        preview = df.limit(5).collect()
         log.info("%s -> %s\n%s", key, path, "\n".join(str(r) for r in preview))
     return written
 

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
+# a field of \\N is NULL and a quoted empty field is empty text, so the two stay apart in a file; an unquoted
+# empty field (other writers' NULL) is read as NULL, too
+CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"', "nullValue": "\\N", "emptyValue": ""}
 # the writer trims leading/trailing blanks by default; texts must come back whole
 WRITE_OPTIONS = {"quoteAll": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
@@ -42,14 +44,12 @@ def read_csv_with_rejects(spark: SparkSession, path: str, schema: T.StructType)
     return good, bad
 
 
-def export_csv(df: DataFrame, path: str, single_file: bool = False) -> bool:
+def export_csv(df: DataFrame, path: str) -> bool:
     """Write ``df`` with a header if it has rows; returns whether anything was written.
 
-    The emptiness test is a one-row job; ``single_file`` funnels the output
-    through one task and is meant for small results only.
+    The emptiness test is a one-row job.  The files, in order of their names, keep the frame's order.
     """
     if df.isEmpty():
         return False
-    out = df.coalesce(1) if single_file else df
-    out.write.options(**CSV_OPTIONS).options(**WRITE_OPTIONS).mode("overwrite").csv(path)
+    df.write.options(**CSV_OPTIONS).options(**WRITE_OPTIONS).mode("overwrite").csv(path)
     return True

@@ -26,6 +26,7 @@ import re
 import uuid
 from collections.abc import Iterable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,8 +65,10 @@ class SnapshotTable:
     def _log(self) -> DataFrame | None:
         try:
             return self.spark.read.schema(_LOG_SCHEMA).parquet(f"{self.path}/_log")
-        except Exception:  # noqa: BLE001 - no log yet
-            return None
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":  # no log yet; any other error is the caller's to see
+                return None
+            raise
 
     def _versions(self) -> list[int]:
         log = self._log()

@@ -104,7 +104,7 @@ def test_csv_round_trip_keeps_text(spark):
     assert export_csv(df, path)
     back = read_csv(spark, path, "id long, t string")
     got = dict((r["id"], r["t"]) for r in back.collect())
-    assert got[1] == text and got[3] is None
+    assert got[1] == text and got[2] == "" and got[3] is None
 
 
 def test_csv_export_skips_empty(spark):
@@ -142,3 +142,19 @@ def test_head_is_found_by_a_fresh_object_after_many_commits(spark, loaded):
     fresh = feedback_table(spark, loaded.path.rsplit("/", 1)[-1])
     assert fresh.version() == loaded.version()
     assert fresh.read().filter(F.col("FeedbackID") == 1).first()["Comments"] == "v10"
+
+
+def test_an_unreadable_log_is_an_error(spark, tmp_path):
+    """Only a missing log means that there is no table yet."""
+    import pytest
+    from pyspark.sql import types as T
+
+    from salesengine.sources.snapshot import SnapshotTable
+
+    schema = T.StructType([T.StructField("a", T.LongType())])
+    assert SnapshotTable(spark, str(tmp_path / "none"), schema).version() is None
+    broken = tmp_path / "broken" / "_log" / "version=1"
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        SnapshotTable(spark, str(tmp_path / "broken"), schema).create()
