@@ -19,7 +19,7 @@ from salesengine.plans import sales
 from salesengine.session import storage_root
 from salesengine.sources import adapters as A
 from salesengine.sources.csv import export_csv, read_csv, read_csv_with_rejects
-from salesengine.sources.snapshot import REVIEWS_SCHEMA, REVIEWS_WIDE_SCHEMA, feedback_table, reviews_table
+from salesengine.sources.keyed_table import REVIEWS_SCHEMA, REVIEWS_WIDE_SCHEMA, feedback_table, reviews_table
 from salesengine.sources.warehouse import run_query
 
 # fixed values: the rows and statements of the reference scripts
@@ -143,15 +143,21 @@ def review_rows(t) -> DataFrame:
     return d.select(*cols)
 
 
-def load_reviews_csv(spark: SparkSession, path: str, name: str):
-    """Typed CSV read; rows that parse replace the table (numbered by product_id), rows that do not go to
-    ``<name>_rejects``.  Returns (table, rejects table path)."""
-    good, bad = read_csv_with_rejects(spark, path, T.StructType(REVIEWS_SCHEMA.fields[1:]))
+def review_order(df: DataFrame, *keys: str) -> list:
+    """``keys``, then a hash of the whole row: a product with very many reviews is split over tasks, and only
+    rows that are equal throughout can change places."""
+    return [*[F.col(k) for k in keys], F.xxhash64(*[F.col(c) for c in df.columns])]
+
+
+def load_reviews_csv(spark: SparkSession, path: str, name: str, wide: bool = False, multi_line: bool = True):
+    """Typed CSV read; rows that parse replace the table (numbered by product, then date), rows that do not go to
+    ``<name>_rejects``.  Returns (table, rejects table path).  ``multi_line``: see ``read_csv``."""
+    schema = REVIEWS_WIDE_SCHEMA if wide else REVIEWS_SCHEMA
+    good, bad = read_csv_with_rejects(spark, path, T.StructType(schema.fields[1:]), multi_line)
     rejects = f"{storage_root(spark)}/tables/{name}_rejects"
     bad.write.mode("overwrite").parquet(rejects)
-    table = reviews_table(spark, name)
-    table.create()
-    table.replace(good, order_by=["product_id"])
+    table = reviews_table(spark, name, wide=wide)
+    table.replace(good, order_by=review_order(good, *(("asins", "reviews_date") if wide else ("product_id", "review_date"))))
     return table, rejects
 
 
@@ -178,13 +184,10 @@ def review_rows_wide(t) -> DataFrame:
 
 
 def reviews_load_wide(spark: SparkSession, t) -> DataFrame:
-    """A07 + A14 for the 26-column table: CSV -> typed read -> identity -> replace -> read back."""
+    """A07 + A14 for the 26-column table: CSV -> typed read (rejects kept aside) -> identity -> replace -> read back."""
     path = f"{storage_root(spark)}/exports/{_run_name('productReviewsWide')}"
     export_csv(review_rows_wide(t), path)
-    typed = read_csv(spark, path, T.StructType(REVIEWS_WIDE_SCHEMA.fields[1:]))
-    table = reviews_table(spark, _run_name("ProductReviewsWide"), wide=True)
-    table.create()
-    table.replace(typed, order_by=["asins"])
+    table, _ = load_reviews_csv(spark, path, _run_name("ProductReviewsWide"), wide=True)
     return table.read()
 
 

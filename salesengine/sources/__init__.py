@@ -1 +1 @@
-"""Sources and sinks: warehouse tables, adapter views, CSV, JDBC, snapshot tables."""
+"""Sources and sinks: warehouse tables, adapter views, CSV, JDBC, keyed tables."""

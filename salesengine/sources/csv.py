@@ -18,9 +18,13 @@ WRITE_OPTIONS = {"quoteAll": "true", "ignoreLeadingWhiteSpace": "false", "ignore
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             mode: str = "FAILFAST") -> DataFrame:
-    """Header CSV; with ``schema`` the columns are typed on read, otherwise types are inferred."""
-    r = spark.read.options(**CSV_OPTIONS).option("mode", mode)
+             mode: str = "FAILFAST", multi_line: bool = True) -> DataFrame:
+    """Header CSV; with ``schema`` the columns are typed on read, otherwise types are inferred.
+
+    A file whose texts may hold line breaks is read by one task.  With
+    ``multi_line=False``, for files whose texts hold none, a large file is split.
+    """
+    r = spark.read.options(**CSV_OPTIONS).option("mode", mode).option("multiLine", multi_line)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", "true")
     return r.csv(path)
 
@@ -28,7 +32,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 CORRUPT = "_corrupt_record"
 
 
-def read_csv_with_rejects(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+def read_csv_with_rejects(spark: SparkSession, path: str, schema: T.StructType,
+                          multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """Typed read that keeps going past bad rows: (rows that parsed, rejected raw lines).
 
     Rows whose fields do not fit the schema come back in the second frame with
@@ -37,7 +42,7 @@ def read_csv_with_rejects(spark: SparkSession, path: str, schema: T.StructType)
     The parsed file is read once per frame; nothing is collected.
     """
     with_corrupt = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-    raw = (spark.read.options(**CSV_OPTIONS).option("mode", "PERMISSIVE")
+    raw = (spark.read.options(**CSV_OPTIONS).option("mode", "PERMISSIVE").option("multiLine", multi_line)
            .option("columnNameOfCorruptRecord", CORRUPT).schema(with_corrupt).csv(path))
     good = raw.filter(raw[CORRUPT].isNull()).drop(CORRUPT)
     bad = raw.filter(raw[CORRUPT].isNotNull()).withColumnRenamed(CORRUPT, "raw_record")

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 from salesengine.plans import tablejobs
 from salesengine.session import storage_root
 from salesengine.sources.csv import export_csv
-from salesengine.sources.snapshot import feedback_table
+from salesengine.sources.keyed_table import feedback_table
 from salesengine.streaming import start_append_stream
 from tests.fixtures import feedback_events
 
@@ -50,6 +50,11 @@ def test_replayed_batch_is_not_appended_twice(spark):
     append(rows, 0)
     append(rows, 0)  # the same micro-batch again, e.g. after a failure before the stream checkpoint
     assert table.read().count() == 12
-    fresh = feedback_table(spark, table.path.rsplit("/", 1)[-1])  # a new object reads the log
+    fresh = feedback_table(spark, table.path.rsplit("/", 1)[-1])  # a new object reads the table
     batch_appender(fresh, ["event_id"], "s1")(rows, 0)
     assert fresh.read().count() == 12
+
+    # what a broken commit left of a batch goes before the batch is appended again
+    table.append(rows.limit(5), order_by=["event_id"], label="s1:1")
+    append(rows, 1)
+    assert table.read().count() == 24 and table.batch_rows("s1:1") == 12
