@@ -81,15 +81,19 @@ UNITS = 10000  # units per money unit (4 decimals)
 _SPLIT_BITS = 20
 
 
-def money_units(x, decimals: int = 2) -> Column:
-    """A money amount stored as a double with at most ``decimals`` decimals, as exact long units."""
-    scale = 10 ** decimals
-    return F.round(_c(x) * F.lit(float(scale))).cast("long") * F.lit(UNITS // scale)
+def money_units(x) -> Column:
+    """A money amount or a fraction stored as a double, to the four decimals of its type, as exact long units.
+
+    A double holds four decimals up to 4 * 10^11.
+    """
+    return F.round(_c(x) * F.lit(float(UNITS))).cast("long")
 
 
-def fraction_hundredths(x) -> Column:
-    """A fraction with two decimals (a discount) as an exact long count of hundredths."""
-    return F.round(_c(x) * F.lit(100.0)).cast("long")
+def discounted_units(gross_units, discount) -> Column:
+    """gross * (1 - discount) in long units; raises where that is finer than a ten-thousandth, rather than cut it."""
+    fine = _c(gross_units) * (F.lit(UNITS) - money_units(discount))
+    return F.when(fine % UNITS == 0, int_div(fine, F.lit(UNITS))).when(
+        fine.isNotNull(), F.raise_error(F.lit("line total with more than four decimals")).cast("long"))
 
 
 def units_sum(u) -> Column:

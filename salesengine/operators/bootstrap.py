@@ -19,10 +19,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesengine.session import parallelism
-
 REPLICATES = 1001
 MAX_WEIGHT = 12
+_PART = 1 << 30  # a value is hi * 2^30 + lo
 DRAWS_PER_HASH = 4  # 32-bit uniforms per 128-bit md5 digest
 
 
@@ -55,33 +54,38 @@ def bootstrap_ci(df: DataFrame, group: str, row_id: str, value: str, scale: floa
                  replicates: int = REPLICATES, level: float = 0.95) -> DataFrame:
     """group, Mean, N, CiLow, CiHigh.  ``group`` and ``row_id`` are string/integer columns; ``value`` an exact integer.
 
-    The plain mean and row count come out of the same aggregation (every
-    replicate of a group sees all its rows), so the input is read once.
+    The plain mean and row count come out of the same aggregation, as a replicate of
+    number -1 in which every row has weight 1, so the input is read once.  Values are
+    summed as two longs (multiples of 2^30 and the rest) and put together per replicate:
+    exact for totals up to 10^28, whatever a single value's size.
     """
     lo_p, hi_p = _rank_params(level)
     # the input is usually a small aggregate in one partition while the work is rows x replicates:
-    # spread the rows round-robin over the cluster's cores first so the draws run everywhere
-    # (an explicit partition count is not coalesced by AQE, so it is capped at the cores)
-    spark = df.sparkSession
-    spread = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), parallelism(spark)))
-    rows = df.select(F.col(group).alias("g"), F.col(row_id).alias("r"), F.col(value).cast("long").alias("x"))
-    rows = rows.repartition(spread)
+    # spread the rows over as many tasks as the session's shuffles have (an explicit count is not coalesced)
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = F.col(value).cast("decimal(38,0)")
+    rows = df.select(
+        F.col(group).alias("g"), F.col(row_id).alias("r"), F.call_function("div", x, F.lit(_PART)).alias("hi"),
+        (x % F.lit(_PART)).cast("long").alias("lo")).repartition(spread)
     blocks = (replicates + DRAWS_PER_HASH - 1) // DRAWS_PER_HASH
-    drawn = rows.select("g", "x", "r", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q"))
+    drawn = rows.select("g", "hi", "lo", "r", F.explode(F.sequence(F.lit(-1), F.lit(blocks - 1))).alias("q"))
     h = F.md5(F.concat_ws(":", F.col("g").cast("string"), F.col("q").cast("string"), F.col("r").cast("string")))
-    hashed = drawn.select("g", "x", "q", h.alias("h"))
+    hashed = drawn.select("g", "hi", "lo", "q", h.alias("h"))
     us = F.array(*[F.conv(F.substring("h", 8 * j + 1, 8), 16, 10).cast("long") for j in range(DRAWS_PER_HASH)])
-    w = hashed.select("g", "x", "q", F.posexplode(us).alias("j", "u")).select(
-        "g", (F.col("q") * DRAWS_PER_HASH + F.col("j")).alias("b"), "x", _weight(F.col("u")).cast("long").alias("w"),
+    us = F.when(F.col("q") >= 0, us).otherwise(F.array(F.lit(-1).cast("long")))
+    plain = F.col("q") < 0
+    w = hashed.select("g", "hi", "lo", "q", F.posexplode(us).alias("j", "u")).select(
+        "g", F.when(plain, F.lit(-1)).otherwise(F.col("q") * DRAWS_PER_HASH + F.col("j")).alias("b"), "hi", "lo",
+        F.when(plain, F.col("lo").isNotNull().cast("long")).otherwise(_weight(F.col("u")).cast("long")).alias("w"),
     ).filter(F.col("b") < replicates)
-    wx = F.col("w").cast("decimal(38,0)") * F.col("x").cast("decimal(38,0)")
     reps = w.groupBy("g", "b").agg(
-        F.sum(wx).alias("sx"), F.sum("w").alias("sw"),
-        F.sum(F.col("x").cast("decimal(38,0)")).alias("s_all"), F.count("x").alias("n_all"),
-    )
-    mean = (F.col("s_all").cast("double") / F.col("n_all").cast("double")) / F.lit(float(scale))
-    reps = reps.select("g", "b", mean.alias("mean"), "n_all", F.when(F.col("sw") > 0, (
-        F.col("sx").cast("double") / F.col("sw").cast("double")) / F.lit(float(scale))).alias("m"))
+        F.sum(F.col("w") * F.col("hi")).alias("hi"), F.sum(F.col("w") * F.col("lo")).alias("lo"), F.sum("w").alias("sw"))
+    total = F.col("hi").cast("decimal(38,0)") * F.lit(_PART) + F.col("lo")
+    reps = reps.select("g", "b", "sw", F.when(F.col("sw") > 0, (
+        total.cast("double") / F.col("sw").cast("double")) / F.lit(float(scale))).alias("v"))
+    own = F.col("b") < 0
+    reps = reps.select("g", "b", F.when(own, F.col("v")).alias("mean"), F.when(own, F.col("sw")).alias("n_all"),
+                       F.when(~own, F.col("v")).alias("m"))
     win = Window.partitionBy("g").orderBy(F.col("m").asc_nulls_last(), "b")
     ranked = reps.select("g", "m", "mean", "n_all", (F.row_number().over(win) - 1).alias("k"),
                          F.count("m").over(Window.partitionBy("g")).alias("n"))

@@ -11,47 +11,56 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesengine.functions.money import int_avg_from, money_avg_units, units_sum
 from salesengine.sources import adapters as A
 
 
-def _sales_counts(t, since: dt.date | None = None) -> DataFrame:
+def _sales_counts(t, since: dt.date) -> DataFrame:
     lines = A.sod(t).select("SalesOrderID", "ProductID", "SalesOrderDetailID")
-    if since is not None:
-        lines = lines.join(A.soh(t, since=since).select("SalesOrderID"), "SalesOrderID")
+    lines = lines.join(A.soh(t, since=since).select("SalesOrderID"), "SalesOrderID")
     return lines.groupBy("ProductID").agg(F.count("SalesOrderDetailID").alias("c"))
 
 
+def _stock(t) -> DataFrame:
+    """ProductID, Quantity, n stock rows of that quantity, c sales rows of the product, from one scan of the lines.
+
+    The window sees one row per product and quantity.
+    """
+    per = A.inv_and_sales(t).groupBy("ProductID", "Quantity").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("SalesLines").alias("lines"))
+    return per.select("ProductID", "Quantity", "n", F.sum("lines").over(Window.partitionBy("ProductID")).alias("c"))
+
+
+def _fan_out(stock: DataFrame, t) -> DataFrame:
+    g = stock.join(A.prod(t), "ProductID").groupBy(
+        "ProductID", F.col("Name").alias("ProductName"), F.col("Quantity").alias("InventoryQty"))
+    return g.agg(F.sum(F.col("n") * F.coalesce(F.col("c"), F.lit(0))).alias("SalesCount"))
+
+
 def inventory_anomalies(t, sales_since: dt.date | None = None) -> DataFrame:
     """(stock 0 and no sales) or stock > 100, per product x stock quantity.
 
     ``sales_since`` limits the left-joined sales to orders on or after a date
     (None = all sales, as written).
     """
-    stock = (
-        A.inv(t)
-        .filter((F.col("Quantity") == 0) | (F.col("Quantity") > 100))  # implied by the HAVING clause
-        .groupBy("ProductID", "Quantity").agg(F.count(F.lit(1)).alias("n"))
-    )
-    j = stock.join(A.prod(t), "ProductID").join(_sales_counts(t, sales_since), "ProductID", "left")
-    g = j.groupBy("ProductID", F.col("Name").alias("ProductName"), F.col("Quantity").alias("InventoryQty")).agg(
-        F.sum(F.col("n") * F.coalesce(F.col("c"), F.lit(0))).alias("SalesCount"))
-    return g.filter(
+    wanted = (F.col("Quantity") == 0) | (F.col("Quantity") > 100)  # implied by the HAVING clause
+    if sales_since is None:
+        stock = _stock(t).filter(wanted)
+    else:
+        stock = A.inv(t).filter(wanted).groupBy("ProductID", "Quantity").agg(F.count(F.lit(1)).alias("n"))
+        stock = stock.join(_sales_counts(t, sales_since), "ProductID", "left")
+    return _fan_out(stock, t).filter(
         ((F.col("InventoryQty") == 0) & (F.col("SalesCount") == 0)) | (F.col("InventoryQty") > 100)
     ).orderBy(F.asc("InventoryQty"), F.desc("SalesCount"), "ProductID")
 
 
 def low_inventory_sellers(t) -> DataFrame:
     """Products with a stock row below 10 and their sales-row count; SalesCount desc."""
-    stock = A.inv(t).filter(F.col("Quantity") < 10).groupBy("ProductID", "Quantity").agg(
-        F.count(F.lit(1)).alias("n"))
-    j = stock.join(A.prod(t), "ProductID").join(_sales_counts(t), "ProductID")
-    g = j.groupBy("ProductID", F.col("Name").alias("ProductName"), F.col("Quantity").alias("InventoryQty")).agg(
-        F.sum(F.col("n") * F.col("c")).alias("SalesCount"))
-    return g.orderBy(F.desc("SalesCount"), "ProductID", "InventoryQty")
+    return _fan_out(_stock(t).filter(F.col("Quantity") < 10), t).orderBy(
+        F.desc("SalesCount"), "ProductID", "InventoryQty")
 
 
 def vendor_lead_time(t) -> DataFrame:

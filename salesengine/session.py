@@ -70,14 +70,6 @@ def _context(spark: SparkSession):
         return None
 
 
-def parallelism(spark: SparkSession) -> int:
-    """Cores of the cluster (classic session), else the shuffle partition count."""
-    sc = _context(spark)
-    if sc is not None:
-        return sc.defaultParallelism
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 # Runtime SQL settings for a large cluster (100 TB inputs, ~1000 executors).  They only
 # size partitions and let AQE act; results do not depend on them.
 SCALE_SETTINGS = {

@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesengine.functions.money import fraction_hundredths, int_avg, line_total, money, money_units
+from salesengine.functions.money import discounted_units, int_avg, line_total, money, money_units
 
 # fixed values of the adapter mapping (FIXTURES.md §2)
 BILL_TO_ADDRESSES = 25
@@ -54,18 +54,17 @@ def soh_territory(t, since: dt.date | None = None) -> DataFrame:
 def sod(t) -> DataFrame:
     """SalesOrderDetail: one row per order line; Gross = UnitPrice*OrderQty.
 
-    ``GrossU`` / ``LineTotalU`` are the same amounts as exact long units (ten-thousandths):
-    cents x (100 - discount in hundredths) is LineTotal in units.
+    ``GrossU`` / ``LineTotalU`` are the same amounts as exact long units (ten-thousandths).
     """
-    cents = F.round(F.col("l_extendedprice") * F.lit(100.0)).cast("long")
+    gross = money_units("l_extendedprice")
     return t["lineitem"].select(
         F.col("l_orderkey").alias("SalesOrderID"),
         F.col("l_linenumber").alias("SalesOrderDetailID"),
         F.col("l_partkey").alias("ProductID"),
         money("l_extendedprice").alias("Gross"),
         line_total("l_extendedprice", "l_discount").alias("LineTotal"),
-        (cents * F.lit(100)).alias("GrossU"),
-        (cents * (F.lit(100) - fraction_hundredths("l_discount"))).alias("LineTotalU"),
+        gross.alias("GrossU"),
+        discounted_units(gross, "l_discount").alias("LineTotalU"),
     )
 
 
@@ -92,11 +91,16 @@ def terr(t) -> DataFrame:
 
 def inv(t) -> DataFrame:
     """ProductInventory: one row per (product, location); Quantity = returned units."""
+    return inv_and_sales(t).drop("SalesLines")
+
+
+def inv_and_sales(t) -> DataFrame:
+    """``inv`` and, from the same scan, how many order lines (``sod`` rows) lie behind each of its rows."""
     qty = F.when(F.col("l_returnflag") == RETURNED_FLAG, F.col("l_quantity")).otherwise(F.lit(0.0))
     return (
         t["lineitem"]
         .groupBy(F.col("l_partkey").alias("ProductID"), F.col("l_suppkey").alias("LocationID"))
-        .agg(F.sum(qty).cast("int").alias("Quantity"))
+        .agg(F.sum(qty).cast("int").alias("Quantity"), F.count("l_linenumber").alias("SalesLines"))
     )
 
 

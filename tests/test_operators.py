@@ -66,6 +66,23 @@ def test_bootstrap_interval_brackets_mean(spark):
     assert (ci["CiLow"], ci["CiHigh"]) == (again["CiLow"], again["CiHigh"])  # reproducible
 
 
+def test_bootstrap_of_values_beyond_a_long(spark):
+    """Amounts of 10^21 and more: the interval is that of the same values in larger units."""
+    xs = [(i % 7, 100 + (i * 37) % 23 - (i % 2) * 150) for i in range(40)]
+    small = spark.createDataFrame([("g", i, x) for i, (_, x) in enumerate(xs)], "g string, r long, x long")
+    big = small.withColumn("x", F.col("x") * F.lit("1e19").cast("decimal(20,0)"))
+    a, b = bootstrap_ci(small, "g", "r", "x", replicates=101).first(), bootstrap_ci(big, "g", "r", "x", replicates=101).first()
+    assert b["N"] == 40 and abs(a["Mean"] - sum(x for _, x in xs) / 40) < 1e-12
+    for c in ("Mean", "CiLow", "CiHigh"):
+        assert abs(b[c] / 1e19 - a[c]) < 1e-9 * max(1, abs(a[c]))
+
+
+def test_bootstrap_mean_skips_nulls(spark):
+    df = spark.createDataFrame([("g", 1, 10), ("g", 2, None), ("g", 3, 20)], "g string, r long, x long")
+    ci = bootstrap_ci(df, "g", "r", "x", replicates=21).first()
+    assert (ci["Mean"], ci["N"]) == (15.0, 2)
+
+
 def test_fill_calendar_inserts_zero_months(spark):
     m = spark.createDataFrame([("a", dt.date(2020, 1, 1), 1.0), ("a", dt.date(2020, 4, 1), 4.0)],
                               "k string, m date, v double")

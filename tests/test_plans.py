@@ -103,3 +103,9 @@ def test_top_k_and_rest_cover_all(spark):
     assert rest.count() + 10 == full.count()
     worst = E.queries()["bottom10_products"](spark, SF001).agg(F.max("TotalSales")).first()[0]
     assert worst <= rest.agg(F.max("TotalSales")).first()[0]
+
+
+@pytest.mark.parametrize("key", ["inventory_anomalies", "low_inventory_sellers"])
+def test_stock_and_sales_come_from_one_scan(spark, capsys, key):
+    plan = _plan(E.queries()[key](spark, SF001), capsys)
+    assert sum("lineitem.parquet" in ln and "Location" in ln for ln in plan.split("\n")) == 1

@@ -50,3 +50,23 @@ def test_split_units_sum_is_exact(spark, us):
     exact = Decimal(sum(us)) / Decimal(len(us))
     q = abs(exact).quantize(Decimal("1"), rounding=ROUND_HALF_UP) * (1 if exact >= 0 else -1)
     assert r["a"] == float(q) / 10000.0
+
+
+def test_money_keeps_four_decimals(spark):
+    """Prices and discounts of four decimals against exact decimals; what is finer than the type raises."""
+    import pytest
+
+    from salesengine.functions.money import discounted_units, money_units
+
+    amounts = ["1.2345", "21141.8929", "-0.0001", "99999999.9999", "0.3", "1234.5"]
+    df = spark.createDataFrame([(float(a),) for a in amounts], "x double")
+    from decimal import Decimal
+
+    assert [r[0] for r in df.select(money_units("x")).collect()] == [int(Decimal(a) * 10000) for a in amounts]
+    lines = spark.createDataFrame([(200.0, 0.1255), (0.2, 0.0005), (1234.56, 0.07), (21141.8929, 0.0), (None, 0.1), (1.0, None)],
+                                  "p double, d double")
+    got = [r[0] for r in lines.select(discounted_units(money_units("p"), "d")).collect()]
+    assert got == [1749000, 1999, 11481408, 211418929, None, None]
+    with pytest.raises(Exception, match="more than four decimals"):
+        spark.createDataFrame([(1.2345, 0.05)], "p double, d double").select(
+            discounted_units(money_units("p"), "d")).collect()
