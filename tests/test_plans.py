@@ -87,6 +87,8 @@ def test_library_collects_only_bounded_metadata():
     root = pathlib.Path(__file__).resolve().parent.parent / "salesengine"
     for path in root.rglob("*.py"):
         rel = str(path.relative_to(root))
+        if rel.startswith("llm/"):  # held against its own list in tests/llm
+            continue
         text = path.read_text()
         n = len(re.findall(r"\.(collect|first|toPandas|take|head)\(", text))
         assert n <= allowed.get(rel, 0), (rel, n)
