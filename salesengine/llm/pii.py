@@ -1,11 +1,14 @@
 """PII surrogates: every detected entity gets a keyed replacement of its own kind.
 
 Entities: e-mail addresses, IBANs, phone numbers, card numbers, social security
-numbers, IPv4 addresses, and names after a title.  A replacement
+numbers, IPv4 addresses, and names after one or more titles, with initials and
+particles.  The words of such a name are replaced wherever else the same text
+has them capitalised, with or without a title.  A replacement
 
 * depends on the secret key and the entity alone, so one entity has one
   surrogate in the whole corpus, however it is written (spaces, dashes, case);
-  names are replaced word by word, so "Mr Smith" and "Mr John Smith" agree;
+  names are replaced word by word, so "Mr Smith", "Mr John Smith" and a bare
+  "Smith" agree; an initial is mapped by itself, a particle ("von") stays;
 * keeps format: letters give letters of the same script and kind (vowel,
   consonant, accent), digits give digits, separators, case, country code, top
   level domain, first card digit and Luhn validity stay, octets stay octets;
@@ -25,6 +28,7 @@ whatever their names, and ``n_chars`` follows the text where there is one.
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,27 +39,46 @@ from salesengine.session import reliable_checkpoint
 ROOMY = 6
 TITLES = "Mr|Mrs|Ms|Miss|Mister|Dr|Prof|Herr|Frau|Sr|Sra|Señor|Señora|Mme|Mlle|Monsieur|Madame|M\\.|г-н|г-жа|Господин|Госпожа|Κύριος|Κυρία"
 _FIRST = "".join(sorted({t[0] for t in TITLES.split("|")}))  # looked at first, as most places fail here
-_NAME = r"\p{Lu}[\p{L}\p{M}'’-]+"
+_STACKED = TITLES.replace("|M\\.", "")  # "M." after another title is an initial
+_DEGREES = r"h\. ?c|med|phil|rer|nat|jur|Ing"
+#: Titles before a name, with what parts them from it.
+STACK = rf"(?:{TITLES})\.?(?:[ \u00a0](?:{_STACKED}|{_DEGREES})(?![\p{{L}}\p{{M}}])\.?)*[ \u00a0\n]"
+PARTICLES = "von|van|vom|zu|zum|zur|der|den|de|del|della|di|da|das|dos|do|du|des|la|le|las|los|ter|ten|bin|ibn|al"
+_IN_WORD = r"(?:[\p{L}\p{M}]|['’](?=\p{L})(?!s(?![\p{L}\p{M}])))"  # no possessive 's
+_WORD = rf"(?!(?:{_STACKED})(?![\p{{L}}\p{{M}}]))\p{{Lu}}{_IN_WORD}++(?:-\p{{Lu}}{_IN_WORD}*+)*+"
+_INITIALS = r"\p{Lu}\.(?:-?\p{Lu}\.)*+"
+_CHUNK = rf"(?:(?:{PARTICLES})[ \u00a0]){{0,3}}(?:(?:{_INITIALS}|\p{{Lu}}(?=[ \u00a0]\p{{Lu}}))[ \u00a0]?){{0,4}}{_WORD}"
+#: A word of a name: within a name that was found, and anywhere else in a text.
+NAME_WORD = r"\p{L}(?:[\p{L}\p{M}]|['’](?=\p{L}))*+"
+BARE = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])\p{{Lu}}{_IN_WORD}++"
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"  # a sentence may run on into the address
+_LOCAL = rf"[\p{{L}}\p{{M}}\p{{N}}._%+\-&&[^{_UNSPACED}]]"
 #: Kinds in order of precedence.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![A-Za-z0-9])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}|(?<![.-])\d{3}([.-])\d{3}\1\d{4})(?![\p{L}\p{N}]|-\d)",
-    "card": r"(?<![\p{L}\p{N}.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\p{L}\p{N}]|[.-]\d)",
+    "email": rf"(?:(?<!{_LOCAL}){_LOCAL}++|(?<![{_UNSPACED}])[{_UNSPACED}]++[{_UNSPACED}0-9._-]*+)@(?:[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{M}}\p{{N}}-]*[\p{{L}}\p{{M}}\p{{N}}])?\.)+(?:xn--[A-Za-z0-9-]++|[\p{{L}}\p{{M}}&&[^{_UNSPACED}]]{{2,}}+|[{_UNSPACED}]{{2,4}}+)(?![A-Za-z0-9])",
+    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?=(?: ?[A-Z0-9]){11})(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ ./-]?\d){6,12}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\(0\d{0,4}\)(?:[ ./-]?\d){6,9}"
+             r"|(?<![.-])(?:1[ .-])?\d{3}(?<sep>[ .-])\d{3}\k<sep>\d{4}"
+             r"|(?<![.-])0\d{1,4}(?:(?<part>[ .-])(?=\d(?:\k<part>?\d){6,9}(?!\d|\k<part>\d))\d{2,4}(?:\k<part>\d{2,4}){1,4}|[ /-]\d{6,8}|[ /-]\d{3}(?: \d{2,3}){2,3}))(?![\p{L}\p{N}]|-\d)",
+    "card": r"(?<![\p{L}\p{N}.-])(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\p{L}\p{N}]|[.-]\d)",
     "ssn": r"(?<![\p{L}\p{N}.-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-)",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
-    "name": rf"(?=[{_FIRST}])(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? {_NAME}(?: {_NAME}){{0,2}}",
+    "name": rf"(?=[{_FIRST}])(?<![\p{{L}}\p{{N}}]){STACK}(?:{_CHUNK}(?:[ \u00a0]{_CHUNK}){{0,2}}(?:[ \u00a0]{_INITIALS})?|{_INITIALS})",
 }
-#: All kinds as one pattern; the phones' back reference needs a name there.
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([.-])\d{3}\1", r"(?<sep>[.-])\d{3}\k<sep>")
+#: All kinds as one pattern.
+ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Texts without these have no entity; far cheaper to look for than ANY.
-HINT = rf"[@0-9]|(?=[{_FIRST}])(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}"
+HINT = rf"[@0-9]|(?=[{_FIRST}])(?<!\p{{L}})(?:{TITLES})\.?[ \u00a0\n]\p{{L}}"
 #: Letters that may stand for one another (fixed values).
 CLASSES = (
     "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz",
     "àáâãäåæèéêëìíîïòóôõöøùúûüœ", "çñšžčćřşğłńśź",
     "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψ",
 )
+#: Letters of other scripts, by code points: Hebrew, Arabic, Armenian, Georgian, Devanagari, Thai, kana, Han, Hangul.
+RANGES = ((0x5D0, 0x5EA), (0x628, 0x63A), (0x641, 0x64A), (0x561, 0x585), (0x10D0, 0x10F0), (0x915, 0x939), (0xE01, 0xE2E), (0x3041, 0x3093), (0x30A1, 0x30F4), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+#: A country code.
+CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 
 def _chars(s: Column) -> Column:
@@ -69,11 +92,13 @@ def _draw(digest: Column, at: Column, digits: int = 2) -> Column:
 
 
 def _shifted(ch: Column, by: Column) -> Column:
-    out = ch
-    for table in CLASSES:
-        at = F.position(ch, F.lit(table))
-        out = F.when(at > 0, F.substring(F.lit(table), (F.pmod(at - 1 + by, F.lit(len(table))) + 1).cast("int"), F.lit(1))).otherwise(out)
-    return out
+    # looked up in constant arrays: a branch for each class would make the plan many times larger
+    of = F.filter(F.expr("array('" + "', '".join(CLASSES) + "')"), lambda t: t.contains(ch))
+    out = F.get(F.transform(of, lambda t: F.substring(t, (F.pmod(F.position(ch, t) - 1 + by, F.length(t)) + 1).cast("int"), F.lit(1))), F.lit(0))
+    point = F.ascii(ch)
+    spans = F.filter(F.expr("array(" + ", ".join(f"named_struct('lo', {lo}, 'hi', {hi})" for lo, hi in RANGES) + ")"), lambda r: point.between(r["lo"], r["hi"]))
+    other = F.get(F.transform(spans, lambda r: F.decode(F.unhex(F.lpad(F.hex(r["lo"] + F.pmod(point - r["lo"] + by, r["hi"] - r["lo"] + 1)), 4, "0")), "UTF-16BE")), F.lit(0))
+    return F.coalesce(out, F.when(point > 0x530, other), ch)
 
 
 def _shift(s: Column, digest: Column, keep=lambda i, n: F.lit(False)) -> Column:
@@ -129,8 +154,10 @@ def surrogate(kind: Column, unit: Column, attempt: Column, key: str) -> Column:
     more = F.greatest(attempt - (ROOMY - 1), F.lit(0))
     digits = F.substring(F.translate(F.reverse(digest), "abcdef", "012345"), F.lit(1), more)
     letters = F.substring(F.translate(F.reverse(digest), "0123456789abcdef", "aeiouaeioulmnrst"), F.lit(1), more)
-    over_ten = F.greatest(F.length(unit) - 10, F.lit(0))
-    phone = _no_leading_zero(_shift(unit, digest, lambda i, n: i < n - 10), unit, digest, over_ten)
+    # the country code stays, or the leading 0, or what is before ten digits
+    stays = (F.when(unit.startswith("+"), F.length(F.regexp_extract(unit, CODE, 0)))
+             .otherwise(F.greatest(F.length(unit) - 10, unit.startswith("0").cast("int"))))
+    phone = _no_leading_zero(_shift(unit, digest, lambda i, n: i < stays), unit, digest, stays)
     return (F.when(kind == "email", _email(unit, digest, digits))
             .when(kind == "iban", F.concat(F.upper(_shift(F.lower(unit), digest, lambda i, n: i < 2)), digits))
             .when(kind == "phone", F.concat(phone, digits))
@@ -150,15 +177,22 @@ def kind_of(match: Column) -> Column:
 
 
 def _name_body(match: Column) -> Column:
-    return F.regexp_replace(match, rf"^(?:{TITLES})\.? ", "")
+    return F.regexp_replace(match, f"^{STACK}", "")
+
+
+def _stays(word: Column) -> Column:
+    """Words of a name that aren't looked up: initials and particles."""
+    return (F.length(word) == 1) | word.rlike(f"^(?:{PARTICLES})$")
 
 
 def units(kind: Column, match: Column) -> Column:
     """What of a match is mapped: its normal form, or a name's words."""
     digits = F.regexp_replace(match, r"\D", "")
-    return (F.when(kind == "email", F.array(F.lower(match))).when(kind.isin("phone", "card", "ssn"), F.array(digits))
+    phone = F.concat(F.when(match.startswith("+"), "+").otherwise(""), F.regexp_replace(match, r"\(0\)|\D", ""))  # (0) is only dialled at home
+    words = F.filter(F.regexp_extract_all(_name_body(match), F.lit(NAME_WORD), F.lit(0)), lambda w: ~_stays(w))
+    return (F.when(kind == "email", F.array(F.lower(match))).when(kind == "phone", F.array(phone)).when(kind.isin("card", "ssn"), F.array(digits))
             .when(kind == "iban", F.array(F.regexp_replace(match, " ", ""))).when(kind == "ip", F.array(match))
-            .otherwise(F.split(F.lower(_name_body(match)), " ")))
+            .otherwise(F.transform(words, F.lower)))
 
 
 def entities(text: Column) -> Column:
@@ -209,14 +243,40 @@ def _poured(match: Column, new: Column, content: str) -> Column:
     return F.aggregate(_chars(match), start, step, lambda a: F.concat(a["out"], F.substring(new, a["n"] + 1, F.length(new))))
 
 
-def _render(entity: Column, mapping: Column) -> Column:
+def _initial(letter: Column, key: str) -> Column:
+    """An initial's replacement: a keyed shift of its class, so that no two initials meet and none stays."""
+    by = int(hashlib.sha256(f"{key}\x1finitial".encode()).hexdigest(), 16) % 10_007
+    while any(by % n == 0 for n in (*map(len, CLASSES), *(hi - lo + 1 for lo, hi in RANGES))):
+        by += 1
+    return _fit_case(_shifted(F.lower(letter), F.lit(by)), letter)
+
+
+def _named(word: Column, mapping: Column) -> Column:
+    """The replacement of a word of a name, null for another word."""
+    return _fit_case(mapping[F.concat_ws("\x1f", F.lit("name"), F.lower(word))], word)
+
+
+def _between(text: Column, pattern: str, render) -> Column:
+    """``text`` with what the pattern finds rendered, where that isn't null."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), found, lambda g, w: F.concat(g, F.coalesce(render(w), w, F.lit("")))), "")
+
+
+def _bare(gap: Column, mapping: Column) -> Column:
+    """struct<t, n> of a text between entities: with the words of the names replaced, and how many."""
+    words = F.filter(F.regexp_extract_all(gap, F.lit(BARE), F.lit(0)), lambda w: _named(w, mapping).isNotNull())
+    return F.struct(_between(gap, BARE, lambda w: _named(w, mapping)).alias("t"), F.size(words).alias("n"))
+
+
+def _render(entity: Column, mapping: Column, key: str) -> Column:
     kind, match = entity["kind"], entity["match"]
-    new = mapping[F.concat_ws("\x1f", kind, entity["units"][0])]
-    words = F.transform(F.split(_name_body(match), " "), lambda w: _fit_case(mapping[F.concat_ws("\x1f", kind, F.lower(w))], w))
-    title = F.regexp_extract(match, rf"^(?:{TITLES})\.? ", 0)
+    new = mapping[F.concat_ws("\x1f", kind, F.get(entity["units"], F.lit(0)))]
+    name = _between(_name_body(match), NAME_WORD, lambda w: F.when(F.length(w) == 1, _initial(w, key)).when(~_stays(w), _named(w, mapping)))
+    title = F.regexp_extract(match, f"^{STACK}", 0)
+    phone = F.replace(_poured(F.replace(match, F.lit("(0)"), F.lit("\x1e")), F.replace(new, F.lit("+"), F.lit("")), "[0-9]"), F.lit("\x1e"), F.lit("(0)"))
     return (F.when(kind == "email", F.when(match == F.upper(match), F.upper(new)).otherwise(new)).when(kind == "ip", new)
-            .when(kind == "iban", _poured(match, new, "[A-Z0-9]")).when(kind == "name", F.concat(title, F.array_join(words, " ")))
-            .otherwise(_poured(match, new, "[0-9]")))
+            .when(kind == "iban", _poured(match, new, "[A-Z0-9]")).when(kind == "name", F.concat(title, name))
+            .when(kind == "phone", phone).otherwise(_poured(match, new, "[0-9]")))
 
 
 def pseudonymise(docs: DataFrame, key: str, count_as: str | None = None) -> DataFrame:
@@ -230,11 +290,16 @@ def pseudonymise(docs: DataFrame, key: str, count_as: str | None = None) -> Data
     maps = (each.join(table, ["kind", "unit"]).groupBy("id", "row_key").agg(F.map_from_entries(F.collect_set(pair)).alias("map")))
     has = F.col("t").rlike(HINT) & F.col("t").rlike(ANY)
     dirty, rest = rows.where(has), rows.where(F.coalesce(~has, F.lit(True)))
-    met = dirty.join(maps.withColumnsRenamed({"id": "id2", "row_key": "key2"}), F.col("row_key").eqNullSafe(F.col("key2")) & F.col("id").eqNullSafe(F.col("id2")))
+    met = dirty.join(maps.withColumnsRenamed({"id": "id2", "row_key": "key2"}), F.col("row_key").eqNullSafe(F.col("key2")) & F.col("id").eqNullSafe(F.col("id2")), "left")  # a name of initials alone has nothing to look up
     gaps = F.split("t", ANY, -1)
-    found = met.select("row", "map", gaps.alias("gaps"), entities(F.col("t")).alias("found"))
-    pieces = F.zip_with("gaps", "found", lambda g, e: F.concat(g, F.when(e.isNull(), F.lit("")).otherwise(_render(e, F.col("map")))))
-    done = found.select("row", F.array_join(pieces, "").alias("t"), F.size("found").alias("n"))
+    mapping = F.coalesce("map", F.expr("cast(map() as map<string, string>)"))
+    found = met.select("row", mapping.alias("map"), gaps.alias("gaps"), entities(F.col("t")).alias("found"))
+    named = F.exists("found", lambda e: e["kind"] == "name")
+    gaps = F.transform("gaps", lambda g: F.when(named, _bare(g, F.col("map"))).otherwise(F.struct(g.alias("t"), F.lit(0).alias("n"))))
+    found = found.select("row", "map", gaps.alias("gaps"), "found")
+    pieces = F.zip_with("gaps", "found", lambda g, e: F.concat(g["t"], F.when(e.isNull(), F.lit("")).otherwise(_render(e, F.col("map"), key))))
+    bare = F.aggregate("gaps", F.lit(0), lambda n, g: n + g["n"])
+    done = found.select("row", F.array_join(pieces, "").alias("t"), (F.size("found") + bare).alias("n"))
     every = done.unionByName(rest.select("row", "t", F.lit(0).alias("n")))
     fields = {c.lower(): F.col("row")[c].alias(c) for c in columns} | {"text": F.col("t").alias(next(c for c in columns if c.lower() == "text"))}
     if "n_chars" in fields:

@@ -98,3 +98,66 @@ def test_edges(spark, name):
     ip = next(t for i, t in got if i is None)
     assert next(t for i, t in got if i == 4) == f"x {ip} " * 500
     assert pii.pseudonymise(docs(spark, []), KEY).count() == 0
+
+
+FORMS = {
+    "phone": ["+33 1 23 45 67 89", "+61 2 9876 5432", "+46 8 123 456 78", "+49 (0)30 1234567", "310 555 4510", "1-310-555-4510", "020 7946 0958", "01 23 45 67 89", "030/1234567", "(030) 123 45 67"],
+    "card": ["3782 822463 10005", "3782-822463-10005", "3056 930902 5904"],
+    "iban": ["NO93 8601 1117 947", "NO9386011117947", "BE68 5390 0754 7034"],
+    "email": ["jörg@müller.example.de", "иван@почта.рф", "用户@例子.中国", "ann@xn--mller-kva.example"],
+}
+
+
+def test_wide_forms(spark):
+    forms = [(kind, f) for kind, fs in FORMS.items() for f in fs]
+    out = replaced(spark, [f"see {f} now" for _, f in forms])
+    for i, (kind, f) in enumerate(forms):
+        new, n = out[i]
+        assert n == 1 and new != f"see {f} now" and new.startswith("see ") and new.endswith(" now"), (f, new)
+        assert shape(new) == shape(f"see {f} now"), (f, new)
+        if kind == "card":
+            assert luhn(re.sub(r"\D", "", new)) == luhn(re.sub(r"\D", "", f))
+        if f.startswith("+"):
+            assert new[4:7] == f[:3]
+
+
+def test_numbers_that_are_no_entity(spark):
+    texts = ["on 01.02.2021 12:30", "on 2021-05-04 01:02", "pi is 3.14159 26535", "zip 01234-5678", "0.123456789 of 1 000 000", "给我写信ann@example.com吧"]
+    out = replaced(spark, texts)
+    assert all(out[i] == (t, 0) for i, t in enumerate(texts[:-1]))
+    assert out[5][1] == 1 and out[5][0].startswith("给我写信") and out[5][0].endswith(".com吧") and "ann@" not in out[5][0]
+
+
+def test_trunk_zero_is_one_number(spark):
+    a, b = replaced(spark, ["+49 (0)30 1234567 or +49 30 1234567"])[0][0].split(" or ")
+    assert a.startswith("+49 (0)") and a.replace("(0)", "") == b
+
+
+NAMES = (
+    ("Mr John Smith said. Smith left.", "John Smith", "Mr said. left."),
+    ("Smith came, as Mr Smith's wife and 'Smith' said", "Smith", "came, as Mr 's wife and '"),
+    ("Mr J. Smith sat", "J. Smith", "Mr sat"),
+    ("Dr. A. B. Jones sat", "A. B. Jones", "Dr. sat"),
+    ("Mr John F. Kennedy sat", "John F. Kennedy", "Mr sat"),
+    ("Prof. Dr. Anna Weber sat. Weber and Anna sat", "Anna Weber", "Prof. Dr. sat. and sat"),
+    ("Mr M. Dupont and Mr J.R.R. Tolkien sat", "M. J.R.R. Dupont Tolkien", "Mr and Mr sat"),
+    ("Frau Ursula von der Leyen sat, Leyen", "Ursula Leyen", "Frau von der sat,"),
+    ("Herr Hans-Peter Müller sat, Peter and MÜLLER", "Hans Peter Müller MÜLLER", "Herr sat, and"),
+    ("Herr K. sat", "K.", "Herr sat"),
+)
+
+
+def test_names(spark):
+    out = replaced(spark, [text for text, _, _ in NAMES])
+    for i, (text, gone, stays) in enumerate(NAMES):
+        new, n = out[i]
+        assert n >= 1 and len(new) == len(text)
+        words = re.findall(r"[^\W\d_]+|'s?", new)
+        assert not set(re.findall(r"[^\W\d_]+", gone)) & set(words), new
+        assert set(re.findall(r"[^\W\d_]+|'s?", stays)) <= set(words), new
+
+
+def test_bare_mentions_agree_with_the_name(spark):
+    new, n = replaced(spark, ["Mr John Smith said. Smith left, John stayed, SMITH wrote. Smithers did not."])[0]
+    first, last = re.match(r"Mr (\w+) (\w+) said", new).groups()
+    assert new == f"Mr {first} {last} said. {last} left, {first} stayed, {last.upper()} wrote. Smithers did not." and n == 4
