@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+SERIES_PER_TASK = 200  # of the fit, at most
 FINE = 9  # fine steps to either side: one less than a coarse step, so the edge of the unit square is never reached
 
 
@@ -99,9 +100,10 @@ def arima_111_forecast(monthly: DataFrame, key: str, period: str, value: str, st
     ys = F.col("ys")
     w = F.transform(F.sequence(F.lit(2), F.size(ys)), lambda i: F.element_at(ys, i) - F.element_at(ys, i - 1))
     series = series.select(key, "last", F.element_at(ys, -1).alias("y_last"), w.alias("w"))
-    # one small row per series but a grid of folds each: AQE would pack the rows into one task by size,
-    # so spread them over as many tasks as the session's shuffles have before the fit
-    series = series.repartition(int(monthly.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # one small row per series but a grid of folds each: AQE would pack the rows into one task by size, so spread them
+    # over as many tasks as the session's shuffles have, or more with more series
+    tasks = max(int(monthly.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-monthly.select(key).distinct().count() // SERIES_PER_TASK))
+    series = series.repartition(tasks)
 
     half, step = _grid(grid_step)
     best = _best_on_grid(F.col("w"), F.lit(0.0), F.lit(0.0), half, step)

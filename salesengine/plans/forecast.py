@@ -2,7 +2,8 @@
 
 The reference fits one series (company monthly totals).  We forecast every
 series in one job: the company total, one series per sales territory and one
-per customer segment, all from one scan of the orders.
+per customer segment, all from one scan of the orders; ``product_forecast`` does
+so for every product.
 Months run from a series' first month to its last one.  The month of the latest
 order may be incomplete; ``keep_partial_month=False`` leaves it out.
 """
@@ -65,6 +66,26 @@ def sales_forecast(t, as_of: dt.date | None = None, steps: int = 12, keep_partia
     return arima_111_forecast(m, "SeriesKey", "Month", "TotalSales", steps=steps).orderBy("SeriesKey", "Step")
 
 
+def product_monthly_series(t, as_of: dt.date | None = None, keep_partial_month: bool = True) -> DataFrame:
+    """SeriesKey (``Product <id>``, as names may repeat), Month, TotalSales (DOUBLE from exact sums of line totals) of every product sold.
+
+    Order lines meet the orders for their month, and are reduced to (product, month) at once; no other join.
+    """
+    orders = A.soh(t)
+    if not keep_partial_month:
+        orders = orders.filter(F.col("OrderDate") < F.lit(_month_start(as_of or A.data_as_of(t))))
+    month = F.trunc("OrderDate", "month").alias("Month")
+    lines = A.sod(t).select("SalesOrderID", "ProductID", "LineTotalU").filter(F.col("ProductID").isNotNull())
+    per = lines.join(orders.select("SalesOrderID", "OrderDate"), "SalesOrderID").groupBy("ProductID", month).agg(units_sum("LineTotalU").alias("s"))
+    return per.select(F.concat(F.lit("Product "), F.col("ProductID").cast("string")).alias("SeriesKey"), "Month", units_to_double("s").alias("TotalSales"))
+
+
+def product_forecast(t, as_of: dt.date | None = None, steps: int = 12, keep_partial_month: bool = True) -> DataFrame:
+    """B17 for products: the columns of ``sales_forecast`` for every product's series."""
+    m = reliable_checkpoint(product_monthly_series(t, as_of, keep_partial_month))
+    return arima_111_forecast(m, "SeriesKey", "Month", "TotalSales", steps=steps).orderBy("SeriesKey", "Step")
+
+
 def actual_and_forecast(t, as_of: dt.date | None = None, steps: int = 12, keep_partial_month: bool = True) -> DataFrame:
     """C17: the company series' monthly actuals followed by its forecast, with a Kind label."""
     m = reliable_checkpoint(monthly_series(t, as_of, keep_partial_month).filter(F.col("SeriesKey") == TOTAL_SERIES))

@@ -258,6 +258,11 @@ SELECT c.c_mktsegment AS k, CAST(date_trunc('month', OrderDate) AS DATE) AS peri
   WHERE c.c_mktsegment IS NOT NULL GROUP BY c.c_mktsegment, 2"""
 B17 = sql("SELECT k AS SeriesKey, Step, ForecastDate, Forecast, Phi, Theta, Fit FROM fc", "soht", "terr", "soh",
           extra={"fc": arima_111_forecast_sql(_SERIES)})
+_PRODUCT_SERIES = """SELECT 'Product ' || CAST(ProductID AS VARCHAR) AS k, CAST(date_trunc('month', OrderDate) AS DATE) AS period,
+  CAST(SUM(LineTotal) AS DOUBLE) AS v FROM sod JOIN soh ON soh.SalesOrderID = sod.SalesOrderID
+  WHERE ProductID IS NOT NULL GROUP BY ProductID, 2"""
+B17_PRODUCTS = sql("SELECT k AS SeriesKey, Step, ForecastDate, Forecast, Phi, Theta, Fit FROM fc", "sod", "soh",
+                   extra={"fc": arima_111_forecast_sql(_PRODUCT_SERIES)})
 _TOTAL = """SELECT 'ALL' AS k, CAST(date_trunc('month', OrderDate) AS DATE) AS period, CAST(SUM(TotalDue) AS DOUBLE) AS v
   FROM soh GROUP BY 2"""
 C17 = sql("""SELECT period AS "Date", v AS Sales, 'actual' AS Kind FROM tot

@@ -83,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "top10_profit": _t(charts.top10_profit),
     "territory_mean_ci": _t(charts.territory_mean_ci),
     "sales_forecast": _t(forecast.sales_forecast),
+    "product_forecast": _t(forecast.product_forecast),
     "actual_and_forecast": _t(forecast.actual_and_forecast),
     "src_table_query": _job(tablejobs.src_table_query),
     "csv_read": _job(tablejobs.csv_read),
@@ -136,6 +137,7 @@ ORACLE: dict[str, str] = {
     "top10_profit": oracle.C15,
     "territory_mean_ci": oracle.C16,
     "sales_forecast": oracle.B17,
+    "product_forecast": oracle.B17_PRODUCTS,
     "actual_and_forecast": oracle.C17,
     "src_table_query": oracle.B03,
     "csv_read": oracle.A04,

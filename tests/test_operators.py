@@ -160,3 +160,24 @@ def test_refined_fit_never_worse(spark):
     fine = arima_111_forecast(m, "k", "m", "v", steps=1).first()
     assert _css(ys, fine["Phi"], fine["Theta"]) <= _css(ys, coarse["Phi"], coarse["Theta"]) + 1e-9
     assert abs(fine["Phi"] - coarse["Phi"]) <= 0.1 + 1e-9
+
+
+def test_every_product_has_a_forecast(spark, tables01):
+    from salesengine.plans import forecast, sales
+
+    m = forecast.product_monthly_series(tables01)
+    assert m.select("SeriesKey").distinct().count() == tables01["lineitem"].select("l_partkey").distinct().count()
+    total = sum(r["TotalSales"] for r in m.collect())
+    want = sales.product_sales_window(tables01, as_of=dt.date(2100, 1, 1), years=200).collect()
+    assert abs(total - sum(r["TotalSales"] for r in want)) < 1e-6 * total
+
+
+def test_fit_tasks_follow_the_series(spark):
+    rows = [(f"s{k}", dt.date(2020, h, 1), float(h * k)) for k in range(1500) for h in (1, 2)]
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        out = arima_111_forecast(spark.createDataFrame(rows, "k string, m date, v double"), "k", "m", "v", steps=1)
+        assert "RoundRobinPartitioning(8)" in out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
