@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-SILENT = {"script", "style", "head", "title", "noscript", "template", "iframe", "object", "svg", "canvas", "select", "textarea", "button", "audio", "video", "math", "datalist"}
+#: What browsers don't show as text, and form controls; the trees judge all else.
+SILENT = {"script", "style", "head", "title", "template", "select", "textarea", "button", "datalist"}
 KINDS = (
     {"h1", "h2", "h3", "h4", "h5", "h6"}, {"p"}, {"li", "dt", "dd"}, {"ul", "ol", "dl", "menu"}, {"div"}, {"section"}, {"article", "main"}, {"nav"}, {"header", "hgroup"},
     {"footer", "address"}, {"aside", "dialog"}, {"form", "fieldset"}, {"table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"blockquote", "pre"}, {"figure", "figcaption"}, {"html", "body"}, {"hr", "details", "summary", "center"},
@@ -150,7 +151,7 @@ class Tree(HTMLParser):
             bits = 0
             for k, v in attrs:
                 if v and k in ("class", "id", "role", "itemprop", "aria-label"):
-                    bits |= _tokens(v[:300])
+                    bits |= _tokens(v)
             node = self._node(BLOCKS[tag], bits)
         else:
             node = self.open[-1][1]

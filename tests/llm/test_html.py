@@ -87,3 +87,16 @@ def test_notices_comments_forms_and_sidebars(model):
     <section id="comments"><h2>Comments</h2><div class="comment"><p>I liked this text very much, thanks a lot.</p></div></section><footer><p>&copy; Someone</p></footer></body>"""
     out = X.texts([page], model)[0].split("\n")
     assert out[0] == "Title here" and out[-1] == "Short." and len(out) == 7
+
+
+@pytest.mark.parametrize("tag", ["math", "svg", "canvas", "object", "audio", "video", "noscript"])
+def test_text_in_embedded_elements_is_judged(model, tag):
+    body = "".join(f"<p>{'Main sentence number %d goes on for a while, as they do. ' % k * 3}</p>" for k in range(5))
+    inner = f"<p>The result is <{tag}><g>formula text inside</g></{tag}> as was shown above, which nobody had expected then.</p>"
+    out = X.texts([f"<body><main><article><h1>Title here</h1>{body}{inner}</article></main></body>"], model)[0]
+    assert "formula text inside" in out
+
+
+def test_whole_attribute_values_are_read():
+    t = X.tree(f'<div class="{"u-flex " * 100}comments"><p>x</p></div>')
+    assert t.attrs[1] == X._tokens("comments") != 0
