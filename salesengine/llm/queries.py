@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesengine.llm import decontaminate, fingerprints, html_extract, packing, pii, quality, secret_scan, sharding, simhash, substring
+from salesengine.llm import decontaminate, fingerprints, html_extract, packing, pii, prefix_trie, quality, secret_scan, sharding, simhash, spelling, substring, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -99,6 +99,27 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learnt from the labelled rows that aren't held out."""
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
+    held_out = (toxicity.fold() == 0).alias("held_out")
+    return toxicity.score(docs, model, "doc_id").select("doc_id", held_out, "score", toxicity.predicted().alias("predicted"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent long word of the documents with its near words, form and root."""
+    runs = spelling.runs(_read(spark, sf_dir, "documents"))
+    out = spelling.grouped(spelling.counted(runs.select(spelling.misspelt().alias("word"))))
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations that share openings."""
+    turns, ids = prefix_trie.with_shared_openings(prefix_trie.numbered(_read(spark, sf_dir, "conversations")))
+    return prefix_trie.trie(turns, ids).drop("a", "b")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_fingerprints": op2_fingerprints,
@@ -110,6 +131,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_substring": op9_substring,
     "op10_secret_scan": op10_secret_scan,
+    "op11_toxicity": op11_toxicity,
+    "op12_spelling": op12_spelling,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _OP8 = r"""
@@ -134,4 +158,48 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
-ORACLE: dict[str, str] = {"op9_substring": _OP9, "op8_decontaminate": _OP8}
+#: The checksum's table by its rule (reflected polynomial), and the checksum of text whose code points are ASCII or U+00C0 to U+00FF.
+_CRC_TABLE = """(SELECT list(t ORDER BY i) AS crc FROM (SELECT i, list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS t FROM range(256) r(i)))"""
+
+
+def _crc32(text: str) -> str:
+    points = f"list_transform(string_split({text}, ''), lambda ch: CAST(unicode(ch) AS BIGINT))"
+    octets = f"flatten(list_transform({points}, lambda p: CASE WHEN p < 128 THEN [p] ELSE [195, p - 64] END))"
+    return f"xor(list_reduce({octets}, lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+_OP12 = f"""
+WITH RECURSIVE tab AS MATERIALIZED {_CRC_TABLE},
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+h AS (SELECT run, {_crc32("doc_id || ':' || run")} AS h FROM r, tab WHERE length(run) >= 6),
+c AS (SELECT CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM h),
+w AS (SELECT word, count(*) AS n FROM c WHERE length(word) >= 6 GROUP BY 1 HAVING count(*) >= 5),
+d AS (SELECT word, n, i, word[1:i - 1] AS a, word[i + 1:] AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+swap AS (SELECT x.word, y.word AS other, y.n AS other_n FROM d x JOIN d y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word),
+gap AS (SELECT DISTINCT x.word AS longer, x.n AS longer_n, y.word AS shorter, y.n AS shorter_n FROM d x JOIN w y ON x.a || x.b = y.word),
+near AS (SELECT * FROM swap UNION ALL SELECT longer, shorter, shorter_n FROM gap UNION ALL SELECT shorter, longer, longer_n FROM gap),
+g AS (SELECT word, count(*) AS n_near, min((-other_n, other)) AS best FROM near GROUP BY 1),
+f AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 5 * n THEN best[2] END AS form, CASE WHEN -best[1] >= 5 * n THEN -best[1] END AS form_n FROM w LEFT JOIN g USING (word)),
+walk AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN f ON walk.next = f.word)
+SELECT f.word, n, n_near, form, CAST(form_n AS BIGINT) AS form_n, root FROM f JOIN walk ON walk.word = f.word AND walk.next IS NULL
+"""
+
+_OP13 = f"""
+WITH tab AS MATERIALIZED {_CRC_TABLE},
+t AS (SELECT conv_id, coalesce(text, '') AS text, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS k, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({{'k': md5(k), 'n': length(text)}} ORDER BY turn NULLS FIRST, md5(k)) AS turns FROM t GROUP BY 1),
+h AS (SELECT conv_id, turns, {_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM o, tab),
+p AS (SELECT c.conv_id, coalesce(b.turns[1:c.h], []) || c.turns[c.h + 1:] AS turns FROM h c LEFT JOIN o b ON b.conv_id = c.conv_id - c.conv_id % 100),
+m AS (SELECT conv_id, d, len(turns) AS size, md5(array_to_string(list_transform(turns[1:d], lambda x: x.k), '')) AS node,
+             md5(array_to_string(list_transform(turns[1:greatest(d - 1, 0)], lambda x: x.k), '')) AS up, coalesce(turns[d].n, 0) AS chars FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM p)),
+n AS (SELECT d AS depth, node, up, min(conv_id) AS conv_id, count(*) AS n_convs, min(chars) AS chars, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = size) AS ends FROM m GROUP BY 1, 2, 3),
+k AS (SELECT up AS node, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+a AS (SELECT n.depth, n.node, n.conv_id, n.n_convs, n.chars, n.up, n.ends, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k USING (node, depth)),
+above AS (SELECT DISTINCT x.d AS depth, x.node, y.d AS top_depth, y.node AS top FROM m x JOIN m y ON x.conv_id = y.conv_id AND y.d <= x.d),
+s AS (SELECT top_depth AS depth, top AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * chars) AS saved FROM above JOIN a USING (depth, node) GROUP BY 1, 2)
+SELECT CAST(a.depth AS BIGINT) AS depth, a.conv_id, q.conv_id AS parent_conv_id, a.n_convs, a.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(a.ends, '')) AS ends_sha256
+FROM a JOIN s USING (depth, node) LEFT JOIN a q ON q.node = a.up AND q.depth = a.depth - 1 AND a.depth > 0
+"""
+
+ORACLE: dict[str, str] = {"op9_substring": _OP9, "op8_decontaminate": _OP8, "op12_spelling": _OP12, "op13_prefix_trie": _OP13}
