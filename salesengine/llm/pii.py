@@ -1,8 +1,8 @@
 """PII surrogates: every detected entity gets a keyed replacement of its own kind.
 
 Entities: e-mail addresses, IBANs, phone numbers, card numbers, social security
-numbers, IPv4 addresses, and names after one or more titles, with initials and
-particles.  The words of such a name are replaced wherever else the same text
+numbers, IP addresses, and names of any number of words after one or more
+titles, with initials and particles.  The words of such a name are replaced wherever else the same text
 has them capitalised, with or without a title.  A replacement
 
 * depends on the secret key and the entity alone, so one entity has one
@@ -11,7 +11,7 @@ has them capitalised, with or without a title.  A replacement
   "Smith" agree; an initial is mapped by itself, a particle ("von") stays;
 * keeps format: letters give letters of the same script and kind (vowel,
   consonant, accent), digits give digits, separators, case, country code, top
-  level domain, first card digit and Luhn validity stay, octets stay octets;
+  level domain, first card digit, Luhn and IBAN validity stay, octets stay octets;
 * keeps gender: titles stay, and so does the last letter of a name;
 * is checked for collisions: against all entities of the corpus (no surrogate
   is somebody's real number) and against all other surrogates (distinct
@@ -53,6 +53,7 @@ NAME_WORD = r"\p{L}(?:[\p{L}\p{M}]|['’](?=\p{L}))*+"
 BARE = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])\p{{Lu}}{_IN_WORD}++"
 _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"  # a sentence may run on into the address
 _LOCAL = rf"[\p{{L}}\p{{M}}\p{{N}}._%+\-&&[^{_UNSPACED}]]"
+_HEX = "[0-9A-Fa-f]{1,4}"
 #: Kinds in order of precedence.
 PATTERNS = {
     "email": rf"(?:(?<!{_LOCAL}){_LOCAL}++|(?<![{_UNSPACED}])[{_UNSPACED}]++[{_UNSPACED}0-9._-]*+)@(?:[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{M}}\p{{N}}-]*[\p{{L}}\p{{M}}\p{{N}}])?\.)+(?:xn--[A-Za-z0-9-]++|[\p{{L}}\p{{M}}&&[^{_UNSPACED}]]{{2,}}+|[{_UNSPACED}]{{2,4}}+)(?![A-Za-z0-9])",
@@ -61,9 +62,10 @@ PATTERNS = {
              r"|(?<![.-])(?:1[ .-])?\d{3}(?<sep>[ .-])\d{3}\k<sep>\d{4}"
              r"|(?<![.-])0\d{1,4}(?:(?<part>[ .-])(?=\d(?:\k<part>?\d){6,9}(?!\d|\k<part>\d))\d{2,4}(?:\k<part>\d{2,4}){1,4}|[ /-]\d{6,8}|[ /-]\d{3}(?: \d{2,3}){2,3}))(?![\p{L}\p{N}]|-\d)",
     "card": r"(?<![\p{L}\p{N}.-])(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\p{L}\p{N}]|[.-]\d)",
-    "ssn": r"(?<![\p{L}\p{N}.-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-)",
+    "ssn": r"(?<![\p{L}\p{N}.-])\d{3}(?<blank>[ -])\d{2}\k<blank>\d{4}(?![\p{L}\p{N}]|-|[ .]\d)",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
-    "name": rf"(?=[{_FIRST}])(?<![\p{{L}}\p{{N}}]){STACK}(?:{_CHUNK}(?:[ \u00a0]{_CHUNK}){{0,2}}(?:[ \u00a0]{_INITIALS})?|{_INITIALS})",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f:]*\d)(?:{_HEX}(?::{_HEX}){{7}}|(?:{_HEX}(?::{_HEX}){{0,5}})?::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![\p{{L}}\p{{N}}]|:|\.\d)",
+    "name": rf"(?=[{_FIRST}])(?<![\p{{L}}\p{{N}}]){STACK}(?:{_CHUNK}(?:[ \u00a0]{_CHUNK})*(?:[ \u00a0]{_INITIALS})?|{_INITIALS})",
 }
 #: All kinds as one pattern.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -132,6 +134,31 @@ def _card(unit: Column, digest: Column) -> Column:
     return F.concat(new, F.pmod(_luhn(new) + off, F.lit(10)).cast("string"))
 
 
+def _iban_check(iban: Column) -> Column:
+    """The check digits (2 to 98) that belong to an IBAN's country and account."""
+    told = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 2), F.lit("00"))
+
+    def step(acc, c):
+        digit = c.rlike("[0-9]")
+        value = F.when(digit, c.try_cast("int")).otherwise(F.ascii(c) - 55)
+        return F.pmod(acc * F.when(digit, 10).otherwise(100) + value, F.lit(97))
+    return 98 - F.aggregate(_chars(told), F.lit(0), step)
+
+
+def _iban(unit: Column, digest: Column, extra: Column) -> Column:
+    """A valid IBAN gives a valid one, one that is off stays off by as much."""
+    new = F.concat(F.upper(_shift(F.lower(unit), digest, lambda i, n: i < 2)), extra)
+    off = F.pmod(F.substring(unit, 3, 2).cast("int") - _iban_check(unit), F.lit(97))
+    check = F.when(off == 0, _iban_check(new)).otherwise(F.pmod(_iban_check(new) + off, F.lit(97)))
+    return F.concat(F.substring(new, 1, 2), F.lpad(check.cast("string"), 2, "0"), F.substring(new, F.lit(5), F.length(new)))
+
+
+def _ipv6(unit: Column, digest: Column, extra: Column) -> Column:
+    def hexed(c, i):
+        return F.when(c == ":", c).otherwise(F.substring(F.lit("0123456789abcdef"), F.pmod(_draw(digest, i), F.lit(16)) + 1, F.lit(1)))
+    return F.concat(F.array_join(F.transform(_chars(unit), hexed), ""), extra)
+
+
 def _ip(unit: Column, digest: Column) -> Column:
     def octet(o, i):
         x = _draw(digest, i, 4)
@@ -159,10 +186,11 @@ def surrogate(kind: Column, unit: Column, attempt: Column, key: str) -> Column:
              .otherwise(F.greatest(F.length(unit) - 10, unit.startswith("0").cast("int"))))
     phone = _no_leading_zero(_shift(unit, digest, lambda i, n: i < stays), unit, digest, stays)
     return (F.when(kind == "email", _email(unit, digest, digits))
-            .when(kind == "iban", F.concat(F.upper(_shift(F.lower(unit), digest, lambda i, n: i < 2)), digits))
+            .when(kind == "iban", _iban(unit, digest, digits))
             .when(kind == "phone", F.concat(phone, digits))
             .when(kind == "card", F.concat(_card(unit, digest), digits))
             .when(kind == "ssn", F.concat(_no_leading_zero(_shift(unit, digest), unit, digest, F.lit(0)), digits))
+            .when(kind == "ipv6", _ipv6(unit, digest, digits))
             .when(kind == "ip", F.concat(_ip(unit, digest), F.when(more > 0, F.concat(F.lit("."), digits)).otherwise("")))
             .otherwise(F.concat(_shift(unit, digest, lambda i, n: (n > 2) & (i == n - 1)), letters)))
 
@@ -190,7 +218,7 @@ def units(kind: Column, match: Column) -> Column:
     digits = F.regexp_replace(match, r"\D", "")
     phone = F.concat(F.when(match.startswith("+"), "+").otherwise(""), F.regexp_replace(match, r"\(0\)|\D", ""))  # (0) is only dialled at home
     words = F.filter(F.regexp_extract_all(_name_body(match), F.lit(NAME_WORD), F.lit(0)), lambda w: ~_stays(w))
-    return (F.when(kind == "email", F.array(F.lower(match))).when(kind == "phone", F.array(phone)).when(kind.isin("card", "ssn"), F.array(digits))
+    return (F.when(kind.isin("email", "ipv6"), F.array(F.lower(match))).when(kind == "phone", F.array(phone)).when(kind.isin("card", "ssn"), F.array(digits))
             .when(kind == "iban", F.array(F.regexp_replace(match, " ", ""))).when(kind == "ip", F.array(match))
             .otherwise(F.transform(words, F.lower)))
 
@@ -274,7 +302,7 @@ def _render(entity: Column, mapping: Column, key: str) -> Column:
     name = _between(_name_body(match), NAME_WORD, lambda w: F.when(F.length(w) == 1, _initial(w, key)).when(~_stays(w), _named(w, mapping)))
     title = F.regexp_extract(match, f"^{STACK}", 0)
     phone = F.replace(_poured(F.replace(match, F.lit("(0)"), F.lit("\x1e")), F.replace(new, F.lit("+"), F.lit("")), "[0-9]"), F.lit("\x1e"), F.lit("(0)"))
-    return (F.when(kind == "email", F.when(match == F.upper(match), F.upper(new)).otherwise(new)).when(kind == "ip", new)
+    return (F.when(kind.isin("email", "ipv6"), F.when(match == F.upper(match), F.upper(new)).otherwise(new)).when(kind == "ip", new)
             .when(kind == "iban", _poured(match, new, "[A-Z0-9]")).when(kind == "name", F.concat(title, name))
             .when(kind == "phone", phone).otherwise(_poured(match, new, "[0-9]")))
 

@@ -121,6 +121,34 @@ def test_wide_forms(spark):
             assert new[4:7] == f[:3]
 
 
+def remainder(iban):
+    """Of the check that banks make: 1 for a valid number."""
+    told = re.sub(" ", "", iban)
+    return int("".join(str(int(c, 36)) for c in told[4:] + told[:4])) % 97
+
+
+def test_ibans_stay_valid(spark):
+    valid = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"]
+    assert all(remainder(x) == 1 for x in valid)
+    wrong = ["DE12 3704 0044 0532 0130 00"]
+    got = replaced(spark, valid + wrong)
+    for old, (new, n) in ((x, got[i]) for i, x in enumerate(valid + wrong)):
+        assert n == 1 and new != old and new[:2] == old[:2] and shape(new) == shape(old)
+        assert (remainder(new) == 1) == (remainder(old) == 1)
+
+
+def test_numbers_with_blanks_and_addresses_of_either_kind(spark):
+    six = ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "2001:db8::ff00:42:8329", "FE80::1", "::1"]
+    out = replaced(spark, ["SSN 123 45 6789 ok", *(f"at {x}, then" for x in six), "from 2001:DB8::1 to 2001:db8::1", "12:30:45 std::a1b2 a::b x::1"])
+    assert out[0][1] == 1 and re.fullmatch(r"SSN \d{3} \d{2} \d{4} ok", out[0][0]) and "6789" not in out[0][0]
+    for k, old in enumerate(six, 1):
+        new = out[k][0].removeprefix("at ").removesuffix(", then")
+        assert out[k][1] == 1 and new != old and re.sub("[0-9A-Fa-f]", "x", new) == re.sub("[0-9A-Fa-f]", "x", old)
+    a, b = re.match(r"from (\S+) to (\S+)", out[5][0]).groups()
+    assert a.lower() == b.lower()
+    assert out[6] == ("12:30:45 std::a1b2 a::b x::1", 0)
+
+
 def test_numbers_that_are_no_entity(spark):
     texts = ["on 01.02.2021 12:30", "on 2021-05-04 01:02", "pi is 3.14159 26535", "zip 01234-5678", "0.123456789 of 1 000 000", "给我写信ann@example.com吧"]
     out = replaced(spark, texts)
@@ -144,6 +172,8 @@ NAMES = (
     ("Frau Ursula von der Leyen sat, Leyen", "Ursula Leyen", "Frau von der sat,"),
     ("Herr Hans-Peter Müller sat, Peter and MÜLLER", "Hans Peter Müller MÜLLER", "Herr sat, and"),
     ("Herr K. sat", "K.", "Herr sat"),
+    ("Mr Juan Carlos Garcia Lopez Fernandez sat", "Juan Carlos Garcia Lopez Fernandez", "Mr sat"),
+    ("Sra Maria Jose de la Cruz Santos Oliveira sat", "Maria Jose Cruz Santos Oliveira", "Sra de la sat"),
 )
 
 
