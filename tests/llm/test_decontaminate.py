@@ -6,19 +6,26 @@ from salesengine.llm import decontaminate, queries
 from tests.llm.helpers import SF001, docs, prose, read, rows
 
 
-def shingles(text):
-    w = [x for x in re.split(r"[^\w]+|_+", (text or "").lower()) if x]
-    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+def words(text):
+    return [x for x in re.split(r"[^\w]+|_+", (text or "").lower()) if x]
+
+
+def windows(w, width):
+    return {tuple(w[i:i + width]) for i in range(len(w) - width + 1)}
 
 
 def brute(documents, items, threshold=0.8):
     out = set()
-    held = [(j, shingles(t)) for j, t in items]
+    held = []
+    for j, t in items:
+        w = words(t)
+        width = min(len(w), 5)
+        held.append((j, width, windows(w, width) if w else set()))
     for i, t in documents:
-        mine = shingles(t)
-        for j, s in held:
-            if s and len(s & mine) >= threshold * len(s) - 1e-9:
-                out.add((i, j, len(s & mine), len(s)))
+        mine = {width: windows(words(t), width) for width in {width for _, width, s in held if s}}
+        for j, width, s in held:
+            if s and len(s & mine[width]) >= threshold * len(s) - 1e-9:
+                out.add((i, j, len(s & mine[width]), len(s)))
     return out
 
 
@@ -48,6 +55,19 @@ def test_partial_containment_in_long_documents(spark, monkeypatch, block):
     assert found(spark, documents, items) == brute(documents, items)
 
 
+@pytest.mark.parametrize("block", [400_000, 3])
+def test_items_of_few_words(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "SKETCH_BLOCK", block)
+    items = [(1, "Seven times nine equals"), (2, "w1 w2"), (3, "sixty-three"), (4, "zebra"), (5, "zebra zebra zebra"), (6, prose(4, 30)), (7, "seven times")]
+    documents = [(1, prose(1, 50) + " seven, TIMES nine equals " + prose(2, 50)), (2, "w1 w2"), (3, "w2 w1"), (4, "zebra"), (5, "a zebra zebra, zebra z"),
+                 (6, prose(3, 400)), (7, prose(4, 30)), (8, None), (9, "sixty three"), (10, "sixty")]
+    got = found(spark, documents, items)
+    assert got == brute(documents, items)
+    assert {(1, 1), (1, 7), (5, 5), (9, 3), (4, 4), (7, 6)} <= {g[:2] for g in got}
+    only = [i for i in items if i[0] < 6]
+    assert found(spark, documents, only) == brute(documents, only)
+
+
 def test_search_loses_nothing_at_other_thresholds(spark):
     items = [(j, prose(j, 40, 60)) for j in range(20)]
     documents = [(j, prose(j % 20, 40, 60)[k:] + " " + prose(99 + j, 30, 60)) for j in range(60) for k in (0, 33)][:100]
