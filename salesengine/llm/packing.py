@@ -12,8 +12,9 @@ releases its emptiest sequence as well, since the bounds of several groups
 round up more often than one.  It ends when one group is left or when a round
 saves no sequence (the pieces then stay where they were).
 
-Only slim rows (ids, lengths, checksums) are shuffled, and no group has more
-than ``group_rows`` pieces whatever the data.
+Only slim rows (ids, lengths, checksums) are shuffled.  Pieces are dealt by a
+hash of a number that each row has got, so a group has about ``group_rows``
+pieces whatever the data, equal rows included.
 
 Defined cases: a null text is empty; a document without tokens is the end
 token alone; rows of equal id and text are packed each by itself; documents of
@@ -46,7 +47,6 @@ from salesengine.session import reliable_checkpoint
 CAPACITY = 2048
 END_ID = 0
 GROUP_ROWS = 40_000
-MAX_ROUNDS = 6
 
 PIECES = "doc_id {id}, copy long, piece int, start long, length long, ids_crc32 long"
 
@@ -237,20 +237,18 @@ def _pack(capacity: int):
 def pack(sized: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``sized`` (doc_id, copy, piece, start, length, ids_crc32) with sequence_id and offset: gapless from 0 in each sequence."""
     names = sized.columns
-    sized = reliable_checkpoint(sized)
+    sized = reliable_checkpoint(sized.withColumn("_row", F.monotonically_increasing_id()))
     # a piece of full length is a sequence by itself; numbers below zero are theirs
     whole = sized.where(F.col("length") == capacity)
     done = [whole.select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     rest = sized.where(F.col("length") < capacity)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.schema) + ", sequence_id long, offset long, kept boolean"
-    first_group, before = 0, None
-    for round_ in range(MAX_ROUNDS):
-        groups = math.ceil(rest.count() / group_rows)
-        if not groups:
-            break
-        # dealt by a hash of the piece, not by document or length, so that no group is hot and every group has all lengths
-        deal = F.pmod(F.xxhash64("doc_id", "copy", "piece", F.lit(round_)), F.lit(groups)) + first_group
-        packed = reliable_checkpoint(rest.select(*names, deal.alias("grp")).groupBy("grp").applyInPandas(_pack(capacity), schema))
+    first_group, before, round_ = 0, None, 0
+    while groups := math.ceil(rest.count() / group_rows):
+        # dealt by a hash of the row's number, not by document or length, so that no group is hot and every group has all lengths
+        deal = F.pmod(F.xxhash64("doc_id", "copy", "piece", "_row", F.lit(round_)), F.lit(groups)) + first_group
+        round_ += 1
+        packed = reliable_checkpoint(rest.select(*names, "_row", deal.alias("grp")).groupBy("grp").applyInPandas(_pack(capacity), schema))
         if before is not None and packed.agg(F.count_distinct("sequence_id")).first()[0] >= before:
             break  # the exchange saves nothing: the released pieces stay where they were
         done.append(packed.where("kept").select(*names, "sequence_id", "offset"))

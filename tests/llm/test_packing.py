@@ -101,6 +101,22 @@ def test_exchange_between_groups(spark):
     assert len(used) <= len(room) + 4
 
 
+def test_equal_rows_are_spread_over_groups(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    kept = packing.best_fit_decreasing
+
+    def counted(lengths, capacity):
+        if len(lengths) > 700:
+            seen.add(1)
+        return kept(lengths, capacity)
+
+    monkeypatch.setattr(packing, "best_fit_decreasing", counted)
+    sized = spark.createDataFrame([(7, 0, 0, 0, 3, 1)] * 4000, packing.PIECES.format(id="long"))
+    out = packing.pack(sized, 20, group_rows=400).collect()
+    assert len(out) == 4000 and seen.value == 0
+    assert len({x["sequence_id"] for x in out}) <= 4000 // 6 + 1 + 10
+
+
 def test_edges(spark):
     texts = [(1, None), (2, ""), (3, "word " * 5000), (3, "word " * 5000), (3, "other"), (4, "x" * 3000), (None, "a b")]
     out = packing.pack(packing.pieces(docs(spark, texts, extra="piece"), PATH))
