@@ -85,9 +85,9 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _before(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The word before each word of its text, ``_START`` before the first."""
+    """40 bits of the word before each word of its text, ``_START`` before the first; there are fewer words than that tells apart."""
     out = np.empty_like(words)
-    out[1:] = words[:-1]
+    out[1:] = words[:-1] >> np.uint64(24)
     firsts = np.cumsum(counts) - counts
     out[firsts[counts > 0]] = _START
     return out
