@@ -4,6 +4,11 @@ Each stage works on all that the one before it kept: documents that the quality
 classifier rejects go; one document of each near-duplicate group stays;
 documents that contain a benchmark item go; personal data gets surrogates; the
 rest is packed into sequences.
+
+Defined cases: a null or empty text is scored as no bytes, and one of them at most
+is left by the second stage; of repeated rows one stays; an empty table gives an
+empty table; other columns stay up to the last stage, whatever their names; rows
+without an id are kept or dropped by their texts like any other.
 """
 
 from __future__ import annotations

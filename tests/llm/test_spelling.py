@@ -1,0 +1,111 @@
+import itertools
+import random
+import zlib
+from collections import Counter
+
+import pytest
+
+from salesengine.llm import queries, spelling
+from tests.llm.helpers import SF001, docs, read, rows
+
+
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def brute(counts: dict[str, int], edits: int = 1, ratio: int = 5) -> list[tuple]:
+    near: dict[str, list[str]] = {w: [] for w in counts}
+    for a, b in itertools.combinations(counts, 2):
+        if abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
+            near[a].append(b)
+            near[b].append(a)
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-counts[x], x), default=None)
+        if best is not None and counts[best] >= ratio * counts[w]:
+            form[w] = best
+
+    def root(w):
+        return root(form[w]) if w in form else w
+
+    return sorted((w, n, len(near[w]), form.get(w), counts.get(form.get(w)), root(w)) for w, n in counts.items())
+
+
+def result(df) -> list[tuple]:
+    return sorted(tuple(r[c] for c in ("word", "n", "n_near", "form", "form_n", "root")) for r in df.collect())
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_near_words_equal_brute_force(spark, edits):
+    r = random.Random(edits)
+    counts: dict[str, int] = {}
+    while len(counts) < 500:  # few letters: many repeated grams and near words
+        w = "".join(r.choice("abé") for _ in range(r.randrange(6, 9)))
+        counts.setdefault(w, r.choice([5, 5, 6, 30, 150, 1000]))
+    got = result(spelling.grouped(spark.createDataFrame(list(counts.items()), "word string, n long"), edits))
+    assert got == brute(counts, edits)
+
+
+def test_pivots_are_the_lightest_disjoint_grams():
+    r = random.Random(5)
+    for _ in range(300):
+        places = sorted(r.sample(range(1, 14), r.randrange(5, 9)))
+        grams = [(p, r.randrange(1, 9)) for p in places]
+        for wanted in (1, 2, 3):
+            sets = [c for c in itertools.combinations(grams, wanted) if all(y[0] - x[0] >= 2 for x, y in itertools.pairwise(c))]
+            if sets:
+                chosen = spelling.pivots(grams, wanted)
+                assert all(y - x >= 2 for x, y in itertools.pairwise(chosen))
+                assert sum(dict(grams)[p] for p in chosen) == min(sum(w for _, w in c) for c in sets)
+
+
+def test_chains_end_at_the_last_form(spark):
+    counts = {"lettera": 5, "letterb": 25, "letterbc": 125, "letterbcd": 625, "xetterbcd": 3125, "unlike": 9}
+    got = {r[0]: r[5] for r in result(spelling.grouped(spark.createDataFrame(list(counts.items()), "word string, n long")))}
+    assert got == dict.fromkeys(counts, "xetterbcd") | {"unlike": "unlike"}
+
+
+def test_ties_take_the_first_form(spark):
+    counts = {"strobe": 5, "strode": 50, "stroke": 50, "strove": 50}
+    got = {r[0]: r[3] for r in result(spelling.grouped(spark.createDataFrame(list(counts.items()), "word string, n long")))}
+    assert got["strobe"] == "strode" and got["strode"] is None
+
+
+def runs_of(text: str) -> list[str]:
+    out, run = [], ""
+    for ch in text + " ":
+        if ("a" <= ch <= "z") or ("A" <= ch <= "Z") or "À" <= ch <= "ÿ":
+            run += ch.lower() if ch < "\x80" else ch
+        else:
+            out += [run] if run else []
+            run = ""
+    return out
+
+
+def test_registered_words(spark):
+    want: Counter = Counter()
+    for i, text in read("documents", SF001)[["doc_id", "text"]].itertuples(index=False):
+        for run in runs_of(text or ""):
+            h = zlib.crc32(f"{i}:{run}".encode())
+            want[run[:h % len(run)] + run[h % len(run) + 1:] if h % 199 == 0 else run] += 1
+    counts = {w: n for w, n in want.items() if len(w) >= 6 and n >= 5}
+    assert result(queries.op12_spelling(spark, SF001)) == brute(counts)
+
+
+def test_edges(spark):
+    text = "WORDING Ärzte×÷ÿ wording " + "wordinh " * 30
+    df = docs(spark, [(1, text), (1, text), (None, "wordinh"), (2, None), (3, ""), (4, "short a1b2c3"), (5, "wordinh " * 40_000)], extra="word")
+    counts = {r["word"]: r["n"] for r in spelling.counted(spelling.runs(df)
+              .selectExpr("run AS word"), min_count=1).collect()}
+    assert counts == {"wording": 4, "Ärzte×÷ÿ": 2, "wordinh": 40_061}
+    nulls = spelling.runs(docs(spark, [(None, "abcdefg")])).select("doc_id", spelling.misspelt(1).alias("word")).collect()
+    h = zlib.crc32(b":abcdefg")
+    assert [tuple(r) for r in nulls] == [("", "abcdefg"[:h % 7] + "abcdefg"[h % 7 + 1:])]
+    none = spark.createDataFrame([], "word string, n long")
+    assert rows(spelling.grouped(none)) == []
+    assert rows(spelling.counted(spelling.runs(docs(spark, [])).selectExpr("run AS word"))) == []
