@@ -89,11 +89,13 @@ def money_units(x) -> Column:
     return F.round(_c(x) * F.lit(float(UNITS))).cast("long")
 
 
-def discounted_units(gross_units, discount) -> Column:
-    """gross * (1 - discount) in long units; raises where that is finer than a ten-thousandth, rather than cut it."""
-    fine = _c(gross_units) * (F.lit(UNITS) - money_units(discount))
-    return F.when(fine % UNITS == 0, int_div(fine, F.lit(UNITS))).when(
-        fine.isNotNull(), F.raise_error(F.lit("line total with more than four decimals")).cast("long"))
+#: A line total, price times one minus discount, has eight decimals: it's carried in units of its own.
+FINE_UNITS = UNITS * UNITS
+
+
+def discounted_fine(gross_units, discount) -> Column:
+    """gross * (1 - discount) as exact long units of 10^-8, for amounts up to 9 * 10^10."""
+    return _c(gross_units) * (F.lit(UNITS) - money_units(discount))
 
 
 def units_sum(u) -> Column:
@@ -114,6 +116,11 @@ def units_to_double(u) -> Column:
     return units_to_money(u).cast("double")
 
 
+def fine_to_double(u) -> Column:
+    """Exact units of 10^-8 (sums up to 10^28 of them) -> DOUBLE, correctly rounded."""
+    return (_c(u).cast("decimal(28,0)") / F.lit(FINE_UNITS)).cast("decimal(38,8)").cast("double")
+
+
 def money_avg_units(total_units, n) -> Column:
     """Money average (4 decimals, half away from zero) from an exact units sum and a count."""
     s, n = _c(total_units), _c(n)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from salesengine.functions.money import units_to_double
 from salesengine.operators.bootstrap import bootstrap_ci
+from salesengine.operators.distinct import rows_and_distinct
 from salesengine.operators.histogram import histogram
 from salesengine.operators.topk import bottom_k, top_k
 from salesengine.plans import customers, sales
@@ -77,9 +78,7 @@ def state_avg_orders(t) -> DataFrame:
 def state_row_count(t) -> DataFrame:
     """Segment rows per state (what the chart counts) and distinct customers (what its title says)."""
     seg = customers.customer_segments_exact(t)
-    return seg.groupBy("StateProvinceID").agg(
-        F.count(F.lit(1)).alias("SegmentRows"), F.count_distinct("CustomerID").alias("DistinctCustomers"),
-    ).orderBy("StateProvinceID")
+    return rows_and_distinct(seg, ["StateProvinceID"], "CustomerID", "SegmentRows", "DistinctCustomers").orderBy("StateProvinceID")
 
 
 def _city_counts(t) -> DataFrame:

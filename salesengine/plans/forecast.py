@@ -15,7 +15,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesengine.functions.money import units_sum, units_to_double
+from salesengine.functions.money import fine_to_double, units_sum, units_to_double
 from salesengine.operators.forecast import arima_111_forecast
 from salesengine.sources import adapters as A
 from salesengine.session import reliable_checkpoint
@@ -55,15 +55,15 @@ def monthly_series(t, as_of: dt.date | None = None, keep_partial_month: bool = T
         "SeriesKey", "Month", units_to_double("s").alias("TotalSales"))
 
 
-def sales_forecast(t, as_of: dt.date | None = None, steps: int = 12, keep_partial_month: bool = True) -> DataFrame:
-    """SeriesKey, Step, ForecastDate, Forecast, Phi, Theta, Fit for every series.
+def sales_forecast(t, as_of: dt.date | None = None, steps: int = 12, keep_partial_month: bool = True, method: str = "css") -> DataFrame:
+    """SeriesKey, Step, ForecastDate, Forecast, Phi, Theta, Fit for every series."""
+    m = monthly_series(t, as_of, keep_partial_month)
+    return arima_111_forecast(m, "SeriesKey", "Month", "TotalSales", steps=steps, method=method).orderBy("SeriesKey", "Step")
 
-    The monthly rollup (series x months rows) is checkpointed once: the fit
-    reads it several times (calendar bounds, calendar join, the two kinds of
-    series) and the fact scan behind it must not run again for each.
-    """
-    m = reliable_checkpoint(monthly_series(t, as_of, keep_partial_month))
-    return arima_111_forecast(m, "SeriesKey", "Month", "TotalSales", steps=steps).orderBy("SeriesKey", "Step")
+
+def sales_forecast_exact(t, as_of: dt.date | None = None, steps: int = 12, keep_partial_month: bool = True) -> DataFrame:
+    """B17 fitted by the exact likelihood, as the reference's library fits it."""
+    return sales_forecast(t, as_of, steps, keep_partial_month, "exact")
 
 
 def product_monthly_series(t, as_of: dt.date | None = None, keep_partial_month: bool = True) -> DataFrame:
@@ -75,15 +75,15 @@ def product_monthly_series(t, as_of: dt.date | None = None, keep_partial_month:
     if not keep_partial_month:
         orders = orders.filter(F.col("OrderDate") < F.lit(_month_start(as_of or A.data_as_of(t))))
     month = F.trunc("OrderDate", "month").alias("Month")
-    lines = A.sod(t).select("SalesOrderID", "ProductID", "LineTotalU").filter(F.col("ProductID").isNotNull())
-    per = lines.join(orders.select("SalesOrderID", "OrderDate"), "SalesOrderID").groupBy("ProductID", month).agg(units_sum("LineTotalU").alias("s"))
-    return per.select(F.concat(F.lit("Product "), F.col("ProductID").cast("string")).alias("SeriesKey"), "Month", units_to_double("s").alias("TotalSales"))
+    lines = A.sod(t).select("SalesOrderID", "ProductID", "LineTotalFine").filter(F.col("ProductID").isNotNull())
+    per = lines.join(orders.select("SalesOrderID", "OrderDate"), "SalesOrderID").groupBy("ProductID", month).agg(units_sum("LineTotalFine").alias("s"))
+    return per.select(F.concat(F.lit("Product "), F.col("ProductID").cast("string")).alias("SeriesKey"), "Month", fine_to_double("s").alias("TotalSales"))
 
 
-def product_forecast(t, as_of: dt.date | None = None, steps: int = 12, keep_partial_month: bool = True) -> DataFrame:
+def product_forecast(t, as_of: dt.date | None = None, steps: int = 12, keep_partial_month: bool = True, method: str = "css") -> DataFrame:
     """B17 for products: the columns of ``sales_forecast`` for every product's series."""
-    m = reliable_checkpoint(product_monthly_series(t, as_of, keep_partial_month))
-    return arima_111_forecast(m, "SeriesKey", "Month", "TotalSales", steps=steps).orderBy("SeriesKey", "Step")
+    m = product_monthly_series(t, as_of, keep_partial_month)
+    return arima_111_forecast(m, "SeriesKey", "Month", "TotalSales", steps=steps, method=method).orderBy("SeriesKey", "Step")
 
 
 def actual_and_forecast(t, as_of: dt.date | None = None, steps: int = 12, keep_partial_month: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ CTEs; ``sql(body, *views)`` prepends the ones a query needs.
 from __future__ import annotations
 
 from salesengine.operators.bootstrap import bootstrap_ci_sql
-from salesengine.operators.forecast import arima_111_forecast_sql
+from salesengine.operators.forecast import arima_111_exact_sql, arima_111_forecast_sql
 from salesengine.operators.histogram import histogram_sql
 
 # adapter tables as SQL (FIXTURES.md §2); same mapping as sources/adapters.py
@@ -258,6 +258,8 @@ SELECT c.c_mktsegment AS k, CAST(date_trunc('month', OrderDate) AS DATE) AS peri
   WHERE c.c_mktsegment IS NOT NULL GROUP BY c.c_mktsegment, 2"""
 B17 = sql("SELECT k AS SeriesKey, Step, ForecastDate, Forecast, Phi, Theta, Fit FROM fc", "soht", "terr", "soh",
           extra={"fc": arima_111_forecast_sql(_SERIES)})
+B17_EXACT = sql("SELECT k AS SeriesKey, Step, ForecastDate, Forecast, Phi, Theta, Fit FROM fc", "soht", "soh", "terr",
+                extra={"fc": arima_111_exact_sql(_SERIES)})
 _PRODUCT_SERIES = """SELECT 'Product ' || CAST(ProductID AS VARCHAR) AS k, CAST(date_trunc('month', OrderDate) AS DATE) AS period,
   CAST(SUM(LineTotal) AS DOUBLE) AS v FROM sod JOIN soh ON soh.SalesOrderID = sod.SalesOrderID
   WHERE ProductID IS NOT NULL GROUP BY ProductID, 2"""
@@ -291,6 +293,8 @@ CASE WHEN FeedbackID = 3 THEN 'Great customer support' ELSE Comments END AS Comm
 _DEL = "SELECT * FROM {src} WHERE NOT coalesce(CustomerID = 105, false) AND NOT coalesce(FeedbackID = 2, false)"
 
 A04 = "SELECT doc_id, text, lang, source, n_chars FROM documents"
+A04_INFERRED = sql("""SELECT SalesOrderID, CustomerID, CAST(OrderDate AS VARCHAR) AS OrderDate, CAST(SalesPersonID AS DOUBLE) AS SalesPersonID,
+  SalesPersonID % 2 = 0 AS EvenSeller, CustomerID % 2 = 0 AS EvenCustomer FROM soh""", "soh")
 A08 = _FB
 A09 = f"{_FB} UNION ALL {_values(_V1, _N + ' + 1')}"
 A10 = _FB

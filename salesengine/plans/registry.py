@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from salesengine.plans import charts, customers, forecast, oracle, people, sales, supply, tablejobs
 from salesengine.sources import adapters as A
+from salesengine.sources.bucketed import BucketedTables, write_bucketed
 from salesengine.sources.warehouse import load_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,12 +43,21 @@ def _job(fn):
     return _query(fn, fn)
 
 
+def _bucketed(fn):
+    """The query over orders and lines that a load job has stored by order key first."""
+    def on_tables(spark, t):
+        b = BucketedTables(spark, t.root, write_bucketed(t))
+        return fn(b, A.data_as_of(b), WINDOW_YEARS)
+    return _query(on_tables, fn)
+
+
 def _inventory_recent(t):
     return supply.inventory_anomalies(t, sales_since=A.years_before(A.data_as_of(t), WINDOW_YEARS))
 
 
 QUERIES: dict[str, Query] = {
     "product_sales_window": _windowed(sales.product_sales_window),
+    "product_sales_window_bucketed": _bucketed(sales.product_sales_window),
     "sales_by_year": _t(sales.sales_by_year),
     "sales_by_month": _t(sales.sales_by_month),
     "product_ranking": _t(sales.product_ranking),
@@ -83,10 +93,12 @@ QUERIES: dict[str, Query] = {
     "top10_profit": _t(charts.top10_profit),
     "territory_mean_ci": _t(charts.territory_mean_ci),
     "sales_forecast": _t(forecast.sales_forecast),
+    "sales_forecast_exact": _t(forecast.sales_forecast_exact),
     "product_forecast": _t(forecast.product_forecast),
     "actual_and_forecast": _t(forecast.actual_and_forecast),
     "src_table_query": _job(tablejobs.src_table_query),
     "csv_read": _job(tablejobs.csv_read),
+    "csv_read_inferred": _job(tablejobs.csv_read_inferred),
     "csv_export": _job(tablejobs.csv_export),
     "identity_assign": _job(tablejobs.identity_assign),
     "table_append": _job(tablejobs.table_append),
@@ -102,6 +114,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLE: dict[str, str] = {
     "product_sales_window": oracle.B01,
+    "product_sales_window_bucketed": oracle.B01,
     "sales_by_year": oracle.B02,
     "sales_by_month": oracle.B03,
     "product_ranking": oracle.B04,
@@ -137,10 +150,12 @@ ORACLE: dict[str, str] = {
     "top10_profit": oracle.C15,
     "territory_mean_ci": oracle.C16,
     "sales_forecast": oracle.B17,
+    "sales_forecast_exact": oracle.B17_EXACT,
     "product_forecast": oracle.B17_PRODUCTS,
     "actual_and_forecast": oracle.C17,
     "src_table_query": oracle.B03,
     "csv_read": oracle.A04,
+    "csv_read_inferred": oracle.A04_INFERRED,
     "csv_export": oracle.B01,
     "identity_assign": oracle.A08,
     "table_append": oracle.A09,

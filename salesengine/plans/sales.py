@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesengine.functions.money import money_avg_units, units_sum, units_to_double
+from salesengine.functions.money import UNITS, fine_to_double, money_avg_units, units_sum, units_to_double
 from salesengine.sources import adapters as A
 from salesengine.sources.warehouse import shared
 
@@ -28,9 +28,9 @@ def product_sales_window_exact(t, as_of: dt.date | None = None, years: int = 10)
     since = window_start(t, as_of, years)
     orders = A.soh(t, since=since).select("SalesOrderID")
     per_id = (
-        A.sod(t).select("SalesOrderID", "ProductID", "LineTotalU")
+        A.sod(t).select("SalesOrderID", "ProductID", "LineTotalFine")
         .join(orders, "SalesOrderID")
-        .groupBy("ProductID").agg(units_sum("LineTotalU").alias("s"))
+        .groupBy("ProductID").agg(units_sum("LineTotalFine").alias("s"))
     )
     return (
         per_id.join(A.prod(t), "ProductID")
@@ -41,7 +41,7 @@ def product_sales_window_exact(t, as_of: dt.date | None = None, years: int = 10)
 def product_sales_window(t, as_of: dt.date | None = None, years: int = 10) -> DataFrame:
     """Total sales per product name for orders in the trailing window; TotalSales desc."""
     df = product_sales_window_exact(t, as_of, years)
-    return df.select("ProductName", units_to_double("TotalSales").alias("TotalSales")).orderBy(
+    return df.select("ProductName", fine_to_double("TotalSales").alias("TotalSales")).orderBy(
         F.desc("TotalSales"), F.asc("ProductName"))
 
 
@@ -80,9 +80,9 @@ def product_totals_exact(t) -> DataFrame:
 
 
 def _product_totals_exact_build(t) -> DataFrame:
-    """Per product id: exact sums of LineTotal and Gross (UnitPrice*OrderQty), joined to its name."""
+    """Per product id: exact sums of LineTotal (10^-8) and Gross (UnitPrice*OrderQty, ten-thousandths), joined to its name."""
     per_id = A.sod(t).groupBy("ProductID").agg(
-        units_sum("LineTotalU").alias("sales"), units_sum("GrossU").alias("cost"))
+        units_sum("LineTotalFine").alias("sales"), units_sum("GrossU").alias("cost"))
     return (
         per_id.join(A.prod(t), "ProductID")
         .groupBy("ProductID", F.col("Name").alias("ProductName"))
@@ -93,7 +93,7 @@ def _product_totals_exact_build(t) -> DataFrame:
 def product_ranking(t) -> DataFrame:
     """ProductID, ProductName, TotalSales per product id; TotalSales desc."""
     return product_totals_exact(t).select(
-        "ProductID", "ProductName", units_to_double("sales").alias("TotalSales"),
+        "ProductID", "ProductName", fine_to_double("sales").alias("TotalSales"),
     ).orderBy(F.desc("TotalSales"), "ProductID")
 
 
@@ -101,9 +101,9 @@ def product_ranking(t) -> DataFrame:
 
 def _profit_columns(df: DataFrame) -> dict:
     return {
-        "TotalSales": units_to_double("sales").alias("TotalSales"),
+        "TotalSales": fine_to_double("sales").alias("TotalSales"),
         "TotalCost": units_to_double("cost").alias("TotalCost"),
-        "Profit": units_to_double(F.col("sales") - F.col("cost")).alias("Profit"),
+        "Profit": fine_to_double(F.col("sales") - F.col("cost") * F.lit(UNITS)).alias("Profit"),
     }
 
 
@@ -130,7 +130,7 @@ def cost_structure(t) -> DataFrame:
 
 def _territory_product_lines(t) -> DataFrame:
     """Order lines with their order's territory and amount (header amount repeated per line, S9)."""
-    lines = A.sod(t).select("SalesOrderID", "ProductID", "LineTotalU")
+    lines = A.sod(t).select("SalesOrderID", "ProductID", "LineTotalFine")
     orders = A.soh_territory(t).select("SalesOrderID", "TerritoryID", "TotalDueU")
     return lines.join(orders, "SalesOrderID")
 
@@ -143,7 +143,7 @@ def territory_product_sales_exact(t) -> DataFrame:
 def _territory_product_sales_exact_build(t) -> DataFrame:
     pre = _territory_product_lines(t).groupBy("TerritoryID", "ProductID").agg(
         units_sum("TotalDueU").alias("s"), F.count("TotalDueU").alias("n"), F.max("TotalDueU").alias("m"),
-        units_sum("LineTotalU").alias("line_sales"))
+        units_sum("LineTotalFine").alias("line_sales"))
     named = (
         pre.join(A.terr(t).withColumnRenamed("Name", "TerritoryName"), "TerritoryID")
         .join(A.prod(t).withColumnRenamed("Name", "ProductName"), "ProductID")
@@ -177,5 +177,5 @@ def territory_best_product(t, exact: DataFrame | None = None) -> DataFrame:
     return best.select(
         "TerritoryName",
         F.col("b.ProductName").alias("BestSellingProduct"),
-        units_to_double("b.line_sales").alias("ProductSales"),
+        fine_to_double("b.line_sales").alias("ProductSales"),
     ).orderBy(F.desc("ProductSales"), "TerritoryName")

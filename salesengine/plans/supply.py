@@ -98,7 +98,7 @@ def _vendor_eval(orders: DataFrame, t) -> DataFrame:
 
 def vendor_evaluation(t) -> DataFrame:
     """B10 as written: purchase orders matched on ProductID = PurchaseOrderID (two unrelated keys)."""
-    pv = A.pv(t).select(F.col("BusinessEntityID").alias("VendorID"), "ProductID")
+    pv = A.product_vendors(t).select(F.col("BusinessEntityID").alias("VendorID"), "ProductID")
     j = A.po(t).drop("VendorID").join(pv, F.col("ProductID") == F.col("PurchaseOrderID"))
     return _vendor_eval(j, t)
 

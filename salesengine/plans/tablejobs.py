@@ -149,11 +149,11 @@ def review_order(df: DataFrame, *keys: str) -> list:
     return [*[F.col(k) for k in keys], F.xxhash64(*[F.col(c) for c in df.columns])]
 
 
-def load_reviews_csv(spark: SparkSession, path: str, name: str, wide: bool = False, multi_line: bool = True):
+def load_reviews_csv(spark: SparkSession, path: str, name: str, wide: bool = False):
     """Typed CSV read; rows that parse replace the table (numbered by product, then date), rows that do not go to
-    ``<name>_rejects``.  Returns (table, rejects table path).  ``multi_line``: see ``read_csv``."""
+    ``<name>_rejects``.  Returns (table, rejects table path)."""
     schema = REVIEWS_WIDE_SCHEMA if wide else REVIEWS_SCHEMA
-    good, bad = read_csv_with_rejects(spark, path, T.StructType(schema.fields[1:]), multi_line)
+    good, bad = read_csv_with_rejects(spark, path, T.StructType(schema.fields[1:]))
     rejects = f"{storage_root(spark)}/tables/{name}_rejects"
     bad.write.mode("overwrite").parquet(rejects)
     table = reviews_table(spark, name, wide=wide)
@@ -207,6 +207,16 @@ def csv_read(spark: SparkSession, t) -> DataFrame:
     return read_csv(spark, path, docs.schema)
 
 
+def csv_read_inferred(spark: SparkSession, t) -> DataFrame:
+    """A04 without a schema: orders through CSV and back with inferred types (missing integers become floats, dates stay text)."""
+    orders = A.soh(t).select(
+        F.col("SalesOrderID"), "CustomerID", "OrderDate", F.col("SalesPersonID").cast("long").alias("SalesPersonID"),
+        F.when(F.col("SalesPersonID").isNotNull(), F.col("SalesPersonID") % 2 == 0).alias("EvenSeller"), (F.col("CustomerID") % 2 == 0).alias("EvenCustomer"))
+    path = f"{storage_root(spark)}/exports/{_run_name('orders')}"
+    export_csv(orders, path)
+    return read_csv(spark, path)
+
+
 SQL_MONTHLY = """SELECT CAST(YEAR(OrderDate) AS BIGINT) AS Year, CAST(MONTH(OrderDate) AS BIGINT) AS Month,
 CAST(SUM(TotalDue) AS DOUBLE) AS TotalSales FROM soh GROUP BY YEAR(OrderDate), MONTH(OrderDate) ORDER BY Year, Month"""
 

@@ -84,6 +84,12 @@ SCALE_SETTINGS = {
     # broadcast only what the planner measured small
     "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    # a selective filter on one side of a join thins the other side's scan by a Bloom filter: sizes are those of the
+    # unfiltered side, so allow for large tables; 64 MB of bits at most
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "60000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": str(1 << 29),
 }
 
 

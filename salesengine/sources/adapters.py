@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesengine.functions.money import discounted_units, int_avg, line_total, money, money_units
+from salesengine.functions.money import discounted_fine, int_avg, line_total, money, money_units
 
 # fixed values of the adapter mapping (FIXTURES.md §2)
 BILL_TO_ADDRESSES = 25
@@ -54,7 +54,7 @@ def soh_territory(t, since: dt.date | None = None) -> DataFrame:
 def sod(t) -> DataFrame:
     """SalesOrderDetail: one row per order line; Gross = UnitPrice*OrderQty.
 
-    ``GrossU`` / ``LineTotalU`` are the same amounts as exact long units (ten-thousandths).
+    ``GrossU`` (ten-thousandths) and ``LineTotalFine`` (10^-8) are the same amounts as exact long units.
     """
     gross = money_units("l_extendedprice")
     return t["lineitem"].select(
@@ -64,7 +64,7 @@ def sod(t) -> DataFrame:
         money("l_extendedprice").alias("Gross"),
         line_total("l_extendedprice", "l_discount").alias("LineTotal"),
         gross.alias("GrossU"),
-        discounted_units(gross, "l_discount").alias("LineTotalU"),
+        discounted_fine(gross, "l_discount").alias("LineTotalFine"),
     )
 
 
@@ -120,6 +120,12 @@ def pv(t) -> DataFrame:
     )
 
 
+def product_vendors(t) -> DataFrame:
+    """ProductVendor's keys: the (product, vendor) pairs with a line of an existing order; no lead times are worked out."""
+    li = t["lineitem"].select("l_orderkey", F.col("l_suppkey").alias("BusinessEntityID"), F.col("l_partkey").alias("ProductID"))
+    return li.join(t["orders"].select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").select("BusinessEntityID", "ProductID").distinct()
+
+
 def po(t) -> DataFrame:
     """PurchaseOrderHeader: each order with its first vendor and first ship date (NULL if no lines)."""
     first = t["lineitem"].groupBy(F.col("l_orderkey").alias("PurchaseOrderID")).agg(

@@ -1,11 +1,16 @@
 """Properties of the operators: histogram, top/bottom-k, identity, bootstrap, forecast."""
 
 import datetime as dt
+import math
+import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from salesengine.operators.bootstrap import bootstrap_ci, poisson_thresholds
-from salesengine.operators.forecast import arima_111_forecast, fill_calendar
+from salesengine.operators import forecast as arima
+from salesengine.operators.forecast import arima_111_forecast
 from salesengine.operators.histogram import histogram
 from salesengine.operators.identity import assign_identity
 from salesengine.operators.topk import bottom_k, top_k
@@ -83,12 +88,13 @@ def test_bootstrap_mean_skips_nulls(spark):
     assert (ci["Mean"], ci["N"]) == (15.0, 2)
 
 
-def test_fill_calendar_inserts_zero_months(spark):
-    m = spark.createDataFrame([("a", dt.date(2020, 1, 1), 1.0), ("a", dt.date(2020, 4, 1), 4.0)],
-                              "k string, m date, v double")
-    got = sorted((r["m"], r["v"]) for r in fill_calendar(m, "k", "m", "v").collect())
-    assert got == [(dt.date(2020, 1, 1), 1.0), (dt.date(2020, 2, 1), 0.0), (dt.date(2020, 3, 1), 0.0),
-                   (dt.date(2020, 4, 1), 4.0)]
+def test_missing_months_are_zero(spark):
+    got = arima.dense(np.array([24241, 24244, 24245]), np.array([1.0, np.nan, 2.5]))
+    assert got.tolist() == [1.0, 0.0, 0.0, 0.0, 2.5]
+    rows = [("s", dt.date(2020, m, 1), v) for m, v in [(1, 5.0), (4, 7.0), (6, None), (7, 3.0), (8, 9.0)]]
+    full = [("s", dt.date(2020, m, 1), {1: 5.0, 4: 7.0, 7: 3.0, 8: 9.0}.get(m, 0.0)) for m in range(1, 9)]
+    a, b = (arima_111_forecast(spark.createDataFrame(x, "k string, m date, v double"), "k", "m", "v").collect() for x in (rows, full))
+    assert sorted(a) == sorted(b)
 
 
 def test_forecast_differences_decay_by_phi(spark):
@@ -181,3 +187,62 @@ def test_fit_tasks_follow_the_series(spark):
         assert "RoundRobinPartitioning(8)" in out._jdf.queryExecution().toString()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+def _noise(seed, n, phi, theta):
+    r = random.Random(seed)
+    w, e, ys = 0.0, 0.0, [100.0]
+    for _ in range(n):
+        x = r.gauss(0, 5)
+        w = phi * w + x + theta * e
+        e = x
+        ys.append(ys[-1] + w)
+    return ys
+
+
+def _loglik(ys, phi, theta):
+    """-2 log likelihood less its constants, from the covariance matrix of the differences."""
+    w = np.diff(np.array(ys))
+    n = len(w)
+    g = [(1 + 2 * phi * theta + theta * theta) / (1 - phi * phi)]
+    g.append((1 + phi * theta) * (phi + theta) / (1 - phi * phi))
+    while len(g) < n:
+        g.append(phi * g[-1])
+    c = np.array([[g[abs(i - j)] for j in range(n)] for i in range(n)])
+    return n * math.log(w @ np.linalg.solve(c, w) / n) + np.linalg.slogdet(c)[1]
+
+
+@pytest.mark.parametrize("phi, theta", [(0.6, 0.0), (-0.5, 0.3), (0.0, -0.7), (0.2, 0.6)])
+def test_exact_likelihood_and_its_optimum(spark, phi, theta):
+    ys = _noise(7, 60, phi, theta)
+    w, n = np.diff(np.array(ys))[:, None], np.array([len(ys) - 1])
+    for p, q in [(0.0, 0.0), (0.5, -0.3), (-0.9, 0.8), (0.99, 0.99)]:
+        got, _ = arima.likelihood(w, n, np.array([[p]]), np.array([[q]]))
+        assert abs(got[0, 0] - _loglik(ys, p, q)) < 1e-6 * abs(got[0, 0])
+    rows = [("s", dt.date(2000 + i // 12, i % 12 + 1, 1), y) for i, y in enumerate(ys)]
+    out = arima_111_forecast(spark.createDataFrame(rows, "k string, m date, v double"), "k", "m", "v", method="exact").collect()
+    p, q = out[0]["Phi"], out[0]["Theta"]
+    fine = min(_loglik(ys, a / 20, b / 20) for a in range(-19, 20) for b in range(-19, 20))
+    assert _loglik(ys, p, q) <= fine + 1e-6
+    near = min(_loglik(ys, p + a * 1e-3, q + b * 1e-3) for a in range(-3, 4) for b in range(-3, 4) if max(abs(p + a * 1e-3), abs(q + b * 1e-3)) < 0.999)
+    assert out[0]["Fit"] == "bound" or _loglik(ys, p, q) <= near + 1e-6
+    # the first forecast from the covariances of the differences
+    gamma = [((1 + 2 * p * q + q * q), (1 + p * q) * (p + q))]
+    lags = [gamma[0][0] / (1 - p * p), gamma[0][1] / (1 - p * p)]
+    while len(lags) <= len(w):
+        lags.append(p * lags[-1])
+    c = np.array([[lags[abs(i - j)] for j in range(len(w))] for i in range(len(w))])
+    step = np.array(lags[len(w):0:-1]) @ np.linalg.solve(c, w[:, 0])
+    assert abs(min(out)["Forecast"] - (ys[-1] + step)) < 1e-6 * abs(ys[-1]) + 1e-6
+
+
+def test_batches_and_lengths_do_not_show(spark):
+    series = {f"s{k}": _noise(k, 5 + 7 * k, 0.4, 0.2) for k in range(12)}
+    rows = [(k, dt.date(1990 + i // 12, i % 12 + 1, 1), y) for k, ys in series.items() for i, y in enumerate(ys)]
+    for method in ("css", "exact"):
+        together = arima_111_forecast(spark.createDataFrame(rows, "k string, m date, v double"), "k", "m", "v", steps=2, method=method).collect()
+        alone = arima_111_forecast(spark.createDataFrame([r for r in rows if r[0] == "s5"], "k string, m date, v double"), "k", "m", "v", steps=2, method=method).collect()
+        assert sorted(r for r in together if r["k"] == "s5") == sorted(alone)
+    flat = [("c", dt.date(2001, m, 1), 4.0) for m in range(1, 9)]
+    out = arima_111_forecast(spark.createDataFrame(flat, "k string, m date, v double"), "k", "m", "v", steps=2, method="exact").collect()
+    assert [r["Forecast"] for r in out] == [4.0, 4.0]

@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from salesengine.plans import registry
 from salesengine.sources.warehouse import TABLE_NAMES
 from tests.conftest import SF01
 
-KEYS = sorted(E.oracle_sql())
+KEYS = sorted(registry.ORACLE)
 
 
 @pytest.fixture(scope="module")
@@ -46,13 +47,14 @@ def _rows(pdf):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLE)
+    assert set(registry.QUERIES) <= set(E.queries()) and set(registry.ORACLE) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("key", KEYS)
 def test_matches_oracle(spark, con, key):
-    got = E.queries()[key](spark, SF01).toPandas()
-    want = con.execute(E.oracle_sql()[key]).fetchdf()
+    got = registry.QUERIES[key](spark, SF01).toPandas()
+    want = con.execute(registry.ORACLE[key]).fetchdf()
     gc, gr = _rows(got)
     wc, wr = _rows(want)
     assert gc == wc

@@ -53,20 +53,32 @@ def test_split_units_sum_is_exact(spark, us):
 
 
 def test_money_keeps_four_decimals(spark):
-    """Prices and discounts of four decimals against exact decimals; what is finer than the type raises."""
-    import pytest
-
-    from salesengine.functions.money import discounted_units, money_units
+    """Prices and discounts of four decimals against exact decimals."""
+    from salesengine.functions.money import discounted_fine, fine_to_double, money_units
 
     amounts = ["1.2345", "21141.8929", "-0.0001", "99999999.9999", "0.3", "1234.5"]
     df = spark.createDataFrame([(float(a),) for a in amounts], "x double")
-    from decimal import Decimal
-
     assert [r[0] for r in df.select(money_units("x")).collect()] == [int(Decimal(a) * 10000) for a in amounts]
-    lines = spark.createDataFrame([(200.0, 0.1255), (0.2, 0.0005), (1234.56, 0.07), (21141.8929, 0.0), (None, 0.1), (1.0, None)],
-                                  "p double, d double")
-    got = [r[0] for r in lines.select(discounted_units(money_units("p"), "d")).collect()]
-    assert got == [1749000, 1999, 11481408, 211418929, None, None]
-    with pytest.raises(Exception, match="more than four decimals"):
-        spark.createDataFrame([(1.2345, 0.05)], "p double, d double").select(
-            discounted_units(money_units("p"), "d")).collect()
+    lines = [("200.0", "0.1255"), ("0.2", "0.0005"), ("1234.56", "0.07"), ("21141.8929", "0.0"), ("10.123", "0.05"), ("-3.3333", "0.3333"), ("90000000000", "0.0001")]
+    frame = spark.createDataFrame([(float(p), float(d)) for p, d in lines] + [(None, 0.1), (1.0, None)], "p double, d double")
+    exact = [Decimal(p) * (1 - Decimal(d)) for p, d in lines]
+    fine = discounted_fine(money_units("p"), "d")
+    assert [r[0] for r in frame.select(fine).collect()] == [int(x * 10**8) for x in exact] + [None, None]
+    total = frame.where("p < 1e6").select(fine.alias("u")).agg(fine_to_double(units_sum("u"))).first()[0]
+    assert total == float(sum(x for x, (p, _) in zip(exact, lines, strict=True) if float(p) < 1e6))
+
+
+def test_totals_of_prices_with_four_decimals(spark):
+    """B01's, B04's and B12's sums over such lines equal exact decimals; nothing raises."""
+    from tests.fixtures import make_tables
+
+    from salesengine.plans import sales
+
+    prices = [("10.1230", "0.0500"), ("0.0001", "0.3333"), ("99.9999", "0.1111"), ("5.5555", "0.0000")]
+    t = make_tables(spark, part=[(1, "p", "b", "t", 1, 1.0)],
+                    lineitem=[(k, 1, 1, 1, 1.0, float(p), float(d), 0.0, "N", "O", None) for k, (p, d) in enumerate(prices)])
+    sales_exact = sum(Decimal(p) * (1 - Decimal(d)) for p, d in prices)
+    cost = sum(Decimal(p) for p, _ in prices)
+    row = sales.product_profitability(t).first()
+    assert (row["TotalSales"], row["TotalCost"], row["Profit"]) == (float(sales_exact), float(cost), float(sales_exact - cost))
+    assert sales.product_ranking(t).first()["TotalSales"] == float(sales_exact)

@@ -209,7 +209,7 @@ def test_a_hot_product_is_split_and_numbered_in_order(spark):
     assert len({r["review_body"] for r in rows}) == 3000
 
 
-def test_wide_load_keeps_rejects_and_plain_lines_can_be_split(spark):
+def test_wide_load_keeps_rejects(spark):
     from pyspark.sql import types as T
 
     from salesengine.sources.keyed_table import REVIEWS_WIDE_SCHEMA
@@ -218,7 +218,6 @@ def test_wide_load_keeps_rejects_and_plain_lines_can_be_split(spark):
     rows = [dict.fromkeys(cols) | {"asins": "a", "reviews_rating": "4.5"}, dict.fromkeys(cols) | {"asins": "b", "reviews_rating": "four"}]
     path = f"{storage_root(spark)}/exports/{tablejobs._run_name('wide')}"
     export_csv(spark.createDataFrame(rows, T.StructType([T.StructField(c, T.StringType()) for c in cols])), path)
-    for multi_line in (True, False):
-        table, rejects = tablejobs.load_reviews_csv(spark, path, tablejobs._run_name("w"), wide=True, multi_line=multi_line)
-        assert [(r["ID"], r["asins"], r["reviews_rating"]) for r in table.read().collect()] == [(1, "a", 4.5)]
-        assert spark.read.parquet(rejects).count() == 1
+    table, rejects = tablejobs.load_reviews_csv(spark, path, tablejobs._run_name("w"), wide=True)
+    assert [(r["ID"], r["asins"], r["reviews_rating"]) for r in table.read().collect()] == [(1, "a", 4.5)]
+    assert spark.read.parquet(rejects).count() == 1
