@@ -1,101 +1,153 @@
 """Percentile bootstrap interval of a group mean (C02, C16), reproducible and scale-safe.
 
-Poisson bootstrap: replicate b gives row r the weight w ~ Poisson(1), drawn
-from md5(group:q:row) with q = b div 4: the 128-bit digest yields four 32-bit
-uniforms, for replicates 4q .. 4q+3 (same draws in Spark and DuckDB).  Each replicate mean is
-sum(w*x)/sum(w); replicates with sum(w) = 0 are left out of the ranking.  The interval ends are
-the replicate means of nearest rank floor(p*(m-1)) for m valid replicates, so
-no interpolation arithmetic is involved.
-
-Work is rows x B, aggregated by (group, b) with map-side combine; the only
-per-group collection is the B replicate means (B is a parameter, not data).
-Values are exact integers (e.g. money in ten-thousandths) so sums are exact.
+Replicate b of a group of n rows draws n row numbers, number j being
+``u(b, j) * n >> 32`` with a 32-bit hash u of the group, b and j (Murmur3's
+finishing mix; the same in Spark and DuckDB).  A replicate's mean is the sum of
+the drawn values over n; the interval ends are the replicate means of nearest
+rank floor(p*(B-1)), so no interpolation arithmetic is involved.
+
+Rows of a group are cut into chunks of about ``chunk_rows`` by a hash of their id and
+numbered within a chunk in the order of their ids.  A group of one chunk draws
+from it directly.  For a larger group the n draws of each replicate are first
+dealt to the chunks (a task counts them for one replicate, and keeps a count a
+chunk), and each chunk then draws as many rows as fell to it, so no task ever has
+more than one chunk, and the draws are still those of n numbers out of n.  A task
+adds up a chunk's draws for a block of replicates as arrays: one row a replicate
+and chunk comes out, whatever the number of rows.
+
+Values are exact integers (e.g. money in ten-thousandths), summed as two longs
+(multiples of 2^30 and the rest): exact for totals up to 10^28.  Null values are
+left out; a group without values has no row.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from salesengine.session import reliable_checkpoint
+
 REPLICATES = 1001
-MAX_WEIGHT = 12
+CHUNK_ROWS = 1 << 16
+BLOCK = 143  # replicates of a task's row: seven blocks of the default number
 _PART = 1 << 30  # a value is hi * 2^30 + lo
-DRAWS_PER_HASH = 4  # 32-bit uniforms per 128-bit md5 digest
-
-
-def poisson_thresholds(max_k: int = MAX_WEIGHT) -> list[int]:
-    """floor(2^32 * P(K <= k)) for K ~ Poisson(1), k = 0..max_k-1 (derived, not tabulated)."""
-    out, acc, term = [], 0.0, math.exp(-1.0)
-    for k in range(max_k):
-        if k:
-            term /= k
-        acc += term
-        out.append(min(int(math.floor(acc * 2 ** 32)), 2 ** 32))
-    return out
-
-
-def _weight(u: Column) -> Column:
-    th = poisson_thresholds()
-    expr = F.lit(len(th))
-    for k in reversed(range(len(th))):
-        expr = F.when(u < F.lit(th[k]), F.lit(k)).otherwise(expr)
-    return expr
-
-
-def _weight_sql(u: str) -> str:
-    th = poisson_thresholds()
-    whens = " ".join(f"WHEN {u} < {t} THEN {k}" for k, t in enumerate(th))
-    return f"(CASE {whens} ELSE {len(th)} END)"
+_SLICE = 1 << 20  # draws at a time
+_MASK = 0xFFFFFFFF
+# fixed values: the multipliers of Murmur3's 32-bit finish, and odd ones for replicates, draws and chunks
+_MIX = (0x85EBCA6B, 0xC2B2AE35)
+_PER_REPLICATE, _PER_DRAW, _PER_CHUNK = 2654435761, 2246822519, 3266489917
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Murmur3's finish of 32-bit numbers."""
+    h = np.asarray(h, np.uint32)
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(_MIX[0])
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(_MIX[1])
+    return h ^ (h >> np.uint32(16))
+
+
+def draws(seed: int, b: np.ndarray, start: int, stop: int, n: int) -> np.ndarray:
+    """(len(b), stop - start) numbers below n: draws ``start`` to ``stop`` of each replicate."""
+    with np.errstate(over="ignore"):
+        of = mixed(np.uint32(seed) + np.asarray(b, np.uint32) * np.uint32(_PER_REPLICATE))
+        u = mixed(of[:, None] + np.arange(start, stop, dtype=np.uint64).astype(np.uint32) * np.uint32(_PER_DRAW))
+    return ((u.astype(np.uint64) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def chunk_seed(seed: int, chunk: int) -> int:
+    return int(mixed(np.array([(seed + (chunk + 1) * _PER_CHUNK) & _MASK], np.uint32))[0])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a replicate's n draws fall to each chunk of a group."""
+    for batch in batches:
+        out: list[tuple] = []
+        for row in batch.to_pylist():
+            chunks = [c["chunk"] for c in row["chunks"]]
+            ends = np.cumsum([c["size"] for c in row["chunks"]])
+            counts = np.zeros(len(chunks), np.int64)
+            for k in range(0, row["n"], _SLICE):
+                at = draws(row["seed"], np.array([row["b"]]), k, min(row["n"], k + _SLICE), row["n"])[0]
+                counts += np.bincount(np.searchsorted(ends, at, "right"), minlength=len(chunks))
+            out += [(row["g"], c, row["b"], m) for c, m in zip(chunks, counts.tolist(), strict=True)]
+        columns = list(zip(*out, strict=True)) if out else [[]] * 4
+        types = (batch.schema.field("g").type, pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["g", "chunk", "b", "m"])
+
+
+def _summed(replicates: int, chunk_rows: int):
+    """Sums of a chunk's draws for a block of replicates; number -1 is the chunk itself."""
+    def sums(values: np.ndarray, row: dict) -> Iterator[tuple[int, np.ndarray]]:
+        first = row["block"] * BLOCK
+        b = np.arange(first, min(first + BLOCK, replicates))
+        if not row["block"]:
+            yield -1, values.sum(0)
+        if row["n"] <= chunk_rows:
+            step = max(1, _SLICE // len(values))
+            for k in range(0, len(b), step):
+                drawn = draws(row["seed"], b[k:k + step], 0, len(values), len(values))
+                yield from zip(b[k:k + step].tolist(), values[drawn].sum(1), strict=True)
+            return
+        seed = chunk_seed(row["seed"], row["chunk"])
+        for x in b:
+            m, total = row["draws"][x], np.zeros(2, np.int64)
+            for k in range(0, m, _SLICE):
+                total += values[draws(seed, np.array([x]), k, min(m, k + _SLICE), len(values))[0]].sum(0)
+            yield int(x), total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            rows = batch.column("rows")
+            flat, offsets = rows.flatten(), rows.offsets.to_numpy()
+            start = offsets[0]
+            both = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("hi", "lo")], 1)
+            rest = batch.drop_columns(["rows"]).to_pylist()
+            for row, lo, hi in zip(rest, offsets[:-1] - start, offsets[1:] - start, strict=True):
+                out += [(row["g"], row["n"], x, int(t[0]), int(t[1])) for x, t in sums(both[lo:hi], row)]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            types = (batch.schema.field("g").type, *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["g", "n", "b", "hi", "lo"])
+    return run
 
 
 def bootstrap_ci(df: DataFrame, group: str, row_id: str, value: str, scale: float = 1.0,
-                 replicates: int = REPLICATES, level: float = 0.95) -> DataFrame:
-    """group, Mean, N, CiLow, CiHigh.  ``group`` and ``row_id`` are string/integer columns; ``value`` an exact integer.
-
-    The plain mean and row count come out of the same aggregation, as a replicate of
-    number -1 in which every row has weight 1, so the input is read once.  Values are
-    summed as two longs (multiples of 2^30 and the rest) and put together per replicate:
-    exact for totals up to 10^28, whatever a single value's size.
-    """
+                 replicates: int = REPLICATES, level: float = 0.95, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """group, Mean, N, CiLow, CiHigh.  ``group`` and ``row_id`` are string/integer columns; ``value`` an exact integer."""
     lo_p, hi_p = _rank_params(level)
-    # the input is usually a small aggregate in one partition while the work is rows x replicates:
-    # spread the rows over as many tasks as the session's shuffles have (an explicit count is not coalesced)
     spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = F.col(value).cast("decimal(38,0)")
-    rows = df.select(
-        F.col(group).alias("g"), F.col(row_id).alias("r"), F.call_function("div", x, F.lit(_PART)).alias("hi"),
-        (x % F.lit(_PART)).cast("long").alias("lo")).repartition(spread)
-    blocks = (replicates + DRAWS_PER_HASH - 1) // DRAWS_PER_HASH
-    drawn = rows.select("g", "hi", "lo", "r", F.explode(F.sequence(F.lit(-1), F.lit(blocks - 1))).alias("q"))
-    h = F.md5(F.concat_ws(":", F.col("g").cast("string"), F.col("q").cast("string"), F.col("r").cast("string")))
-    hashed = drawn.select("g", "hi", "lo", "q", h.alias("h"))
-    us = F.array(*[F.conv(F.substring("h", 8 * j + 1, 8), 16, 10).cast("long") for j in range(DRAWS_PER_HASH)])
-    us = F.when(F.col("q") >= 0, us).otherwise(F.array(F.lit(-1).cast("long")))
-    plain = F.col("q") < 0
-    w = hashed.select("g", "hi", "lo", "q", F.posexplode(us).alias("j", "u")).select(
-        "g", F.when(plain, F.lit(-1)).otherwise(F.col("q") * DRAWS_PER_HASH + F.col("j")).alias("b"), "hi", "lo",
-        F.when(plain, F.col("lo").isNotNull().cast("long")).otherwise(_weight(F.col("u")).cast("long")).alias("w"),
-    ).filter(F.col("b") < replicates)
-    reps = w.groupBy("g", "b").agg(
-        F.sum(F.col("w") * F.col("hi")).alias("hi"), F.sum(F.col("w") * F.col("lo")).alias("lo"), F.sum("w").alias("sw"))
-    total = F.col("hi").cast("decimal(38,0)") * F.lit(_PART) + F.col("lo")
-    reps = reps.select("g", "b", "sw", F.when(F.col("sw") > 0, (
-        total.cast("double") / F.col("sw").cast("double")) / F.lit(float(scale))).alias("v"))
-    own = F.col("b") < 0
-    reps = reps.select("g", "b", F.when(own, F.col("v")).alias("mean"), F.when(own, F.col("sw")).alias("n_all"),
-                       F.when(~own, F.col("v")).alias("m"))
-    win = Window.partitionBy("g").orderBy(F.col("m").asc_nulls_last(), "b")
-    ranked = reps.select("g", "m", "mean", "n_all", (F.row_number().over(win) - 1).alias("k"),
-                         F.count("m").over(Window.partitionBy("g")).alias("n"))
-    lo_k = F.call_function("div", (F.col("n") - 1) * F.lit(lo_p), F.lit(1000))
-    hi_k = F.call_function("div", (F.col("n") - 1) * F.lit(hi_p), F.lit(1000))
-    return ranked.groupBy("g").agg(
-        F.max("mean").alias("Mean"), F.max("n_all").alias("N"),
-        F.max(F.when(F.col("k") == lo_k, F.col("m"))).alias("CiLow"),
-        F.max(F.when(F.col("k") == hi_k, F.col("m"))).alias("CiHigh"),
-    ).withColumnRenamed("g", group)
+    rows = reliable_checkpoint(df.where(F.col(value).isNotNull()).select(
+        F.col(group).alias("g"), F.col(row_id).alias("r"), F.call_function("div", x, F.lit(_PART)).alias("hi"), (x % F.lit(_PART)).cast("long").alias("lo")))
+    kind = dict(rows.dtypes)["g"]
+    sizes = rows.groupBy(F.col("g").alias("g2")).agg(F.count(F.lit(1)).alias("n"))
+    chunk = F.pmod(F.xxhash64("r"), F.ceil(F.col("n") / chunk_rows)).alias("chunk")
+    seed = F.conv(F.substring(F.md5(F.col("g").cast("string").cast("binary")), 1, 8), 16, 10).cast("long").alias("seed")
+    numbered = rows.join(sizes, F.col("g").eqNullSafe(F.col("g2"))).select("g", "n", F.coalesce(seed, F.lit(0)).alias("seed"), chunk, "r", "hi", "lo")
+    chunks = reliable_checkpoint(numbered.groupBy("g", "n", "seed", "chunk").agg(F.sort_array(F.collect_list(F.struct("r", "hi", "lo"))).alias("rows")))
+    work = chunks.withColumn("draws", F.lit(None).cast("array<long>"))
+    large = chunks.where(F.col("n") > chunk_rows)
+    if not large.isEmpty():
+        shape = F.sort_array(F.collect_list(F.struct("chunk", F.size("rows").alias("size"))))
+        replicate = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")
+        asked = large.groupBy("g", "n", "seed").agg(shape.alias("chunks")).select("*", replicate)
+        counts = asked.repartition(max(spread, replicates), "g", "b").mapInArrow(_dealt, f"g {kind}, chunk long, b long, m long")
+        given = counts.groupBy(F.col("g").alias("g2"), F.col("chunk").alias("c2")).agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "m"))), lambda s: s["m"]).alias("given"))
+        work = chunks.join(given, F.col("g").eqNullSafe(F.col("g2")) & (F.col("chunk") == F.col("c2")), "left").select(*chunks.columns, F.col("given").alias("draws"))
+    # few bytes but much work a row: an explicit count, which adaptive execution doesn't merge
+    blocks = work.select("*", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // BLOCK))).alias("block")).repartition(spread, "g", "chunk", "block")
+    slim = blocks.withColumn("rows", F.transform("rows", lambda s: F.struct(s["hi"].cast("long").alias("hi"), s["lo"].alias("lo"))))
+    sums = slim.mapInArrow(_summed(replicates, chunk_rows), f"g {kind}, n long, b long, hi long, lo long")
+    total = F.sum("hi").cast("decimal(38,0)") * F.lit(_PART) + F.sum("lo")
+    reps = sums.groupBy("g", "n", "b").agg(total.alias("t")).select("g", "n", "b", ((F.col("t").cast("double") / F.col("n").cast("double")) / F.lit(float(scale))).alias("v"))
+    ranked = reps.groupBy("g", "n").agg(F.max(F.when(F.col("b") < 0, F.col("v"))).alias("Mean"), F.sort_array(F.collect_list(F.when(F.col("b") >= 0, F.col("v")))).alias("vs"))
+    at = [(replicates - 1) * p // 1000 for p in (lo_p, hi_p)]
+    return ranked.select(F.col("g").alias(group), "Mean", F.col("n").alias("N"), F.get("vs", F.lit(at[0])).alias("CiLow"), F.get("vs", F.lit(at[1])).alias("CiHigh"))
 
 
 def _rank_params(level: float) -> tuple[int, int]:
@@ -105,19 +157,23 @@ def _rank_params(level: float) -> tuple[int, int]:
 
 def bootstrap_ci_sql(rows_sql: str, group: str, scale: float = 1.0, replicates: int = REPLICATES,
                      level: float = 0.95) -> str:
-    """DuckDB version; ``rows_sql`` yields columns g, r, x."""
+    """DuckDB version for groups of one chunk; ``rows_sql`` yields columns g, r, x."""
     lo_p, hi_p = _rank_params(level)
-    k = DRAWS_PER_HASH
-    blocks = (replicates + k - 1) // k
-    u = "CAST(('0x' || substr(h, 8 * j + 1, 8)) AS BIGINT)"
+
+    def finish(name: str, source: str) -> str:
+        """Murmur3's finish of column h, in steps."""
+        return f"""{name}_1 AS (SELECT * REPLACE ((xor(h, h >> 16) * CAST({_MIX[0]} AS UBIGINT)) & CAST({_MASK} AS UBIGINT) AS h) FROM {source}),
+{name}_2 AS (SELECT * REPLACE ((xor(h, h >> 13) * CAST({_MIX[1]} AS UBIGINT)) & CAST({_MASK} AS UBIGINT) AS h) FROM {name}_1),
+{name} AS (SELECT * REPLACE (xor(h, h >> 16) AS h) FROM {name}_2)"""
+
     return f"""WITH rows_ AS ({rows_sql}),
-d AS (SELECT g, x, q, md5(CAST(g AS VARCHAR) || ':' || CAST(q AS VARCHAR) || ':' || CAST(r AS VARCHAR)) AS h
-      FROM rows_, range({blocks}) t(q)),
-w AS (SELECT g, q * {k} + j AS b, x, {_weight_sql(u)} AS w FROM d, range({k}) s(j) WHERE q * {k} + j < {replicates}),
-reps AS (SELECT g, b, (CAST(sum(w * x) AS DOUBLE) / CAST(sum(w) AS DOUBLE)) / {float(scale)} AS m
-         FROM w GROUP BY g, b HAVING sum(w) > 0),
-ranked AS (SELECT g, m, row_number() OVER (PARTITION BY g ORDER BY m, b) - 1 AS k,
-                  count(*) OVER (PARTITION BY g) AS n FROM reps)
-SELECT g AS "{group}", max(CASE WHEN k = (n - 1) * {lo_p} // 1000 THEN m END) AS CiLow,
-       max(CASE WHEN k = (n - 1) * {hi_p} // 1000 THEN m END) AS CiHigh
-FROM ranked GROUP BY g"""
+v AS (SELECT g, list(x ORDER BY r) AS xs, CAST(count(*) AS UBIGINT) AS n FROM rows_ WHERE x IS NOT NULL GROUP BY g),
+b0 AS (SELECT g, n, b, (CAST('0x' || substr(md5(CAST(g AS VARCHAR)), 1, 8) AS UBIGINT) + CAST(b AS UBIGINT) * CAST({_PER_REPLICATE} AS UBIGINT)) & CAST({_MASK} AS UBIGINT) AS h
+       FROM v, range({replicates}) t(b)),
+{finish('b1', 'b0')},
+d0 AS (SELECT g, n, b, (h + CAST(j AS UBIGINT) * CAST({_PER_DRAW} AS UBIGINT)) & CAST({_MASK} AS UBIGINT) AS h FROM (SELECT g, n, b, h, unnest(range(CAST(n AS BIGINT))) AS j FROM b1)),
+{finish('d1', 'd0')},
+reps AS (SELECT d.g, b, (CAST(sum(xs[CAST((h * d.n) >> 32 AS BIGINT) + 1]) AS DOUBLE) / CAST(any_value(d.n) AS DOUBLE)) / {float(scale)} AS m
+         FROM d1 d JOIN v ON v.g = d.g GROUP BY d.g, b),
+ranked AS (SELECT g, list(m ORDER BY m) AS ms FROM reps GROUP BY g)
+SELECT g AS "{group}", ms[{(replicates - 1) * lo_p // 1000} + 1] AS CiLow, ms[{(replicates - 1) * hi_p // 1000} + 1] AS CiHigh FROM ranked"""

@@ -1,6 +1,7 @@
 """Properties of the operators: histogram, top/bottom-k, identity, bootstrap, forecast."""
 
 import datetime as dt
+import hashlib
 import math
 import random
 
@@ -8,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from salesengine.operators.bootstrap import bootstrap_ci, poisson_thresholds
+from salesengine.operators import bootstrap as boot
 from salesengine.operators import forecast as arima
+from salesengine.operators.bootstrap import bootstrap_ci
 from salesengine.operators.forecast import arima_111_forecast
 from salesengine.operators.histogram import histogram
 from salesengine.operators.identity import assign_identity
@@ -55,10 +57,58 @@ def test_identity_is_consecutive_across_partitions(spark):
     assert [i for _, i in got] == list(range(11, 5011))  # ordered by k, no gaps
 
 
-def test_poisson_thresholds_are_a_cdf():
-    th = poisson_thresholds()
-    assert th == sorted(th) and th[-1] <= 2 ** 32
-    assert abs(th[0] / 2 ** 32 - 0.36787944) < 1e-8
+def _mixed(h):
+    """Murmur3's finish in plain integers."""
+    m = 0xFFFFFFFF
+    h ^= h >> 16
+    h = h * 0x85EBCA6B & m
+    h ^= h >> 13
+    h = h * 0xC2B2AE35 & m
+    return h ^ (h >> 16)
+
+
+def _slow_bootstrap(group, values, replicates):
+    """Mean and interval by drawing row numbers one by one."""
+    m, n = 0xFFFFFFFF, len(values)
+    seed = int(hashlib.md5(str(group).encode()).hexdigest()[:8], 16)
+    means = []
+    for b in range(replicates):
+        of = _mixed((seed + b * boot._PER_REPLICATE) & m)
+        means.append(sum(values[_mixed((of + j * boot._PER_DRAW) & m) * n >> 32] for j in range(n)) / n)
+    means.sort()
+    return sum(values) / n, means[(replicates - 1) * 25 // 1000], means[(replicates - 1) * 975 // 1000]
+
+
+def test_bootstrap_draws_equal_brute_force(spark):
+    r = random.Random(3)
+    groups = {g: [r.randrange(-50, 10**6) for _ in range(n)] for g, n in [(1, 1), (2, 12), (3, 300)]}
+    df = spark.createDataFrame([(g, i, x) for g, xs in groups.items() for i, x in enumerate(xs)], "g long, r long, x long").repartition(5)
+    for row in bootstrap_ci(df, "g", "r", "x", replicates=301).collect():
+        mean, low, high = _slow_bootstrap(row["g"], groups[row["g"]], 301)
+        assert (row["N"], row["Mean"], row["CiLow"], row["CiHigh"]) == (len(groups[row["g"]]), mean, low, high)
+
+
+def test_bootstrap_of_many_chunks_draws_every_row_alike(spark):
+    """A group cut into chunks: each replicate still draws n of n rows, and the interval is that of one chunk."""
+    xs = [(i * 7919) % 1000 for i in range(4000)]
+    df = spark.createDataFrame([("g", i, x) for i, x in enumerate(xs)], "g string, r long, x long").repartition(4)
+    one, cut = (bootstrap_ci(df, "g", "r", "x", replicates=401, chunk_rows=c).first() for c in (1 << 16, 300))
+    assert (one["N"], one["Mean"]) == (cut["N"], cut["Mean"])
+    spread = one["CiHigh"] - one["CiLow"]
+    expected = 2 * 1.96 * np.std(xs) / math.sqrt(len(xs))
+    for ci in (one, cut):
+        assert abs((ci["CiHigh"] - ci["CiLow"]) / expected - 1) < 0.15 and abs(ci["CiLow"] - one["CiLow"]) < 0.15 * spread
+    ones = df.withColumn("x", F.lit(1))
+    row = bootstrap_ci(ones, "g", "r", "x", replicates=51, chunk_rows=300).first()
+    assert (row["Mean"], row["CiLow"], row["CiHigh"]) == (1.0, 1.0, 1.0)  # exactly n draws in every replicate
+
+
+def test_draws_are_uniform():
+    at = boot.draws(12345, np.arange(200), 0, 1000, 1000)
+    counts = np.bincount(at.ravel(), minlength=1000)
+    assert at.min() >= 0 and at.max() < 1000 and abs(((counts - 200) ** 2 / 200).sum() - 999) < 6 * math.sqrt(2 * 999)
+    weights = np.bincount(np.bincount(at[0], minlength=1000), minlength=3) / 1000
+    assert abs(weights[0] - math.exp(-1)) < 0.06 and abs(weights[1] - math.exp(-1)) < 0.06
 
 
 def test_bootstrap_interval_brackets_mean(spark):
