@@ -192,9 +192,12 @@ def register_adapter_views(t) -> None:
 # -- the "as of" date -------------------------------------------------------
 
 def data_as_of(t) -> dt.date:
-    """Latest order date in the data: one aggregate over a single column, returned as a scalar."""
-    v = t["orders"].agg(F.max("o_orderdate").alias("m")).first()["m"]
-    return v.date() if isinstance(v, dt.datetime) else v
+    """Latest order date in the data: one aggregate over a single column, returned as a scalar; a Tables object keeps it."""
+    memo = getattr(t, "memo", {})
+    if "as_of" not in memo:
+        v = t["orders"].agg(F.max("o_orderdate").alias("m")).first()["m"]
+        memo["as_of"] = v.date() if isinstance(v, dt.datetime) else v
+    return memo["as_of"]
 
 
 def years_before(d: dt.date, years: int) -> dt.date:

@@ -49,6 +49,7 @@ class Tables(Mapping):
         self.infer = infer
         self.share = share
         self._shared: dict[str, DataFrame] = {}
+        self.memo: dict = {}
         self.root = root.rstrip("/")
         self._names = tuple(names)
         self._frames: dict[str, DataFrame] = {}
