@@ -86,6 +86,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.kind, self.parent, self.attrs, self.text, self.linked = [15], [-1], [0], [""], [0]
         self.open: list[tuple[str, int]] = [("html", 0)]  # tags, and the nodes they are in
+        self.stops = [0]  # places in it where a search for something to close looks
         self.count = {"html": 1}
         self.silent = 0
         self.links = 0
@@ -112,6 +113,8 @@ class Tree(HTMLParser):
 
     def _pop(self) -> None:
         tag, _ = self.open.pop()
+        if self.stops[-1] == len(self.open):
+            self.stops.pop()
         self.count[tag] -= 1
         if tag in SILENT:
             self.silent -= 1
@@ -123,6 +126,19 @@ class Tree(HTMLParser):
             self._pop()
         self._pop()
 
+    def _make_way(self, tag: str) -> None:
+        """Closes what the tag closes, up to the nearest scope; tags that neither close nor stop aren't looked at."""
+        at = len(self.stops) - 1
+        while at >= 0:
+            name = self.open[self.stops[at]][0]
+            if tag in CLOSED_BY.get(name, ()):
+                self._close(name)
+                at = len(self.stops) - 1
+            elif name in SCOPES or name == "html":
+                return
+            else:
+                at -= 1
+
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in ("html", "body"):
             return  # one root; its attributes tell about the whole page
@@ -138,16 +154,7 @@ class Tree(HTMLParser):
                 self._close("p")
             if self.count.get("head"):
                 self._close("head")
-            while True:
-                for name, _ in reversed(self.open):
-                    if tag in CLOSED_BY.get(name, ()):
-                        self._close(name)
-                        break
-                    if name in SCOPES or name == "html":
-                        name = None
-                        break
-                if name is None or name == "html":
-                    break
+            self._make_way(tag)
             bits = 0
             for k, v in attrs:
                 if v and k in ("class", "id", "role", "itemprop", "aria-label"):
@@ -157,6 +164,8 @@ class Tree(HTMLParser):
             node = self.open[-1][1]
             if tag == "a" and self.links:
                 self._close("a")
+        if tag in CLOSED_BY or tag in SCOPES:
+            self.stops.append(len(self.open))
         self.open.append((tag, node))
         self.count[tag] = self.count.get(tag, 0) + 1
         if tag in SILENT:
@@ -185,11 +194,36 @@ class Tree(HTMLParser):
         pass
 
 
+_MARKUP = re.compile(r"<[A-Za-z/!?]")
+_RAW = re.compile(r"<!--|<(script|style|textarea|title)\b", re.IGNORECASE)
+
+
+def _without_open_end(html: str) -> str:
+    """``html`` up to a tag or comment that never ends, as browsers read it; the parser would look for its end again and again."""
+    html = html.replace("<!--->", "").replace("<!-->", "")  # empty comments, which the parser takes for text
+    begun = _MARKUP.search(html, html.rfind(">") + 1)
+    if begun:
+        html = html[:begun.start()]
+    at = 0
+    while found := _RAW.search(html, at):
+        if found[1]:
+            end = re.compile(f"</{found[1]}", re.IGNORECASE).search(html, found.end())
+            if not end:
+                return html
+            at = end.end()
+        else:
+            at = html.find("-->", found.start() + 2) + 3
+            if at < 3:
+                return html[:found.start()]
+    return html
+
+
 def tree(html: str | None) -> Tree:
+    html = _without_open_end(html or "")
     try:
-        return Tree(html or "")
+        return Tree(html)
     except AssertionError:  # a declaration that the parser doesn't know
-        return Tree((html or "").replace("<![", "&lt;!["))
+        return Tree(html.replace("<![", "&lt;!["))
 
 
 # ------------------------------------------------------------------ features

@@ -1,5 +1,6 @@
 import html as H
 import re
+import time
 
 import numpy as np
 import pytest
@@ -100,3 +101,28 @@ def test_text_in_embedded_elements_is_judged(model, tag):
 def test_whole_attribute_values_are_read():
     t = X.tree(f'<div class="{"u-flex " * 100}comments"><p>x</p></div>')
     assert t.attrs[1] == X._tokens("comments") != 0
+
+
+DEEP = {
+    "nested blocks": "<div>" * 16_000 + "x", "inline and blocks": "<b><div>" * 8000 + "x", "open comments": "x <!--" * 40_000, "items": "<ul>" + "<li>a" * 20_000,
+    "paragraphs": "<p>x<div>" * 8000, "lists": "<ul><li>" * 8000 + "x", "tables": "<table><tr><td>" * 3000 + "x", "links": "<a>" * 30_000 + "x",
+    "declarations": "<!x " * 20_000, "open tags": "x <a " * 20_000, "scripts": "<script>a <!-- </script>x" * 5000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(DEEP))
+def test_time_grows_with_the_page(name):
+    began = time.process_time()
+    found = X.features(X.tree(DEEP[name]))
+    assert time.process_time() - began < 3 and len(found)
+
+
+def test_open_ends_are_read_as_browsers_do():
+    def text(html):
+        return " ".join(x for x in X.tree(html).text if x)
+
+    assert text("<p>one<!-- two --> three <!-- four") == "one three"
+    assert text("<p>one<!--> two") == "one two"
+    assert text("<p>one <a href='x") == "one" and text("<p>1 < 2") == "1 < 2"
+    assert text("<script>if (a <!-- b) </script><p>kept") == "kept"
+    assert text("<ul><li>a<div>b<li>c</ul>d") == "a b c d"
