@@ -12,7 +12,7 @@ import re
 import sys
 
 sys.path.insert(0, ".")
-import __spark_entry__ as E  # noqa: E402
+from salesengine.plans.registry import QUERIES  # noqa: E402
 from salesengine.session import get_spark  # noqa: E402
 
 
@@ -25,7 +25,7 @@ def main():
     spark = get_spark("local[8]")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(8 * 1024))
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", str(8 * 1024))
-    qs = E.queries()
+    qs = QUERIES
     for k in keys or list(qs):
         df = qs[k](spark, sf_dir)
         buf = io.StringIO()
